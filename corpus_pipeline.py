@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewords.llm import mixing, secrets
+from tidewords.llm import bpe, mixing, quality, secrets, simhash
 
 STAGES = [
+    ("quality classifier", quality.stage),
+    ("SimHash near-dedup", simhash.stage),
     ("secret scans", secrets.stage),
-    ("mixing", mixing.stage),
+    ("mixing sources", mixing.stage),
+    ("byte-level BPE", bpe.stage),
 ]
 #: No SQL expresses the trained classifier; tests compare the stages with brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, step in STAGES:
         docs = step(spark, docs, sf_dir)
