@@ -176,13 +176,13 @@ class Codec:
 
 
 def _encoder(raw: bytes):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.large_list(pa.int32()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def encode(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(raw)
         for batch in batches(source, CHUNK_BYTES):
             ids, at = codec.encode(*utf8(batch.column("text")))
-            yield record(schema, doc_id=batch.column("doc_id").cast(pa.int64()), n_tokens=np.diff(at), ids=pa.LargeListArray.from_arrays(at, ids.astype(np.int32)))
+            yield record(schema, doc_id=batch.column("doc_id").cast(pa.int64()), n_tokens=np.diff(at), ids=pa.ListArray.from_arrays(at.astype(np.int32), ids.astype(np.int32)))
 
     return encode
 
