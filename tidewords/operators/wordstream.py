@@ -92,15 +92,15 @@ def merge_channels(segments: DataFrame) -> DataFrame:
 
 
 def words_at(words: DataFrame, asked: DataFrame, tolerance: int = 10) -> DataFrame:
-    """asked (rec_id, t) with wid: the last word that has begun, if it hasn't ended (by ``tolerance`` ms); null if none."""
+    """asked (rec_id, t) with wid: the last word that has begun, if it hasn't ended (by ``tolerance`` ms); -1 if none."""
     found = asof_last(words.withColumn("__s", F.col("start_ms") - tolerance), asked, "rec_id", "__s", "t", ["wid", "end_ms"], "wid")
-    return found.select("rec_id", "t", F.when(F.col("t") <= F.col("end_ms") + tolerance, F.col("wid")).alias("wid"))
+    return found.select("rec_id", "t", F.when(F.col("t") <= F.col("end_ms") + tolerance, F.col("wid")).otherwise(-1).alias("wid"))
 
 
 def neighbours(words: DataFrame, asked: DataFrame, step: int = 1) -> DataFrame:
-    """asked (rec_id, t) with previous and next: the last word starting before t - step, the first after t + step."""
+    """asked (rec_id, t) with previous and next: the last word starting before t - step, the first after t + step; -1 if none."""
     w = words.select("rec_id", "wid", "start_ms")
     back = asof_last(w.withColumn("__s", F.col("start_ms") + step + 1), asked, "rec_id", "__s", "t", ["wid"], "wid").withColumnRenamed("wid", "previous")
     mirrored = w.select("rec_id", "wid", (step + 1 - F.col("start_ms")).alias("__s"), (-F.col("wid")).alias("__tie"))
     ahead = asof_last(mirrored, asked.select("rec_id", "t", (-F.col("t")).alias("__t")), "rec_id", "__s", "__t", ["wid"], "__tie").select("rec_id", "t", F.col("wid").alias("next"))
-    return back.join(ahead, ["rec_id", "t"])
+    return back.join(ahead, ["rec_id", "t"]).na.fill(-1, ["previous", "next"])

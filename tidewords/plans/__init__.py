@@ -1,6 +1,6 @@
 """Registered queries with their SQL; importing a module registers its queries."""
 
-from tidewords.plans import transcript  # noqa: F401
+from tidewords.plans import stream_of_words, transcript  # noqa: F401
 from tidewords.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
