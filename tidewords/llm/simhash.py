@@ -21,6 +21,8 @@ SEGMENT_RADIUS = 1
 #: Fingerprints a shard is meant to hold, levels a tree may have, fingerprints that shape the trees.
 SHARD_SIZE, MOST_LEVELS, SAMPLE = 256, 18, 4096
 _BRUTE = 1 << 22
+#: Parts over which a node's links are dealt where they meet its least neighbour.
+SPREAD = 16
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -188,14 +190,19 @@ def components(links: DataFrame) -> DataFrame:
     Large-star and small-star steps by turns; every step points nodes at the least neighbour of a node, so a
     chain shrinks by half and more. Each round is checkpointed, and the loop ends when no link changes.
     """
+    def meet(sided: DataFrame, least: DataFrame) -> DataFrame:
+        """Each link with its node's least neighbour; a hub's links are dealt over several tasks."""
+        parts = least.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+        return sided.withColumn("__part", F.pmod(F.xxhash64("b"), F.lit(SPREAD)).cast("int")).join(parts, ["a", "__part"]).drop("__part")
+
     edges = settle(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = meet(both.where("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        edges = settle(large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        edges = settle(meet(large, least).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
