@@ -193,7 +193,7 @@ def components(links: DataFrame) -> DataFrame:
     def meet(sided: DataFrame, least: DataFrame) -> DataFrame:
         """Each link with its node's least neighbour; a hub's links are dealt over several tasks."""
         parts = least.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-        return sided.withColumn("__part", F.pmod(F.xxhash64("b"), F.lit(SPREAD)).cast("int")).join(parts, ["a", "__part"]).drop("__part")
+        return sided.withColumn("__part", F.pmod(F.xxhash64("b"), F.lit(SPREAD)).cast("int")).join(parts.hint("merge"), ["a", "__part"]).drop("__part")
 
     edges = settle(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
