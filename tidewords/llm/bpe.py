@@ -13,11 +13,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewords.llm.common import batches, read, record, utf8
+from tidewords.llm.common import batches, give_back, read, record, slices, utf8
 
-CHUNK_BYTES = 4 << 20
-#: Words contracted by one query, the longest of them in bytes (the query's work is quadratic in it), words kept by a worker.
-QUERY_WORDS, LONGEST, KEPT_WORDS = 32_768, 256, 400_000
+CHUNK_BYTES = 1 << 20
+#: Rows of one query over all its steps (a word of n bytes makes at most n * n), the longest word in bytes, words kept.
+QUERY_ROWS, LONGEST, KEPT_WORDS = 1 << 20, 256, 120_000
 OTHER, LETTER, NUMBER, SPACE = range(4)
 # Fixed values of the splitting pattern: letters that may follow an apostrophe as one token with it.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -46,16 +46,7 @@ def load(path: str) -> bytes:
 
 
 class Codec:
-    """A worker's tables for one rank file, with the words it has seen."""
-
-    _made: dict[str, "Codec"] = {}
-
-    @classmethod
-    def of(cls, raw: bytes) -> "Codec":
-        key = hashlib.md5(raw).hexdigest()
-        if key not in cls._made:
-            cls._made[key] = cls(raw)
-        return cls._made[key]
+    """A partition's tables for one rank file, with the words it has seen; a context that frees them."""
 
     def __init__(self, raw: bytes):
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines()) if a}
@@ -63,16 +54,25 @@ class Codec:
         self.known = {t: np.uint32(r).tobytes() for t, r in self.ranks.items()}
         self.room = len(self.known) + KEPT_WORDS
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.sql = duckdb.connect(config={"threads": "1", "memory_limit": "400MB", "temp_directory": ""})
-        pairs = np.array([(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks], np.int32).reshape(-1, 3)
-        self._table("merges", {"pair": pairs[:, 0].astype(np.int64) * 65536 + pairs[:, 1], "merged": pairs[:, 2]})
+        self.sql = duckdb.connect(config={"threads": "1", "memory_limit": "160MB", "temp_directory": ""})
+        halves = ((self.ranks.get(t[:i]), self.ranks.get(t[i:]), r) for t, r in self.ranks.items() for i in range(1, len(t)))
+        pairs = np.fromiter((x for h in halves if None not in h for x in h), np.int64).reshape(-1, 3)
+        self._table("merges", {"pair": pairs[:, 0] * 65536 + pairs[:, 1], "merged": pairs[:, 2].astype(np.int32)})
         self._table("vocabulary", {"id": np.fromiter(self.tokens, np.int32), "piece": [t.hex() for t in self.tokens.values()]})
-        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
         self.kinds = np.zeros(0x110000, np.uint8)
-        for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
-            for m in regex.finditer(pattern, every):
-                self.kinds[ord(m[0][0]) : ord(m[0][-1]) + 1] = kind
-        self.kinds[0xD800:0xE000] = OTHER
+        for low in range(0, 0x110000, 0x10000):
+            plane = "".join(chr(c) if not 0xD800 <= c < 0xE000 else "\0" for c in range(low, low + 0x10000))
+            for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+                for m in regex.finditer(pattern, plane):
+                    self.kinds[low + m.start() : low + m.end()] = kind
+
+    def __enter__(self) -> "Codec":
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.sql.close()
+        self.__dict__.clear()
+        give_back()
 
     def _table(self, name: str, columns: dict) -> None:
         made = pa.table(columns)  # noqa: F841  DuckDB reads it by name
@@ -116,8 +116,9 @@ class Codec:
         """Ids of words that are no token as a whole."""
         out = {w: self._by_heap(w) for w in words if len(w) > LONGEST}
         short = [w for w in words if len(w) <= LONGEST]
-        for k in range(0, len(short), QUERY_WORDS):
-            some = short[k : k + QUERY_WORDS]
+        work = np.concatenate(([0], np.cumsum(np.fromiter(map(len, short), np.int64, len(short)) ** 2)))
+        for a, b in slices(work, QUERY_ROWS):
+            some = short[a:b]
             lens = np.fromiter(map(len, some), np.int64, len(some))
             start = {"word": np.repeat(np.arange(len(some), dtype=np.int32), lens), "id": self.byte_ids[np.frombuffer(b"".join(some), np.uint8)]}
             start["pos"] = (np.arange(len(start["id"])) - np.repeat(np.cumsum(lens) - lens, lens)).astype(np.int32)
@@ -179,10 +180,10 @@ def _encoder(raw: bytes):
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def encode(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec.of(raw)
-        for batch in batches(source, CHUNK_BYTES):
-            ids, at = codec.encode(*utf8(batch.column("text")))
-            yield record(schema, doc_id=batch.column("doc_id").cast(pa.int64()), n_tokens=np.diff(at), ids=pa.ListArray.from_arrays(at.astype(np.int32), ids.astype(np.int32)))
+        with Codec(raw) as codec:
+            for batch in batches(source, CHUNK_BYTES):
+                ids, at = codec.encode(*utf8(batch.column("text")))
+                yield record(schema, doc_id=batch.column("doc_id").cast(pa.int64()), n_tokens=np.diff(at), ids=pa.ListArray.from_arrays(at.astype(np.int32), ids.astype(np.int32)))
 
     return encode
 
@@ -201,14 +202,14 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     raw = load(path)
 
     def decode(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec.of(raw)
-        for batch in source:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                lists = part.column("ids").fill_null([]) if part.column("ids").null_count else part.column("ids")
-                counts = np.array([len(x) for x in lists], np.int64)
-                out = codec.decode(lists.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(counts))))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "decoded"])
+        with Codec(raw) as codec:
+            for batch in source:
+                for k in range(0, batch.num_rows, 512):
+                    part = batch.slice(k, 512)
+                    lists = part.column("ids").fill_null([]) if part.column("ids").null_count else part.column("ids")
+                    counts = np.array([len(x) for x in lists], np.int64)
+                    out = codec.decode(lists.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(counts))))
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(decode, "doc_id long, decoded binary")
 
@@ -217,17 +218,17 @@ def _digests(raw: bytes):
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec.of(raw)
-        for batch in batches(source, CHUNK_BYTES):
-            ids, at = codec.encode(*utf8(batch.column("text")))
-            flat, ends = ids.astype("<u4").tobytes(), (4 * at).tolist()
-            yield record(
-                schema,
-                doc_id=batch.column("doc_id").cast(pa.int64()),
-                n_tokens=np.diff(at),
-                ids_sha256=[hashlib.sha256(flat[a:b]).hexdigest() for a, b in zip(ends, ends[1:], strict=False)],
-                decoded_sha256=[hashlib.sha256(t).hexdigest() for t in codec.decode(ids, at)],
-            )
+        with Codec(raw) as codec:
+            for batch in batches(source, CHUNK_BYTES):
+                ids, at = codec.encode(*utf8(batch.column("text")))
+                flat, ends = ids.astype("<u4").tobytes(), (4 * at).tolist()
+                yield record(
+                    schema,
+                    doc_id=batch.column("doc_id").cast(pa.int64()),
+                    n_tokens=np.diff(at),
+                    ids_sha256=[hashlib.sha256(flat[a:b]).hexdigest() for a, b in zip(ends, ends[1:], strict=False)],
+                    decoded_sha256=[hashlib.sha256(t).hexdigest() for t in codec.decode(ids, at)],
+                )
 
     return run
 

@@ -85,7 +85,7 @@ def fit(x: np.ndarray, y: np.ndarray, languages: list[str], seed: int = 7) -> Mo
 
 def _sample_features(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for the whole text and one for its first words, so that short texts are learnt as well."""
-    for batch in batches(source, 8 << 20):
+    for batch in batches(source, 2 << 20):
         whole = texts(batch)
         both = whole + [t[:SNIPPET] for t in whole]
         offsets = np.concatenate(([0], np.cumsum(np.fromiter(map(len, both), np.int64, len(both)))))
@@ -119,7 +119,7 @@ def _predictor(model: Model | None):
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(source, 8 << 20):
+        for batch in batches(source, 2 << 20):
             n = batch.num_rows
             lettered = np.fromiter((_LETTER.search(t) is not None for t in (v or "" for v in batch.column("text").to_pylist())), bool, n)
             best, score = model.predict(features(*utf8(batch.column("text")))) if model else (np.zeros(n, int), np.zeros(n))

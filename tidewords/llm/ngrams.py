@@ -7,7 +7,7 @@ import numpy as np
 from tidewords.llm.common import slices
 
 _PRIMES = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], np.uint32)
-_CELLS = 1 << 22
+_CELLS = 1 << 20
 
 
 def histograms(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray, bins: int, sizes: tuple[int, ...]) -> np.ndarray:

@@ -88,7 +88,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
 
 
 def _sample_features(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches(source, 8 << 20):
+    for batch in batches(source, 2 << 20):
         yield pa.RecordBatch.from_arrays([batch.column("trusted"), pa.array([r.tobytes() for r in features(batch).astype(np.float16)], pa.binary())], ["trusted", "x"])
 
 
@@ -121,7 +121,7 @@ def _scorer(model: Model | None):
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(source, 8 << 20):
+        for batch in batches(source, 2 << 20):
             score = model.score(features(batch)).astype(np.float64) if model else np.full(batch.num_rows, 0.5)
             yield record(schema, doc_id=batch.column("doc_id").cast(pa.int64()), score=score)
 
@@ -152,7 +152,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     def score(text: pa.Array) -> pa.Array:
         if not len(text):
             return pa.array([], pa.float64())
-        parts = batches(iter([pa.RecordBatch.from_arrays([text], ["text"])]), 8 << 20)
+        parts = batches(iter([pa.RecordBatch.from_arrays([text], ["text"])]), 2 << 20)
         return pa.array(np.concatenate([model.score(features(b)) if model else np.full(b.num_rows, 0.5) for b in parts]).astype(np.float64))
 
     return docs.where(score("text") >= THRESHOLD)

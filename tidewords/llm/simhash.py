@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from tidewords.llm.common import read, settle, texts
+from tidewords.llm.common import batches, read, settle, texts
 
 SHINGLE = 4
 RADIUS = 4
@@ -44,7 +44,8 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 @F.arrow_udf(LongType())
 def simhash(text: pa.Array) -> pa.Array:
-    prints = [fingerprint(t) for t in texts(pa.RecordBatch.from_arrays([text], ["text"]))]
+    parts = batches(iter([pa.RecordBatch.from_arrays([text], ["text"])]), 2 << 20)
+    prints = [fingerprint(t) for part in parts for t in texts(part)]
     return pa.array(np.array(prints, np.uint64).view(np.int64))
 
 
