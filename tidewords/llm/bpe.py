@@ -148,6 +148,8 @@ class Codec:
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts that lie end to end, and offsets into them by text."""
+        if not len(raw):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         starts = self.word_starts(raw, offsets)
         places = np.append(starts, len(raw))
         words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(raw))]).dictionary_encode()

@@ -94,8 +94,9 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix itself: each document as many times as it is taken; those taken no time go."""
-    mixed = mix_sources(docs.select(*(F.col(c) for c in docs.columns)))
-    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.greatest("copies", F.lit(1))))).where("copies > 0").select(*docs.columns)
+    held = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("row"))  # so that no name clashes
+    mixed = mix_sources(held).where("copies > 0")
+    return mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 OP4_SQL = rf"""
