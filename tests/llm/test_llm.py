@@ -258,3 +258,18 @@ def test_pipeline_keeps_its_rules(spark):
         assert docs.count() > 0
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL)
     assert last.count() == docs.count() and hashlib.sha256(b"").hexdigest()
+
+
+def test_backoff_scores_match_brute_force(spark, edges):
+    from tidewords.llm import lm
+
+    words = [(t or "").split() for _, t, *_ in EDGES]
+    pairs = [list(zip([None, *w], w)) for w in words]
+    c2 = collections.Counter(p for ps in pairs for p in ps)
+    c1, cv = collections.Counter(w for ws in words for w in ws), collections.Counter(v for ps in pairs for v, _ in ps)
+    n = sum(c1.values())
+    s = lambda v, w: c1[w] / n if v is None else c2[v, w] / cv[v] if c2[v, w] >= lm.LEAST else lm.BACKOFF * c1[w] / n
+    want = sorted((i or 0, len(ps), float(np.mean([np.log10(s(*p)) for p in ps])) if ps else 0.0) for (i, *_), ps in zip(EDGES, pairs, strict=True))
+    got = sorted((r.doc_id or 0, r.n_words, r.mean_log10 or 0.0) for r in lm.backoff_scores(edges).collect())
+    assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want], atol=1e-5)
+    assert lm.backoff_scores(edges.limit(0)).count() == 0

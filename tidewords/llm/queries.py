@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewords.llm import bpe, jpeg, language, mixing, quality, rules, secrets, sharding, simhash
+from tidewords.llm import bpe, jpeg, language, lm, mixing, quality, rules, secrets, sharding, simhash
 
 QUERIES = {
     "op1_media": jpeg.op1_media,
@@ -11,8 +11,9 @@ QUERIES = {
     "op4_mixing": mixing.op4_mixing,
     "op5_secrets": secrets.op5_secrets,
     "op6_bpe": bpe.op6_bpe,
+    "op7_lm": lm.op7_lm,
     "op8_rules": rules.op8_rules,
     "op9_quality": quality.op9_quality,
     "op10_sharding": sharding.op10_sharding,
 }
-ORACLES = {"op4_mixing": mixing.OP4_SQL, "op5_secrets": secrets.OP5_SQL}
+ORACLES = {"op4_mixing": mixing.OP4_SQL, "op5_secrets": secrets.OP5_SQL, "op7_lm": lm.OP7_SQL}
