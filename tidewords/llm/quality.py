@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewords.llm.common import batches, held_out, read, record, texts, utf8
+from tidewords.llm.common import batches, give_back, held_out, read, record, texts, utf8
 from tidewords.llm.ngrams import histograms
 
 BINS, SIZES, HIDDEN = 512, (1, 2, 3), 24
@@ -153,6 +153,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         if not len(text):
             return pa.array([], pa.float64())
         parts = batches(iter([pa.RecordBatch.from_arrays([text], ["text"])]), 2 << 20)
-        return pa.array(np.concatenate([model.score(features(b)) if model else np.full(b.num_rows, 0.5) for b in parts]).astype(np.float64))
+        scores = np.concatenate([model.score(features(b)) if model else np.full(b.num_rows, 0.5) for b in parts])
+        give_back()
+        return pa.array(scores.astype(np.float64))
 
     return docs.where(score("text") >= THRESHOLD)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from tidewords.llm.common import batches, read, settle, texts
+from tidewords.llm.common import batches, give_back, read, settle, texts
 
 SHINGLE = 4
 RADIUS = 4
@@ -46,6 +46,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 def simhash(text: pa.Array) -> pa.Array:
     parts = batches(iter([pa.RecordBatch.from_arrays([text], ["text"])]), 2 << 20)
     prints = [fingerprint(t) for part in parts for t in texts(part)]
+    give_back()
     return pa.array(np.array(prints, np.uint64).view(np.int64))
 
 
@@ -170,6 +171,7 @@ def _link_shards(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.append((part.column(1).to_numpy(zero_copy_only=False).view(np.uint64), part.column(2).to_numpy(zero_copy_only=False)))
     if held:
         yield _forest(*map(np.concatenate, zip(*held, strict=True)))
+    give_back()
 
 
 def near_links(prints: DataFrame) -> DataFrame:
