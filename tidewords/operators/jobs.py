@@ -34,6 +34,11 @@ def purge(jobs: DataFrame, now: Column, ttl: int) -> DataFrame:
     return jobs.where(F.lit(ttl > 0) & status_flags(F.col("status"))[0] & (F.col("created_ms") < now - ttl))
 
 
+def expire(rows: DataFrame, keep: Column, expires: Column, now: Column) -> DataFrame:
+    """Rows to let go: neither kept nor busy, and past their time."""
+    return rows.where(~keep & ~status_flags(F.col("status"))[1] & (expires < now))
+
+
 def ranked(rows: DataFrame, cell: list[Column], within: list[Column]) -> DataFrame:
     """Rows with ``place`` from 1 in the order of ``cell`` and then ``within``.
 

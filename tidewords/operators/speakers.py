@@ -172,3 +172,11 @@ def joined(a: Column, b: Column) -> Column:
     """Overlap of two intervals given as structs of s and e; touching intervals have none."""
     return F.greatest(F.least(a["e"], b["e"]) - F.greatest(a["s"], b["s"]), F.lit(0))
 
+
+
+def speaker_shares(segments: DataFrame, speaker: str) -> DataFrame:
+    """(rec_id, speaker, spoken_ms, words, segments, share): what part of a recording's speech each speaker has."""
+    spoken = segments.where(F.col(speaker).isNotNull()).groupBy("rec_id", speaker)
+    summed = spoken.agg(F.sum(F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(0))).alias("spoken_ms"), F.sum("n_words").alias("words"), F.count("*").alias("segments"))
+    total = F.sum("spoken_ms").over(Window.partitionBy("rec_id"))
+    return summed.withColumn("share", F.when(total > 0, F.col("spoken_ms") / total).otherwise(0.0))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewords.operators import dictionaries as dic
 from tidewords.operators import jobs as op
+from tidewords.operators import speakers
 from tidewords.plans.registry import query
 from tidewords.sources import derived as d
 
@@ -139,3 +140,14 @@ def _(spark, sf_dir):
 @query("u4_intersect_ids", "SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def _(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id", "left_semi")
+
+
+@query("a4_speaker_shares", f"WITH {d.SEGMENTS_SQL}, s AS (SELECT rec_id, role, CAST(sum(greatest(end_ms - start_ms, 0)) AS BIGINT) AS spoken_ms, CAST(sum(n_words) AS BIGINT) AS words, count(*) AS segments FROM segments GROUP BY ALL) SELECT *, round(spoken_ms / sum(spoken_ms) OVER (PARTITION BY rec_id), 6) AS share FROM s")
+def _(spark, sf_dir):
+    shares = speakers.speaker_shares(d.segments(d.words(spark, sf_dir)), "role")
+    return shares.withColumn("share", F.round("share", 6))
+
+
+@query("p14_expire", f"{_JOBS} SELECT id FROM jobs WHERE priority = 0 AND status NOT IN ('queued', 'running') AND created_ms + audio_ms < {NOON}")
+def _(spark, sf_dir):
+    return op.expire(d.jobs(spark, sf_dir), F.col("priority") > 0, F.col("created_ms") + F.col("audio_ms"), F.lit(NOON)).select("id")
