@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -208,6 +209,22 @@ def test_rules_match_brute_force(spark, edges):
     assert not any(r.kept for r in rules.quality_rules(edges).collect())
 
 
+def test_rules_reject_what_does_not_compress(spark):
+    rnd = random.Random(3)
+    drawn = lambda n, signs, length: " ".join("".join(rnd.choices(signs, k=length())) for _ in range(n)).encode()
+    sizes = (300, 600, 900, 1100, 2048, 4096, 12288, 20000, 70000)
+    noise = [drawn(n // 5, string.ascii_letters + string.digits, lambda: 5 if n < 700 else 10)[:n].decode() for n in sizes]
+    noise += [base64.encodebytes(rnd.randbytes(n))[:n].decode() for n in (4096, 12288, 70000)]
+    noise += [drawn(n // 3, string.ascii_lowercase, lambda: rnd.randint(3, 9))[:n].decode() for n in (4096, 20000)]
+    clean = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect() if r.text and len(set(r.text.split())) > 90]
+    repeated = [" ".join(clean[0].split()[:40]) + "\n"] * 40
+    docs = [*noise, "".join(repeated), *clean]
+    got = {r.doc_id: r for r in rules.quality_rules(table(spark, [(i, t, "en", "a") for i, t in enumerate(docs)])).collect()}
+    assert [i for i in range(len(noise) + 1) if got[i].kept] == []
+    kept = [got[i].kept for i in range(len(noise) + 1, len(docs)) if not got[i].base_failed]
+    assert len(kept) > 100 and sum(kept) >= 0.97 * len(kept)
+
+
 def test_quality_held_out(spark, edges):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     got = quality.op9_quality(spark, "/root/testdata/sf0.01").join(labels, "doc_id").where("held_out").collect()

@@ -13,7 +13,8 @@ from tidewords.llm.common import batches, read, record, texts, utf8
 
 LEVEL, CHUNK, LEAST_TAIL = 3, 4096, 1024
 #: Bytes from which a band holds, the least and the most of raw / compressed that it allows. Chunks use the band of their own length.
-BANDS = ((0, 0.0, 4.0), (256, 1.1, 4.0), (1024, 1.2, 5.0), (4096, 1.3, 6.0), (16384, 1.35, 7.0), (65536, 1.35, 9.0))
+#: The least lies between random text (letters and digits, base64) and the clean texts of that length; README has both.
+BANDS = ((0, 0.0, 4.0), (256, 1.25, 4.0), (512, 1.35, 4.0), (1024, 1.5, 5.0), (4096, 1.85, 6.0), (16384, 1.85, 7.0), (65536, 1.85, 9.0))
 #: A document is rejected if more than this share of the bytes in judged chunks lies outside the band.
 BAD_SHARE = 0.3
 _SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
