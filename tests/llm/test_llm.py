@@ -192,6 +192,17 @@ def test_bpe_matches_tiktoken(spark, edges):
     assert sorted((r.doc_id or 0, bytes(r.decoded)) for r in back.collect()) == sorted((i or 0, (t or "").encode()) for i, t, *_ in EDGES)
 
 
+def test_bpe_decodes_a_text_of_millions_of_tokens():
+    raw = bpe.load(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    r = random.Random(6)
+    words = ["".join(r.choices("etaoinshrdlu", k=8)) for _ in range(4000)]
+    texts = ["before", " ".join(r.choices(words, k=1_500_000)), "", "after"]
+    with bpe.Codec(raw) as codec:
+        ids, at = codec.encode(*common.utf8(pa.array(texts)))
+        assert at[2] - at[1] > 4_000_000
+        assert codec.decode(ids, at) == [t.encode() for t in texts]
+
+
 def brute_rules(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]

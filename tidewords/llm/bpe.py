@@ -18,6 +18,8 @@ from tidewords.llm.common import batches, give_back, read, record, slices, utf8
 CHUNK_BYTES = 1 << 20
 #: Rows of one query over all its steps (a word of n bytes makes at most n * n), the longest word in bytes, words kept.
 QUERY_ROWS, LONGEST, KEPT_WORDS = 1 << 20, 256, 120_000
+#: Tokens of one decoding query; a longer text takes several.
+DECODED = 1 << 18
 OTHER, LETTER, NUMBER, SPACE = range(4)
 # Fixed values of the splitting pattern: letters that may follow an apostrophe as one token with it.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -169,13 +171,15 @@ class Codec:
         return out, ends[np.searchsorted(starts, offsets)]
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-        """The bytes of each text's ids, pieces joined in order of position."""
-        doc = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
-        got = self._ask(_DECODE, tokens=pa.table({"doc": doc, "at": np.arange(len(ids)), "id": ids.astype(np.int32)}))
-        out = [b""] * (len(offsets) - 1)
-        for d, h in zip(got["doc"].to_pylist(), got["hex"].to_pylist(), strict=True):
-            out[d] = bytes.fromhex(h)
-        return out
+        """The bytes of each text's ids, pieces joined in order of position, a bounded block of positions at a time."""
+        blocks: list[list[bytes]] = [[] for _ in range(len(offsets) - 1)]
+        for a in range(0, len(ids), DECODED):
+            at = np.arange(a, min(a + DECODED, len(ids)))
+            doc = (np.searchsorted(offsets, at, "right") - 1).astype(np.int32)
+            got = self._ask(_DECODE, tokens=pa.table({"doc": doc, "at": at, "id": ids[a : a + DECODED].astype(np.int32)}))
+            for d, h in zip(got["doc"].to_pylist(), got["hex"].to_pylist(), strict=True):
+                blocks[d].append(bytes.fromhex(h))
+        return [b"".join(b) for b in blocks]
 
 
 def _encoder(raw: bytes):
