@@ -2,6 +2,8 @@
 
 from collections import defaultdict
 
+import pytest
+
 from tidewords import plans
 from tidewords.plans.streams import CAPACITY, RATE
 
@@ -19,3 +21,12 @@ def test_token_bucket(spark):
         held[r.user_id] -= want[r.event_id]
     got = {r.event_id: r.allowed for r in plans.QUERIES["t4_token_bucket"](spark, DATA).collect()}
     assert got == want and 0 < sum(want.values()) < len(want)
+
+
+@pytest.mark.parametrize("name", ["t1_number_events", "t2_latest_job_state", "t4_token_bucket", "t5_idle_sessions", "t9_energy_stream", "t10_load_stream", "t12_dedupe_events"])
+def test_events_in_parts(spark, tmp_path, name):
+    events = spark.read.parquet(f"{DATA}/events.parquet")
+    events.repartition(5).write.parquet(f"{tmp_path}/events.parquet")
+    assert len(list((tmp_path / "events.parquet").glob("part-*.parquet"))) == 5
+    got, want = (sorted(map(repr, plans.QUERIES[name](spark, d).collect())) for d in (str(tmp_path), DATA))
+    assert got == want and want

@@ -16,9 +16,16 @@ MILLIS = "unix_millis(to_utc_timestamp(cast({} as timestamp), current_timezone()
 
 
 def event_stream(spark: SparkSession, sf_dir: str, delay: str = "1 hour") -> DataFrame:
-    """The events as a stream with a watermark on ``at``, and ``at_ms``."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    """The events as a stream with a watermark on ``at``, and ``at_ms``; the table is one file or a folder of part files.
+
+    All files that are there come in one batch, so that the order of the files makes no row late.
+    """
+    table = f"{sf_dir}/events.parquet"
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    folder = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    schema = spark.read.parquet(table).schema
+    files = spark.readStream.schema(schema)
+    stream = files.parquet(table) if folder else files.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     return stream.withColumn("at", F.col("ts").cast("timestamp")).withColumn("at_ms", F.expr(MILLIS.format("ts"))).withWatermark("at", delay)
 
 
