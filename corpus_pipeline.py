@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewords.llm import bpe, mixing, quality, secrets, simhash
@@ -18,8 +21,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents."""
+    """The stages applied to documents; each one's rows are written to the shared folder and read again."""
+    base = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-pipeline-')}/{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, step in STAGES:
-        docs = step(spark, docs, sf_dir)
+    for n, (_, step) in enumerate(STAGES):
+        out = step(spark, docs, sf_dir)
+        out.write.parquet(f"{base}/{n}")
+        docs = spark.read.schema(out.schema).parquet(f"{base}/{n}")
     return docs

@@ -13,7 +13,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewords.llm.common import batches, give_back, read, record, slices, utf8
+from tidewords.llm.common import batches, give_back, read, record, slices, texts, utf8
 
 CHUNK_BYTES = 1 << 20
 #: Rows of one query over all its steps (a word of n bytes makes at most n * n), the longest word in bytes, words kept.
@@ -246,8 +246,30 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(_digests(raw), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def _round_trip(raw: bytes):
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded_sha256", pa.string())])
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with Codec(raw) as codec:
+            for batch in batches(source, CHUNK_BYTES):
+                ids, at = codec.encode(*utf8(batch.column("text")))
+                decoded = codec.decode(ids, at)
+                if decoded != texts(batch):
+                    raise ValueError("decoded ids differ from their text")
+                yield record(
+                    schema,
+                    doc_id=batch.column("doc_id").cast(pa.int64()),
+                    n_tokens=np.diff(at),
+                    ids=pa.ListArray.from_arrays(at.astype(np.int32), ids.astype(np.int32)),
+                    decoded_sha256=[hashlib.sha256(t).hexdigest() for t in decoded],
+                )
+
+    return run
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every row that is left."""
+    """The ids of every row that is left, and the digest of the bytes they decode to, which must be the text's."""
     import public_tokenizers
 
-    return encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    raw = load(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return docs.select("doc_id", "text").mapInArrow(_round_trip(raw), "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")
