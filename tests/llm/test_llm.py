@@ -203,6 +203,17 @@ def test_bpe_decodes_a_text_of_millions_of_tokens():
         assert codec.decode(ids, at) == [t.encode() for t in texts]
 
 
+def test_bpe_ids_of_many_words_decode_to_their_text():
+    import pyarrow.dataset
+
+    raw = bpe.load(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    texts = pyarrow.dataset.dataset("/root/testdata/check_s/documents.parquet").head(339, columns=["text"])["text"].to_pylist()
+    texts = [t or "" for t in texts]
+    with bpe.Codec(raw) as codec:
+        ids, at = codec.encode(*common.utf8(pa.array(texts)))
+        assert [b"".join(map(codec.tokens.__getitem__, ids[a:b].tolist())) for a, b in zip(at, at[1:], strict=False)] == [t.encode() for t in texts]
+
+
 def brute_rules(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]

@@ -34,7 +34,7 @@ WITH RECURSIVE steps AS (
     FROM steps p JOIN steps q ON q.word::BIGINT * 1024 + q.pos = p.word::BIGINT * 1024 + p.pos + 1 JOIN merges m ON m.pair = p.id::BIGINT * 65536 + q.id
     WHERE p.more GROUP BY p.word) b USING (word)
   WHERE s.more AND (b.best IS NULL OR s.pos <> (b.best & 1023) + 1))
-SELECT word, list(id ORDER BY pos) AS ids FROM steps WHERE NOT more GROUP BY word ORDER BY word
+SELECT word, pos, id FROM steps WHERE NOT more
 """
 _DECODE = """
 SELECT doc, string_agg(piece, '') AS hex FROM (SELECT t.doc, v.piece FROM tokens t JOIN vocabulary v USING (id) ORDER BY t.at) GROUP BY doc
@@ -124,8 +124,10 @@ class Codec:
             lens = np.fromiter(map(len, some), np.int64, len(some))
             start = {"word": np.repeat(np.arange(len(some), dtype=np.int32), lens), "id": self.byte_ids[np.frombuffer(b"".join(some), np.uint8)]}
             start["pos"] = (np.arange(len(start["id"])) - np.repeat(np.cumsum(lens) - lens, lens)).astype(np.int32)
-            ids = self._ask(_CONTRACT, start=pa.table(start))["ids"].combine_chunks()
-            flat, ends = ids.values.to_numpy().astype("<u4").tobytes(), (4 * ids.offsets.to_numpy().astype(np.int64)).tolist()
+            got = self._ask(_CONTRACT, start=pa.table(start))
+            word, pos, ids = (got[c].to_numpy() for c in ("word", "pos", "id"))
+            flat = ids[np.lexsort((pos, word))].astype("<u4").tobytes()
+            ends = [0, *(4 * np.cumsum(np.bincount(word, minlength=len(some)))).tolist()]
             out.update(zip(some, [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)], strict=True))
         return out
 
