@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewords.llm import bpe, mixing, quality, secrets, simhash
+from tidewords.sources.shared import shared_folder
 
 STAGES = [
     ("quality classifier", quality.stage),
@@ -22,7 +22,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents; each one's rows are written to the shared folder and read again."""
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-pipeline-')}/{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for n, (_, step) in enumerate(STAGES):
         out = step(spark, docs, sf_dir)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidewords.sources.shared import shared_folder
+
 #: Milliseconds of a time without zone, whatever the session's zone is.
 MILLIS = "unix_millis(to_utc_timestamp(cast({} as timestamp), current_timezone()))"
 
@@ -35,7 +36,7 @@ def drained(stream: DataFrame, mode: str) -> DataFrame:
     A batch that runs again writes its own folder again. In complete mode the last batch holds the result.
     """
     spark = stream.sparkSession
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-stream-')}/{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     done: list[str] = []
 
     def keep(batch: DataFrame, n: int) -> None:
