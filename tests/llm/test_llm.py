@@ -175,6 +175,18 @@ def test_secrets_match_python(spark, edges):
     assert secrets.find_secrets(edges).count() == len(EDGES)
 
 
+def decoded(codec, ids, at):
+    out = [b""] * (len(at) - 1)
+    for d, text in codec.decode(ids, at):
+        out[d] += text
+    return out
+
+
+def tiktoken_of(raw):
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 def test_bpe_matches_tiktoken(spark, edges):
     raw = bpe.load(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
@@ -185,22 +197,49 @@ def test_bpe_matches_tiktoken(spark, edges):
     with bpe.Codec(raw) as codec:
         ids, at = codec.encode(*common.utf8(pa.array(texts)))
         assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [enc.encode_ordinary(t) for t in texts]
-        assert codec.decode(ids, at) == [t.encode() for t in texts]
+        assert decoded(codec, ids, at) == [t.encode() for t in texts]
     coded = bpe.encode_documents(edges, public_tokenizers.path("byte_bpe_50k.tiktoken"))
     assert coded.count() == len(EDGES)
     back = bpe.decode_documents(coded, public_tokenizers.path("byte_bpe_50k.tiktoken"))
     assert sorted((r.doc_id or 0, bytes(r.decoded)) for r in back.collect()) == sorted((i or 0, (t or "").encode()) for i, t, *_ in EDGES)
 
 
-def test_bpe_decodes_a_text_of_millions_of_tokens():
+def test_bpe_of_long_words_and_texts():
+    """Words of thousands of bytes, regular and random, and texts of many megabytes and tokens, in bounded memory."""
     raw = bpe.load(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    r = random.Random(6)
+    enc, r = tiktoken_of(raw), random.Random(6)
     words = ["".join(r.choices("etaoinshrdlu", k=8)) for _ in range(4000)]
-    texts = ["before", " ".join(r.choices(words, k=1_500_000)), "", "after"]
-    with bpe.Codec(raw) as codec:
-        ids, at = codec.encode(*common.utf8(pa.array(texts)))
-        assert at[2] - at[1] > 4_000_000
-        assert codec.decode(ids, at) == [t.encode() for t in texts]
+    drawn = lambda signs, n: "".join(r.choices(signs, k=n))
+    texts = ["before", None, drawn("etaoinshrdlu", 5000), drawn(string.ascii_letters, 5000), "-" * 50_000, "xyz" * 20_000, "日本語" * 1000, drawn("ab", 20_000), " ".join(r.choices(words, k=600_000)) + "'s  \n\n", "", "after"]
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+    got = [x for b in bpe._digests(raw, schema)(iter([pa.record_batch({"doc_id": list(range(len(texts))), "text": texts})])) for x in b.to_pylist()]
+    for t, x in zip(texts, got, strict=True):
+        ids = enc.encode_ordinary(t or "")
+        want = hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()
+        assert (x["n_tokens"], x["ids_sha256"], x["decoded_sha256"]) == (len(ids), *want)
+
+
+def test_bpe_pieces_are_cut_where_the_pattern_cuts():
+    raw = bpe.load(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    old, bpe.CHUNK_BYTES = bpe.CHUNK_BYTES, 64
+    try:
+        r = random.Random(8)
+        with bpe.Codec(raw) as codec:
+            for _ in range(60):
+                text = "".join(r.choice("'  \n\tsetrvlmd.!1٣éẞ日😀ab") for _ in range(400))
+                parts = [codec.encode(*p)[0].tolist() for p in codec.pieces(*common.utf8(pa.array([text])))]
+                assert sum(parts, []) == tiktoken_of(raw).encode_ordinary(text) and len(parts) > 3
+    finally:
+        bpe.CHUNK_BYTES = old
+
+
+def test_bpe_of_ids_that_are_text(spark):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = spark.createDataFrame([("x", "one two"), (None, None), ("x", "one two")], "doc_id string, text string")
+    coded = bpe.encode_documents(docs, path)
+    assert sorted((r.doc_id or "", r.n_tokens) for r in coded.collect()) == [("", 0), ("x", 2), ("x", 2)]
+    assert {bytes(r.decoded) for r in bpe.decode_documents(coded, path).collect()} == {b"one two", b""}
+    assert bpe.encode_documents(docs.limit(0), path).count() == bpe.stage(spark, docs.limit(0), "").count() == 0
 
 
 def test_bpe_ids_of_many_words_decode_to_their_text():

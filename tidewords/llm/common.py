@@ -5,13 +5,16 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from tidewords.sources.shared import shared_folder
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,10 +36,16 @@ def settle(df: DataFrame) -> DataFrame:
     """Cut lineage with a checkpoint in the folder all executors share."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def by_document(docs: DataFrame, ddl: str) -> tuple[StructType, pa.Schema]:
+    """The columns of a result that has ``docs``' doc_id, of whatever type, and then those of ``ddl``."""
+    fields = StructType([docs.schema["doc_id"], *StructType.fromDDL(ddl)])
+    return fields, to_arrow_schema(fields)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column, end to end, and n + 1 offsets into them. Null counts as empty."""
     column = column.fill_null("") if column.null_count else column
