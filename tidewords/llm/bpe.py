@@ -30,7 +30,7 @@ _CONTRACT = """
 WITH RECURSIVE steps AS (
   SELECT word, pos, id, true AS more FROM start
   UNION ALL
-  SELECT s.word, s.pos - (s.pos > b.best & 16777215)::INTEGER, CASE WHEN s.pos = b.best & 16777215 THEN (b.best >> 24)::INTEGER ELSE s.id END, b.best IS NOT NULL
+  SELECT s.word, s.pos - coalesce((s.pos > b.best & 16777215)::INTEGER, 0), CASE WHEN s.pos = b.best & 16777215 THEN (b.best >> 24)::INTEGER ELSE s.id END, b.best IS NOT NULL
   FROM steps s LEFT JOIN (
     SELECT p.word, min(m.merged::BIGINT * 16777216 + p.pos) AS best
     FROM steps p JOIN steps q ON q.word::BIGINT * 16777216 + q.pos = p.word::BIGINT * 16777216 + p.pos + 1 JOIN merges m ON m.pair = p.id::BIGINT * 65536 + q.id
@@ -55,7 +55,7 @@ WITH RECURSIVE steps AS (
 SELECT word, pos, id FROM steps WHERE NOT more
 """
 _DECODE = """
-SELECT doc, list(piece ORDER BY place) AS pieces FROM tokens JOIN vocabulary USING (id) GROUP BY doc
+SELECT doc, string_agg(piece, '' ORDER BY place) AS hex FROM tokens JOIN vocabulary USING (id) GROUP BY doc
 """
 
 
@@ -78,7 +78,7 @@ class Codec:
         halves = ((self.ranks.get(t[:i]), self.ranks.get(t[i:]), r) for t, r in self.ranks.items() for i in range(1, len(t)))
         pairs = np.fromiter((x for h in halves if None not in h for x in h), np.int64).reshape(-1, 3)
         self._table("merges", {"pair": pairs[:, 0] * 65536 + pairs[:, 1], "merged": pairs[:, 2].astype(np.int32)})
-        self._table("vocabulary", {"id": np.fromiter(self.tokens, np.int32), "piece": pa.array(self.tokens.values(), pa.binary())})
+        self._table("vocabulary", {"id": np.fromiter(self.tokens, np.int32), "piece": [t.hex() for t in self.tokens.values()]})
         self.joined = np.zeros((256, 256), bool)  # pairs of bytes that lie side by side in some token
         for t in self.tokens.values():
             self.joined[np.frombuffer(t[:-1], np.uint8), np.frombuffer(t[1:], np.uint8)] = True
@@ -251,10 +251,8 @@ class Codec:
             at = np.arange(a, min(a + DECODED, len(ids)))
             doc = (np.searchsorted(offsets, at, "right") - 1).astype(np.int32)
             got = self._ask(_DECODE, tokens=pa.table({"doc": doc, "place": at, "id": ids[a : a + DECODED].astype(np.int32)}))
-            for d, pieces in zip(got["doc"].to_pylist(), got["pieces"].combine_chunks(), strict=True):
-                _, ends, data = pieces.values.buffers()
-                first, last = (np.frombuffer(ends, np.int32, 1, 4 * (pieces.values.offset + k))[0] for k in (0, len(pieces.values)))
-                yield d, data[first:last].to_pybytes()
+            for d, h in zip(got["doc"].to_pylist(), got["hex"].to_pylist(), strict=True):
+                yield d, bytes.fromhex(h)
 
 
 def _coded(codec: Codec, batch: pa.RecordBatch, seen) -> tuple[np.ndarray, list[str], list[str]]:
