@@ -387,16 +387,26 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
     assert sorted(got) == sorted(want)
 
 
-def test_backoff_scores_match_brute_force(spark, edges):
+def brute_backoff(texts, least, backoff):
+    pairs = [list(zip([None, *w], w, strict=False)) for w in (re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts)]
+    c2, c1, cv = collections.Counter(p for ps in pairs for p in ps), collections.Counter(w for ps in pairs for _, w in ps), collections.Counter(v for ps in pairs for v, _ in ps)
+    n = sum(c1.values())
+    s = lambda v, w: c1[w] / n if v is None else c2[v, w] / cv[v] if c2[v, w] >= least else backoff * c1[w] / n
+    return [(len(ps), round(float(np.mean([np.log10(s(*p)) for p in ps])), 6) if ps else None) for ps in pairs]
+
+
+@pytest.mark.parametrize("least", [1, 2])
+@pytest.mark.parametrize("block", [16 << 20, 40])
+def test_backoff_scores_match_brute_force(spark, edges, least, block):
+    """Also with blocks so small that texts are cut into pieces."""
     from tidewords.llm import lm
 
-    words = [(t or "").split() for _, t, *_ in EDGES]
-    pairs = [list(zip([None, *w], w)) for w in words]
-    c2 = collections.Counter(p for ps in pairs for p in ps)
-    c1, cv = collections.Counter(w for ws in words for w in ws), collections.Counter(v for ps in pairs for v, _ in ps)
-    n = sum(c1.values())
-    s = lambda v, w: c1[w] / n if v is None else c2[v, w] / cv[v] if c2[v, w] >= lm.LEAST else lm.BACKOFF * c1[w] / n
-    want = sorted((i or 0, len(ps), float(np.mean([np.log10(s(*p)) for p in ps])) if ps else 0.0) for (i, *_), ps in zip(EDGES, pairs, strict=True))
-    got = sorted((r.doc_id or 0, r.n_words, r.mean_log10 or 0.0) for r in lm.backoff_scores(edges).collect())
-    assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want], atol=1e-5)
-    assert lm.backoff_scores(edges.limit(0)).count() == 0
+    texts = [t for _, t, *_ in EDGES] + ["a b a b c", "b c\n\n" + "longer" * 20 + " b c d \t", "c", "   " * 40 + "x y" + " " * 90]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("packed", F.lit(1))
+    pieces = lm.spread_blocks(docs.select("doc_id", "text"), block).count()
+    assert pieces > len(texts) if block == 40 else pieces <= len(texts)
+    got = {r.doc_id: (r.n_words, r.mean_log10) for r in lm.backoff_scores(docs, least=least, block=block).collect()}
+    for i, (n, mean) in enumerate(brute_backoff(texts, least, lm.BACKOFF)):
+        assert got[i][0] == n and (got[i][1] == mean if mean is None else abs(got[i][1] - mean) < 2e-6)
+    assert lm.backoff_scores(edges.limit(0)).count() == 0 and lm.backoff_scores(edges).count() == len(EDGES)
+    assert lm.backoff_scores(edges.withColumn("doc_id", F.col("doc_id").cast("string"))).schema["doc_id"].dataType.simpleString() == "string"
