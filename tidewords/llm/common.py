@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -82,6 +83,36 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [whole[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
+_BLANK = np.isin(np.arange(256), np.frombuffer(b" \t\n\v\f\r", np.uint8))
+_GAP = re.compile(rb"[ \t-\r]")
+
+
+def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, pa.LargeBinaryArray]:
+    """The words of texts that lie end to end: the text of each, and all of them in order."""
+    blank = _BLANK[raw]
+    begins = ~blank
+    begins[1:] &= blank[:-1]
+    heads = at[:-1][at[:-1] < len(raw)]
+    begins[heads] = ~blank[heads]
+    starts = np.flatnonzero(begins)
+    gaps = np.flatnonzero(blank)
+    ends = np.append(starts - np.searchsorted(gaps, starts), len(raw) - len(gaps))
+    data = np.ascontiguousarray(raw[~blank])
+    return np.searchsorted(at, starts, "right") - 1, pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
+def segments(text: bytes, size: int) -> Iterator[bytes]:
+    """A text in parts of about ``size`` bytes, cut in white space; at least one."""
+    at = 0
+    while True:
+        gap = _GAP.search(text, at + size)
+        stop = gap.start() if gap else len(text)
+        yield text[at:stop]
+        if stop == len(text):
+            return
+        at = stop
+
+
 def give_back() -> None:
     """Return freed memory to the system; a worker outlives its task and stands beside the next one's."""
     gc.collect()
