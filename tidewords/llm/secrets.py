@@ -9,7 +9,7 @@ from re import _parser as regex_tree
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewords.llm.common import read
+from tidewords.llm.common import read, settle
 
 #: Kind, pattern, the group whose length counts, its least length. The first three are the base.
 RULES = [
@@ -22,6 +22,10 @@ RULES = [
     ("jwt", r"(eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)", 1, 40),
 ]
 BASE = ["assign", "access", "hex"]
+#: Candidates (an id and a few rule names each) that are sent to every task; more are shuffled.
+SENT = 200_000
+#: Places of a block of running sums.
+_RUN = 64
 _WIDEST = 64  # exact strings kept while deriving; more than these count as unknown
 
 
@@ -105,6 +109,28 @@ def candidates(docs: DataFrame, rules: list = RULES) -> DataFrame:
     )
 
 
+def _let(value: Column, use) -> Column:
+    """``use(x)`` with ``value`` worked out once and not at each place that names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _running(steps: Column, join) -> Column:
+    """What an array of numbers comes to before each place (0 before the first), joined by + or the like.
+
+    In blocks, so that the work isn't the square of the array's length.
+    """
+    total = lambda xs: F.aggregate(xs, F.lit(0), join)
+    upto = lambda xs, n: F.when(n > 0, F.slice(xs, F.lit(1), F.greatest(n, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+
+    def sums(blocks):
+        ahead = F.transform(blocks, total)
+        bases = _let(ahead, lambda t: F.transform(t, lambda _, k: total(upto(t, k))))
+        return _let(bases, lambda t: F.flatten(F.transform(blocks, lambda b, k: F.transform(b, lambda _, j: join(t[k], total(upto(b, j)))))))
+
+    cut = lambda xs: F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / _RUN).cast("int")), lambda k: F.slice(xs, k * _RUN + 1, F.lit(_RUN)))
+    return _let(steps, lambda xs: F.when(F.size(xs) > 0, _let(cut(xs), sums)).otherwise(F.array().cast("array<int>")))
+
+
 def _spans(text: Column, order: int, kind: str, pattern: str, group: int, least: int) -> Column:
     """Spans (start, order, end, kind) of a rule's leftmost matches that don't overlap, in code points.
 
@@ -112,35 +138,39 @@ def _spans(text: Column, order: int, kind: str, pattern: str, group: int, least:
     """
     between, whole = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     counted = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    rows = F.arrays_zip(F.slice(between, F.lit(1), F.size(whole)).alias("gap"), whole.alias("hit"), counted.alias("counted"))
-    none = F.array().cast("array<struct<start:int,ord:int,end:int,kind:string>>")
+    lengths = F.zip_with(F.zip_with(between, whole, lambda g, h: F.struct(F.length(g).alias("gap"), F.length(h).alias("hit"))), counted, lambda x, c: F.struct(x["gap"].alias("gap"), x["hit"].alias("hit"), F.length(c).alias("counted")))
 
-    def step(acc, x):
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        span = F.struct(start.alias("start"), F.lit(order).alias("ord"), end.alias("end"), F.lit(kind).alias("kind"))
-        return F.struct(end.alias("at"), F.when(F.length(x["counted"]) >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    def rows(found):
+        own = F.filter(found, lambda x: x["hit"].isNotNull())
+        starts = _running(F.transform(own, lambda x: x["gap"] + x["hit"]), lambda a, b: a + b)
+        placed = lambda at: F.transform(own, lambda x, k: F.struct((at[k] + x["gap"]).alias("start"), F.lit(order).alias("ord"), (at[k] + x["gap"] + x["hit"]).alias("end"), F.lit(kind).alias("kind"), x["counted"].alias("counted")))
+        kept = F.filter(_let(starts, placed), lambda x: x["counted"] >= least)
+        return F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["ord"].alias("ord"), x["end"].alias("end"), x["kind"].alias("kind")))
 
-    return F.aggregate(rows, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    return _let(lengths, rows)
 
 
 def find_secrets(docs: DataFrame, rules: list = RULES) -> DataFrame:
-    """``docs`` with __spans, an array of (start, ord, end, kind) by start, then the rule's place.
+    """(row, spans) for each row of ``docs``: all its columns, and an array of (start, ord, end, kind) by start, then rule.
 
-    A rule with mandatory trigrams is verified only where the index has them; the others scan every text.
-    Null texts count as empty and have no spans. A null id is joined as a value of its own, and rows that
-    share an id share their candidates, which verification decides row by row; empty tables give no rows.
+    A rule with mandatory trigrams is verified only where the index has them; the others scan every text. The
+    candidates go back to the texts by id, sent to all tasks where they are at most ``SENT`` and shuffled otherwise.
+    Null texts count as empty and have no spans. Texts without an id are verified for every rule, as the index can't
+    name them; rows that share an id share their candidates, which verification decides row by row. Ids may be of
+    any type; no column name clashes; empty tables give no rows.
     """
-    asked = candidates(docs.select("doc_id", "text"), rules).withColumnRenamed("doc_id", "__id")
-    text = F.coalesce("text", F.lit(""))
+    asked = settle(candidates(docs.select("doc_id", "text"), rules).withColumnRenamed("doc_id", "id"))
+    asked = F.broadcast(asked) if asked.limit(SENT + 1).count() <= SENT else asked
+    held = docs.select(F.col("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("body"), F.struct(*docs.columns).alias("row"))
+    text, named = F.col("body"), F.col("key").isNotNull()
     none = F.array().cast("array<struct<start:int,ord:int,end:int,kind:string>>")
     found = []
     for order, (kind, pattern, group, least) in enumerate(rules):
-        quick = pattern[:-2] + "{%d,})" % least if pattern.startswith("([") else pattern
-        hit = text.rlike(quick)
-        hit = F.coalesce(F.array_contains("__rules", kind), F.lit(False)) & hit if trigram_query(pattern) else hit
-        found.append(F.when(hit, _spans(text, order, kind, pattern, group, least)).otherwise(none))
-    return docs.join(asked, F.col("doc_id").eqNullSafe(F.col("__id")), "left").withColumn("__spans", F.array_sort(F.concat(*found))).drop("__id", "__rules")
+        run = pattern[:-2] + "{%d,})" % least if pattern.startswith("([") else pattern  # runs of one class: the short ones needn't be met
+        hit = text.rlike(run)
+        hit = F.when(named, F.coalesce(F.array_contains("__rules", kind), F.lit(False))).otherwise(True) & hit if trigram_query(pattern) else hit
+        found.append(F.when(hit, _spans(text, order, kind, run, group, least)).otherwise(none))
+    return held.join(asked, F.col("key") == F.col("id"), "left").select("row", F.array_sort(F.concat(*found)).alias("spans"))
 
 
 def _joined(spans: Column) -> Column:
@@ -148,25 +178,32 @@ def _joined(spans: Column) -> Column:
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents; see ``find_secrets`` for nulls, empty texts and repeated rows."""
     found = find_secrets(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    count = lambda kind: F.size(F.filter("__spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    base = F.filter("__spans", lambda s: s["kind"].isin(BASE))
-    return found.select("doc_id", *map(count, BASE), F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("__spans")).alias("spans"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"].isin(BASE))
+    return found.select("row.doc_id", *map(count, BASE), F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """``docs`` with every span of ``text`` replaced by ``mark``; overlapping spans become one mark. Null stays null."""
+    """``docs`` with every span of ``text`` replaced by ``mark``; overlapping spans become one mark. Null stays null.
+
+    The other columns stay as they are; see ``find_secrets`` for the edges.
+    """
+    text, columns = F.col("row.text"), [F.col("row")[c].alias(c) for c in docs.columns if c != "text"]
 
-    def step(acc, s):
-        fresh = s["start"] >= acc["at"]
-        gap = F.when(fresh, F.concat(acc["text"], F.substring("text", acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["text"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), gap.alias("text"))
+    def rest(spans):
+        reach = _running(F.transform(spans, lambda x: x["end"]), lambda a, b: F.greatest(a, b))
+        gaps = lambda at: F.transform(spans, lambda x, k: F.when(x["start"] >= at[k], F.concat(F.substr(text, at[k] + 1, x["start"] - at[k]), F.lit(mark))))
+        tail = F.substr(text, F.array_max(F.transform(spans, lambda x: x["end"])) + 1)
+        return F.concat(F.array_join(_let(reach, gaps), ""), tail)
 
-    clean = F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("text")), step, lambda acc: F.concat(acc["text"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return find_secrets(docs).withColumn("text", F.when(F.size("__spans") > 0, clean).otherwise(F.col("text"))).select(*docs.columns)
+    clean = F.when(F.size("spans") > 0, _let(F.col("spans"), rest)).otherwise(text).alias("text")
+    return find_secrets(docs).select(*columns, clean).select(*docs.columns)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows with the secrets in their texts struck out; see ``find_secrets`` for the edges."""
     return redact(docs)
 
 
