@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewords.llm.common import WORD, read
+from tidewords.llm.common import WORD, read, settle
 
 SEED = "mix-1"
+#: Columns that the mix adds.
+ADDED = ("size", "source_size", "target", "copies", "taken")
 
 
 def word_count(text: Column) -> Column:
@@ -53,20 +55,24 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repea
     (source, class, hash cell) and a window inside each cell, so no window ever holds a whole source.
 
     Null and empty texts have size 0 and may be taken without adding words; a null source is a source of its
-    own, last in order; repeated rows are rows like any other (ties in order by size and text hash); a null id
-    hashes as the word null; an empty table gives no rows. Columns of ``docs`` named like the added ones or
-    ``__…`` are replaced.
+    own, last in order; repeated rows are rows like any other (ties in order by size and text hash); null ids are
+    told apart by their texts; ids may be of any type; an empty table gives no rows. Columns of ``docs`` named like
+    the added ones are replaced, any others kept.
     """
+    kept = [c for c in docs.columns if c not in ADDED]
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("print"), F.struct(*kept).alias("row"))
+    return place(rows, weights, max_repeat, seed).select(*(F.col("row")[c].alias(c) for c in kept), *ADDED)
+
+
+def place(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3, seed: str = SEED) -> DataFrame:
+    """Rows (doc_id, source, size, print of the text, row) with source_size, target, copies and taken."""
     keys = ["__src", "__nosrc", "__class", "__cell"]
     base = (
-        docs.withColumn("size", word_count(F.col("text")))
-        .withColumn("__src", F.coalesce("source", F.lit("")))
+        rows.withColumn("__src", F.coalesce("source", F.lit("")))
         .withColumn("__nosrc", F.col("source").isNull())
         .withColumn("__class", size_class(F.col("size")))
-        .withColumn("__hash", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
+        .withColumn("__hash", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), "print"))).cast("binary")))
         .withColumn("__cell", F.substring("__hash", 1, 2))
-        .withColumn("__tie", F.xxhash64("text"))
-        .drop("source_size", "target", "copies", "taken")
     )
     cells = base.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("size").alias("s"))
     classes = cells.groupBy(*keys[:3]).agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
@@ -74,26 +80,28 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repea
     before = lambda keys, order: F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     classes = classes.select(*keys[:3], before(keys[:2], "__class").alias("before_class")).join(source_targets(totals, weights, max_repeat), keys[:2])
     cells = cells.select(*keys, before(keys[:3], "__cell").alias("before_cell")).join(classes, keys[:3])
-    rank = F.col("before_class") + F.col("before_cell") + F.row_number().over(Window.partitionBy(*keys).orderBy("__hash", "size", "__tie"))
+    rank = F.col("before_class") + F.col("before_cell") + F.row_number().over(Window.partitionBy(*keys).orderBy("__hash", "size", "print"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    offset = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "__nosrc", "__src")), 1, 6), 16, 10).cast("double") / float(1 << 24)
+    offset = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "__nosrc", "__src").cast("binary")), 1, 6), 16, 10).cast("double") / float(1 << 24)
     crossed = lambda at: F.floor(at * F.col("__rate") + F.col("__offset"))
     return (
         base.join(cells, keys)
         .withColumns({"__rank": rank, "__rate": rate, "__offset": offset})
         .withColumn("copies", F.least(crossed(F.col("__rank")) - crossed(F.col("__rank") - 1), F.lit(max_repeat)).cast("long"))
         .withColumn("taken", F.col("size") * F.col("copies"))
-        .drop(*keys, "__hash", "__tie", "__rank", "__rate", "__offset", "before_class", "before_cell")
     )
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix_sources(docs).select("doc_id", "size", "source_size", "target", "copies", "taken")
+    """The mix of all documents; see ``mix_sources`` for nulls, ties and repeated rows. Words are counted once."""
+    docs = read(spark, sf_dir, "documents")
+    print_ = F.when(F.col("doc_id").isNull(), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).otherwise(F.xxhash64("text").cast("string")).alias("print")
+    rows = settle(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), print_))
+    return place(rows).select("doc_id", *ADDED)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix itself: each document as many times as it is taken; those taken no time go."""
+    """The mix itself: each document, with all its columns, as many times as it is taken; those taken no time go."""
     held = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("row"))  # so that no name clashes
     mixed = mix_sources(held).where("copies > 0")
     return mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
@@ -103,7 +111,7 @@ OP4_SQL = rf"""
 WITH base AS (
   SELECT doc_id, coalesce(source, '') AS src, source IS NULL AS nosrc,
     CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-    md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h
+    md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, '')))) AS h
   FROM documents),
 sources AS (SELECT src, nosrc, sum(size)::DOUBLE AS ss FROM base GROUP BY ALL),
 placed AS (SELECT *, (row_number() OVER (ORDER BY nosrc, src) - 1) % 3 + 1.0::DOUBLE AS w, row_number() OVER (ORDER BY nosrc, src) AS pos FROM sources),
