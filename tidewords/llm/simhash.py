@@ -11,35 +11,41 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from tidewords.llm.common import batches, give_back, read, settle, texts
+from tidewords.llm.common import batches, give_back, read, segments, settle, texts
 
 SHINGLE = 4
 RADIUS = 4
-#: Bits differ by at most 4 in all, so by at most 1 in one of these three segments.
-SEGMENTS = tuple(np.uint64(((1 << width) - 1) << low) for low, width in ((0, 22), (22, 21), (43, 21)))
-SEGMENT_RADIUS = 1
-#: Fingerprints a shard is meant to hold, levels a tree may have, fingerprints that shape the trees.
-SHARD_SIZE, MOST_LEVELS, SAMPLE = 256, 18, 4096
+#: Fingerprints that share a segment of 21 bits can't be told apart in it; beyond so many, segments are longer and balls wider.
+CROWD = 1 << 25
+#: Fingerprints a shard is meant to hold, and those that shape the trees.
+SHARD_SIZE, SAMPLE = 256, 4096
 _BRUTE = 1 << 22
 #: Parts over which a node's links are dealt where they meet its least neighbour.
 SPREAD = 16
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """The SimHash of a text's word shingles, repeats included; fewer words make one shingle, none give 0."""
-    words = text.lower().split()  # bytes: only A-Z changes, only the six ASCII white-space characters part
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    n = max(1, len(words) - shingle + 1)
-    starts = np.concatenate(([0], ends[: n - 1])).tolist()
-    stops = (ends[shingle - 1 :] - 1).tolist() if len(words) >= shingle else [len(joined)]
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts, stops, strict=True)], np.uint64)
-    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
-    over = 2 * bits.sum(axis=0, dtype=np.int64) > n
-    return int.from_bytes(np.packbits(over, bitorder="little").tobytes(), "little")
+    """The SimHash of a text's word shingles, repeats included; fewer words make one shingle, none give 0.
+
+    A long text is taken in parts with the counts of bits carried on.
+    """
+    bits, n, words = np.zeros(64, np.int64), 0, []
+    for part in segments(text, 1 << 20):
+        words += part.lower().split()  # bytes: only A-Z changes, only the six ASCII white-space characters part
+        if len(words) >= shingle:
+            joined, ends = b" ".join(words), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+            starts = np.concatenate(([0], ends[:-shingle])).tolist()
+            hashes = [xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)]
+            bits += _ones(hashes)
+            n, words = n + len(hashes), words[len(words) - shingle + 1 :]
+    if not n and words:
+        bits, n = _ones([xxhash.xxh64_intdigest(b" ".join(words), 42)]), 1
+    return int.from_bytes(np.packbits(2 * bits > n, bitorder="little").tobytes(), "little")
+
+
+def _ones(hashes: list[int]) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    return np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
 
 
 @F.arrow_udf(LongType())
@@ -50,6 +56,12 @@ def simhash(text: pa.Array) -> pa.Array:
     return pa.array(np.array(prints, np.uint64).view(np.int64))
 
 
+def segment_masks(parts: int) -> tuple[list[np.uint64], int]:
+    """The 64 bits in so many segments, and the most bits that differ in one of them where ``RADIUS`` differ in all."""
+    cuts = [64 * k // parts for k in range(parts + 1)]
+    return [np.uint64(((1 << b - a) - 1) << a) for a, b in zip(cuts, cuts[1:], strict=False)], RADIUS // parts
+
+
 def _distance(a: np.ndarray, b) -> np.ndarray:
     return np.bitwise_count(a ^ b)
 
@@ -76,17 +88,20 @@ class VantageTree:
             order = np.lexsort((d, node))
             first, count = np.searchsorted(node[order], np.arange(1 << level)), np.bincount(node, minlength=1 << level)
             full = np.flatnonzero(count >= 8)
+            if not len(full):  # from here on nodes keep the radius of their ancestor, which needs no room
+                break
             radius[full] = d[order][first[full] + (count[full] - 1) // 2]
             self.radius.append(radius)
             node = node * 2 + (d > radius[node])
             usual = np.repeat(radius, 2)
+        self.usual = usual
 
     def route(self, prints: np.ndarray, ball: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows, leaves and whether the leaf is the row's home, for each leaf that a row's ball overlaps."""
         row, node, home = np.arange(len(prints)), np.zeros(len(prints), np.int64), np.ones(len(prints), bool)
         for level in range(self.levels):
             d = _distance(prints & self.mask, self.points[level]).astype(np.int64)[row]
-            r = self.radius[level][node]
+            r = self.radius[level][node] if level < len(self.radius) else self.usual[node >> level - len(self.radius)]
             inner, outer = np.flatnonzero(d - ball <= r), np.flatnonzero(d + ball > r)
             inside = d <= r
             row, home = np.concatenate((row[inner], row[outer])), np.concatenate(((home & inside)[inner], (home & ~inside)[outer]))
@@ -136,13 +151,13 @@ def link(prints: np.ndarray, home: np.ndarray, query: np.ndarray, groups: Groups
         groups.unite(some[a], home[b])
 
 
-def _shards(trees: list[VantageTree]):
+def _shards(trees: list[VantageTree], ball: int):
     def route(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             prints = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for k in range(0, len(prints), 4096):
                 for segment, tree in enumerate(trees):
-                    row, node, home = tree.route(prints[k : k + 4096], SEGMENT_RADIUS)
+                    row, node, home = tree.route(prints[k : k + 4096], ball)
                     yield pa.RecordBatch.from_arrays([pa.array(segment + len(trees) * node), pa.array(prints[k : k + 4096][row].view(np.int64)), pa.array(home)], ["cell", "print", "home"])
 
     return route
@@ -174,16 +189,19 @@ def _link_shards(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
-def near_links(prints: DataFrame) -> DataFrame:
+def near_links(prints: DataFrame, parts: int | None = None) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column print) that connect all pairs within ``RADIUS`` bits.
 
+    Two that differ by 4 bits differ by at most 1 in one of three segments, or by 2 in one of two; each segment has
+    a tree, and ``parts`` is chosen by the number of fingerprints unless given. The links are the same either way.
     Pairs inside a shard are never listed: each shard sends a spanning forest of what it found.
     """
     n = prints.count()
-    levels = min(MOST_LEVELS, max(0, int(np.ceil(np.log2(max(1, n / SHARD_SIZE))))))
+    masks, ball = segment_masks(parts or (3 if n < CROWD else 2))
+    levels = max(0, int(np.ceil(np.log2(max(1, n / SHARD_SIZE)))))
     sample = np.array([r[0] for r in prints.orderBy(F.xxhash64("print")).limit(SAMPLE).collect()], np.int64).view(np.uint64)
-    trees = [VantageTree(sample, mask, levels, seed) for seed, mask in enumerate(SEGMENTS)]
-    routed = prints.select("print").mapInArrow(_shards(trees), "cell long, print long, home boolean")
+    trees = [VantageTree(sample, mask, levels, seed) for seed, mask in enumerate(masks)]
+    routed = prints.select("print").mapInArrow(_shards(trees, ball), "cell long, print long, home boolean")
     return routed.repartition("cell").sortWithinPartitions("cell").mapInArrow(_link_shards, "a long, b long").distinct()
 
 
@@ -230,25 +248,38 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     groups = group_prints(hashed)
     named = hashed.groupBy("print").agg(F.min("doc_id").alias("least")).join(groups, "print")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "component").select("print", "component_id")
+    named = _by_component(named, least).select("print", "component_id")
     return hashed.join(named, "print").select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _by_component(named: DataFrame, least: DataFrame) -> DataFrame:
+    """Both joined by component; a component's fingerprints are dealt over several tasks."""
+    parts = least.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return named.withColumn("__part", F.pmod(F.xxhash64("print"), F.lit(SPREAD)).cast("int")).join(parts, ["component", "__part"]).drop("__part")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of all documents; see ``simhash_groups`` for nulls, empty texts and repeated rows."""
     return simhash_groups(read(spark, sf_dir, "documents"))
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """One row of each component of ``docs``: the least doc_id (null last), then the least fingerprint."""
-    hashed = docs.withColumn("__print", simhash("text"))
-    slim = settle(hashed.select("doc_id", F.col("__print").alias("print")))
-    pick = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")
-    chosen = slim.groupBy("print").agg(F.min(pick).alias("pick")).join(group_prints(slim), "print").groupBy("component").agg(F.min("pick").alias("pick"))
-    chosen = chosen.select(F.col("pick.doc_id").alias("__id"), F.col("pick.print").alias("__chosen"))
-    kept = hashed.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__print") == F.col("__chosen")), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id", "__print").orderBy(F.xxhash64("text")))
-    return kept.withColumn("__row", first).where("__row = 1").select(*docs.columns)
+    """One row of each component of ``docs``, with all its columns: the least doc_id (null last), then the least fingerprint.
+
+    Of rows alike in id and text any one stays. Null and empty texts have fingerprint 0 and are near-duplicates of each
+    other; ids may be of any type; no column name clashes; an empty table gives no rows. Texts are fingerprinted once;
+    rows are found again by two hashes of id and text.
+    """
+    marks = (F.xxhash64("doc_id", "text").alias("mark"), F.hash("text", "doc_id").alias("mark2"))
+    slim = settle(docs.select("doc_id", *marks, simhash("text").alias("print")))
+    pick = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print", "mark", "mark2")
+    named = slim.groupBy("print").agg(F.min(pick).alias("pick")).join(group_prints(slim), "print")
+    chosen = named.groupBy("component").agg(F.min("pick").alias("pick")).select("pick.mark", "pick.mark2")
+    rows = docs.select(*marks, F.struct(*docs.columns).alias("row")).join(chosen, ["mark", "mark2"], "left_semi")
+    first = F.row_number().over(Window.partitionBy("mark", "mark2").orderBy("mark"))
+    return rows.withColumn("place", first).where("place = 1").select("row.*")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates; see ``near_dedup`` for the edges."""
     return near_dedup(docs)
