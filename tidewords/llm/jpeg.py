@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewords.llm.common import batches, read, record, slices, utf8
+from tidewords.llm.common import batches, by_document, read, record, slices, utf8
 
 BLOCK = 64
 ENCODE_BYTES, DECODE_BYTES, LANES = 4 << 20, 6 << 20, 1 << 15
@@ -66,26 +66,36 @@ def encode_payloads(raw: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     """
     lens = np.diff(offsets)
     blocks = np.maximum(1, -(-lens // BLOCK))
+    if len(lens) == 1:  # a long text goes part by part
+        step = ENCODE_BYTES // BLOCK
+        bodies = [_body(raw[k * BLOCK : (k + step) * BLOCK], np.zeros(1, np.int64), min(step, int(blocks[0]) - k), np.arange(k, min(k + step, int(blocks[0]))))[0] for k in range(0, int(blocks[0]), step)]
+        return [_image(int(lens[0]), int(blocks[0]), b"".join(bodies))]
     ends = np.cumsum(blocks)
     firsts = ends - blocks
-    payload = np.zeros(int(ends[-1]) * BLOCK if len(ends) else 0, np.uint8)
-    payload[np.arange(len(raw)) + np.repeat(firsts * BLOCK - offsets[:-1], lens)] = raw
+    total = int(ends[-1]) if len(ends) else 0
+    flat, stops = _body(raw, np.repeat(firsts * BLOCK - offsets[:-1], lens), total, np.arange(total) - np.repeat(firsts, blocks))
+    places = zip(lens.tolist(), blocks.tolist(), firsts.tolist(), ends.tolist(), strict=True)
+    return [_image(n, k, flat[int(stops[a - 1]) if a else 0 : int(stops[b - 1])]) for n, k, a, b in places]
+
+
+def _body(raw: np.ndarray, shift: np.ndarray, blocks: int, number: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Coded blocks, each closed by the restart marker of its number, and where they end; bytes are moved by ``shift``."""
+    payload = np.zeros(blocks * BLOCK, np.uint8)
+    payload[np.arange(len(raw)) + shift] = raw
     bits = np.zeros((len(payload), 9), np.uint8)
     bits[:, 1:] = np.unpackbits(payload[:, None], axis=1)
-    rows = np.empty((len(payload) // BLOCK, 74), np.uint8)
-    rows[:, :72] = np.packbits(bits.reshape(len(rows), -1), axis=1)
-    rows[:, 72], rows[:, 73] = 0xFF, 0xD0 + (np.arange(len(rows)) - np.repeat(firsts, blocks)) % 8
+    rows = np.empty((blocks, 74), np.uint8)
+    rows[:, :72] = np.packbits(bits.reshape(blocks, -1), axis=1)
+    rows[:, 72], rows[:, 73] = 0xFF, 0xD0 + number % 8
     full = rows == 0xFF
     full[:, 72] = False
-    stops = np.cumsum(74 + full.sum(1))
-    flat = np.insert(rows.ravel(), np.flatnonzero(full) + 1, 0).tobytes()
-    out = []
-    for n, k, a, b in zip(lens.tolist(), blocks.tolist(), firsts.tolist(), ends.tolist(), strict=True):
-        columns, high = grid(k)
-        body = flat[int(stops[a - 1]) if a else 0 : int(stops[b - 1])]
-        rest = b"".join(_EMPTY + bytes([0xFF, 0xD0 + i % 8]) for i in range(k, columns * high))
-        out.append(_header(n, columns, high) + (body + rest)[:-2] + _EOI)
-    return out
+    return np.insert(rows.ravel(), np.flatnonzero(full) + 1, 0).tobytes(), np.cumsum(74 + full.sum(1))
+
+
+def _image(n_bytes: int, blocks: int, body: bytes) -> bytes:
+    columns, high = grid(blocks)
+    rest = b"".join(_EMPTY + bytes([0xFF, 0xD0 + i % 8]) for i in range(blocks, columns * high))
+    return _header(n_bytes, columns, high) + (body + rest)[:-2] + _EOI
 
 
 @dataclass
@@ -211,13 +221,14 @@ def _lanes(images: list[bytes], frames: list[Frame]) -> tuple[np.ndarray, list[n
     stops = np.minimum(other[np.minimum(np.searchsorted(other, starts), len(other) - 1)], begins[1:])
     np.add.at(keep, starts, 1)
     np.add.at(keep, stops, -1)
-    keep = np.cumsum(keep[:-1]).astype(bool)
+    keep = np.cumsum(keep[:-1], dtype=np.int8).astype(bool)
     keep[full[after == 0] + 1] = False
     keep[full[restart]] = keep[full[restart] + 1] = False
-    at = np.concatenate(([0], np.cumsum(keep)))
+    gone = np.flatnonzero(~keep)
+    at = lambda x: x - np.searchsorted(gone, x)
     marks = full[restart]
     a, b = np.searchsorted(marks, starts), np.searchsorted(marks, stops)
-    return whole[keep], [np.concatenate(([at[s]], at[marks[x:y] + 2])) for s, x, y in zip(starts, a, b, strict=True)]
+    return whole[keep], [np.concatenate(([at(s)], at(marks[x:y] + 2))) for s, x, y in zip(starts, a, b, strict=True)]
 
 
 def _decode_alike(images: list[bytes], outs: list[Decoded], layout: tuple, keep: bool) -> None:
@@ -340,7 +351,7 @@ def payload(d: Decoded) -> tuple[int, bytes]:
 
 def _encode(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches(source, ENCODE_BYTES):
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(encode_payloads(*utf8(batch.column("text"))), pa.binary())], ["doc_id", "media"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(encode_payloads(*utf8(batch.column("text"))), pa.binary())], ["doc_id", "media"])
 
 
 def to_jpeg(docs: DataFrame) -> DataFrame:
@@ -348,7 +359,7 @@ def to_jpeg(docs: DataFrame) -> DataFrame:
 
     Repeated rows and null ids stay, other columns go, an empty table gives no rows.
     """
-    return docs.select("doc_id", "text").mapInArrow(_encode, "doc_id long, media binary")
+    return docs.select("doc_id", "text").mapInArrow(_encode, by_document(docs, "media binary")[0])
 
 
 def _media_batches(source: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -372,7 +383,7 @@ def jpeg_thumbnails(media: DataFrame) -> DataFrame:
             ok = [d if d.thumbnail is not None else None for d in got]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id").cast(pa.int64()),
+                    batch.column("doc_id"),
                     *(pa.array([d and f(d.frame) for d in ok], pa.int32()) for f in (lambda f: f.width, lambda f: f.height, lambda f: len(f.components))),
                     pa.array([d and d.thumbnail.tobytes() for d in ok], pa.binary()),
                     pa.array([d and f"{average_hash(d.thumbnail):016x}" for d in ok], pa.string()),
@@ -381,22 +392,24 @@ def jpeg_thumbnails(media: DataFrame) -> DataFrame:
                 ["doc_id", "width", "height", "components", "thumbnail", "thumbnail_hash", "error"],
             )
 
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, width int, height int, components int, thumbnail binary, thumbnail_hash string, error string")
-
+    return media.select("doc_id", "media").mapInArrow(run, by_document(media, "width int, height int, components int, thumbnail binary, thumbnail_hash string, error string")[0])
 
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 
+def _read_back(schema: pa.Schema):
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, images in _media_batches(source):
+            rows = []
+            for image, d in zip(images, decode(images, keep=True), strict=True):
+                n, stored = payload(d)
+                feature = f"{d.frame.width}x{d.frame.height}:{average_hash(d.thumbnail):016x}:{zlib.crc32(d.thumbnail.tobytes()):08x}"
+                rows.append((n, len(stored), hashlib.sha256(stored).hexdigest(), zlib.crc32(stored[-64:]), len(image), hashlib.sha256(image).hexdigest(), feature))
+            yield record(schema, doc_id=batch.column("doc_id"), **dict(zip(schema.names[1:], zip(*rows, strict=True), strict=True)))
 
-def _read_back(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, images in _media_batches(source):
-        rows = []
-        for image, d in zip(images, decode(images, keep=True), strict=True):
-            n, stored = payload(d)
-            feature = f"{d.frame.width}x{d.frame.height}:{average_hash(d.thumbnail):016x}:{zlib.crc32(d.thumbnail.tobytes()):08x}"
-            rows.append((n, len(stored), hashlib.sha256(stored).hexdigest(), zlib.crc32(stored[-64:]), len(image), hashlib.sha256(image).hexdigest(), feature))
-        yield record(_SCHEMA, doc_id=batch.column("doc_id"), **dict(zip(_SCHEMA.names[1:], zip(*rows, strict=True), strict=True)))
+    return run
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ddl = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return to_jpeg(read(spark, sf_dir, "documents")).mapInArrow(_read_back, ddl)
+    """All documents stored as JPEG and read back; see ``to_jpeg`` for nulls, empty and long texts and repeated rows."""
+    docs = read(spark, sf_dir, "documents")
+    fields, schema = by_document(docs, "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return to_jpeg(docs).mapInArrow(_read_back(schema), fields)
