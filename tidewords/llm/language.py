@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewords.llm.common import batches, held_out, read, record, texts, utf8
+from tidewords.llm.common import batches, by_document, held_out, read, record, texts, utf8
 from tidewords.llm.ngrams import histograms
 
 BINS, DIM, SIZES = 2048, 16, (2, 3)
@@ -51,28 +51,31 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return histograms(raw, offsets, _TABLE, BINS, SIZES)
 
 
-def fit(x: np.ndarray, y: np.ndarray, languages: list[str], seed: int = 7) -> Model:
-    """Stochastic gradient descent on four fifths of the rows; temperature and threshold on the rest."""
+def gradient(m: Model, xs: np.ndarray, ys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the mean weighted cross-entropy, by embeddings, weights and bias."""
+    h = xs @ m.embeddings
+    d = softmax(h @ m.weights + m.bias)
+    d[np.arange(len(ys)), ys] -= 1
+    d *= weight[ys][:, None] / len(ys)
+    return xs.T @ (d @ m.weights.T), h.T @ d, d.sum(0)
+
+
+def fit(x: np.ndarray, y: np.ndarray, kept_back: np.ndarray, languages: list[str], seed: int = 7) -> Model:
+    """Stochastic gradient descent on the rows that aren't kept back; temperature and threshold on those that are."""
     random = np.random.default_rng(seed)
     k = len(languages)
     m = Model(languages, random.normal(0, 0.1, (BINS, DIM)).astype(np.float32), random.normal(0, 0.3, (DIM, k)).astype(np.float32), np.zeros(k, np.float32))
-    order = random.permutation(len(x))
-    held, used = order[: len(x) // 5], order[len(x) // 5 :]
+    held, used = np.flatnonzero(kept_back), np.flatnonzero(~kept_back)
     weight = (len(used) / k / np.maximum(1, np.bincount(y[used], minlength=k))).astype(np.float32)
     for epoch in range(EPOCHS):
         random.shuffle(used)
         rate = RATE * (1 - epoch / EPOCHS)
         for a in range(0, len(used), BATCH):
             some = used[a : a + BATCH]
-            xs = x[some]
-            h = xs @ m.embeddings
-            d = softmax(h @ m.weights + m.bias)
-            d[np.arange(len(some)), y[some]] -= 1
-            d *= weight[y[some]][:, None] / len(some)
-            back = d @ m.weights.T
-            m.weights -= rate * 0.05 * (h.T @ d)
-            m.bias -= rate * 0.05 * d.sum(0)
-            m.embeddings -= rate * (xs.T @ back)
+            by_embedding, by_weight, by_bias = gradient(m, x[some], y[some], weight)
+            m.weights -= rate * 0.05 * by_weight
+            m.bias -= rate * 0.05 * by_bias
+            m.embeddings -= rate * by_embedding
     if len(held):
         z = m.logits(x[held])
         loss = {t: -np.log(softmax(z / t)[np.arange(len(held)), y[held]] + 1e-12).mean() for t in np.geomspace(0.1, 10, 41)}
@@ -90,34 +93,33 @@ def _sample_features(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         both = whole + [t[:SNIPPET] for t in whole]
         offsets = np.concatenate(([0], np.cumsum(np.fromiter(map(len, both), np.int64, len(both)))))
         x = features(np.frombuffer(b"".join(both), np.uint8), offsets).astype(np.float16)
-        lang = pa.concat_arrays([batch.column("lang")] * 2)
-        yield pa.RecordBatch.from_arrays([lang, pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
+        lang, back = (pa.concat_arrays([batch.column(c)] * 2) for c in ("lang", "back"))
+        yield pa.RecordBatch.from_arrays([lang, back, pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "back", "x"])
 
 
 def train(docs: DataFrame) -> Model | None:
     """A model from a bounded sample of documents that aren't held out and have a language; None without any.
 
     The sample has at most about ``PER_LANGUAGE`` documents a language and ``IN_ALL`` in all, chosen by a hash
-    of the id, so it is the same at every run. There must be few enough languages for a softmax over them.
+    of the id, so it is the same at every run. A fifth of its documents, by another hash, is kept back for temperature
+    and threshold; so no text is in both parts. There must be few enough languages for a softmax over them.
     """
-    known = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
+    taught = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = {r[0]: r[1] for r in taught.groupBy("lang").count().collect()}
     if not counts:
         return None
     share = {k: min(1.0, min(PER_LANGUAGE, IN_ALL / len(counts)) / n) for k, n in counts.items()}
     at = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
-    sample = known.where(at < F.create_map(*(F.lit(v) for kv in share.items() for v in kv))[F.col("lang")])
-    rows = sample.select("lang", "text").mapInArrow(_sample_features, "lang string, x binary").toArrow()
+    sample = taught.where(at < F.create_map(*(F.lit(v) for kv in share.items() for v in kv))[F.col("lang")])
+    back = (F.pmod(F.xxhash64("text", F.lit("calibration")), F.lit(5)) == 0).alias("back")
+    rows = sample.select("lang", back, "text").mapInArrow(_sample_features, "lang string, back boolean, x binary").toArrow()
     languages = sorted(counts)
-    pairs = sorted(zip(rows["lang"].to_pylist(), rows["x"].to_pylist(), strict=True))  # the same order at every run
-    x = np.stack([np.frombuffer(b, np.float16) for _, b in pairs]).astype(np.float32) if pairs else np.zeros((0, BINS), np.float32)
-    y = np.array([languages.index(v) for v, _ in pairs], np.int64)
-    return fit(x, y, languages)
-
+    known = sorted(zip(rows["lang"].to_pylist(), rows["x"].to_pylist(), rows["back"].to_pylist(), strict=True))  # the same order at every run
+    x = np.stack([np.frombuffer(b, np.float16) for _, b, _ in known]).astype(np.float32) if known else np.zeros((0, BINS), np.float32)
+    return fit(x, np.array([languages.index(v) for v, *_ in known], np.int64), np.array([k for *_, k in known], bool), languages)
 
-def _predictor(model: Model | None):
-    schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
 
+def _predictor(model: Model | None, schema: pa.Schema):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source, 2 << 20):
             n = batch.num_rows
@@ -126,7 +128,7 @@ def _predictor(model: Model | None):
             names = np.array([*(model.languages if model else ["und"]), "und"], object)
             known = lettered if model else np.zeros(n, bool)
             score = np.where(known, score, 0.0).astype(np.float64)
-            yield record(schema, doc_id=batch.column("doc_id").cast(pa.int64()), lang_pred=names[np.where(known, best, -1)].tolist(), score=score, rejected=~known | (score < (model.threshold if model else 1)))
+            yield record(schema, doc_id=batch.column("doc_id"), lang_pred=names[np.where(known, best, -1)].tolist(), score=score, rejected=~known | (score < (model.threshold if model else 1)))
 
     return run
 
@@ -135,11 +137,14 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, lang_pred, score, rejected) for each row of ``docs``, from its whole text.
 
     A text that is null or has no letters is ``und`` with score 0 and rejected; so is any without a model.
-    ``rejected`` marks scores below the calibrated threshold. Null ids stay; repeated rows are predicted alike.
+    ``rejected`` marks scores below the calibrated threshold. Null ids and ids of any type stay; repeated rows are
+    predicted alike; other columns go; an empty table gives no rows.
     """
-    return docs.select("doc_id", "text").mapInArrow(_predictor(model), "doc_id long, lang_pred string, score double, rejected boolean")
+    fields, schema = by_document(docs, "lang_pred string, score double, rejected boolean")
+    return docs.select("doc_id", "text").mapInArrow(_predictor(model, schema), fields)
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions for all documents; see ``identify`` for nulls, empty texts and repeated rows."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return identify(docs, train(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
