@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewords.llm.common import batches, give_back, held_out, read, record, texts, utf8
+from tidewords.llm.common import batches, by_document, give_back, held_out, read, record, texts, utf8
 from tidewords.llm.ngrams import histograms
 
 BINS, SIZES, HIDDEN = 512, (1, 2, 3), 24
@@ -50,11 +50,12 @@ def features(batch: pa.RecordBatch) -> np.ndarray:
     return np.hstack((np.sqrt(histograms(raw, at, _TABLE, BINS, SIZES)), plain)).astype(np.float32)
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 11) -> Model:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 11, weighed: bool = False) -> Model:
     """Adam on the non-negative risk  prior E_p l(g) + max(0, E_u l(-g) - prior E_p l(-g))  with logistic loss.
 
     Where the part in max() is negative in a batch, the step goes up its gradient instead, so that the model
-    doesn't gain by taking trusted positives for negatives.
+    doesn't gain by taking trusted positives for negatives. With ``weighed`` the positives aren't taken out of the
+    unlabelled: plain classification of the one against the other, both of equal weight.
     """
     random = np.random.default_rng(seed)
     both = np.vstack((positive, unlabelled))
@@ -76,7 +77,10 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
             up = -sigmoid(-g[:n]) * prior / n  # of the positives' loss as positives
             down_p, down_u = -sigmoid(g[:n]) * prior / n, sigmoid(g[n:]) / m  # of the negatives' risk
             negative = np.logaddexp(0, g[n:]).mean() - prior * np.logaddexp(0, g[:n]).mean()
-            dg = np.concatenate((up + down_p, down_u)) if negative >= 0 else -np.concatenate((down_p, down_u))
+            if weighed:
+                dg = np.concatenate((up, down_u * 0.5))
+            else:
+                dg = np.concatenate((up + down_p, down_u)) if negative >= 0 else -np.concatenate((down_p, down_u))
             dh = np.outer(dg, layers[2]) * (1 - h * h)
             t += 1
             for k, grad in enumerate((x.T @ dh, dh.sum(0), h.T @ dg, np.array([dg.sum()]))):
@@ -87,6 +91,30 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
     return Model(mean, scale, layers, prior)
 
 
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 13) -> float:
+    """The share of positives among the unlabelled rows, from the rows alone: the best bin of a ranking.
+
+    A classifier of positives against unlabelled, fitted on one half, ranks the other half. Above any score the
+    share of unlabelled rows over that of positives is the prior plus what negatives there are; its least upper
+    bound (with a margin for the sample, and over at least a tenth of the positives) is the estimate. Both halves
+    serve by turns; inside 0.05 to 0.95.
+    """
+    random = np.random.default_rng(seed)
+    p, u = (x[random.permutation(len(x))] for x in (positive, unlabelled))
+    found = []
+    for k in (0, 1):
+        model = fit(p[k::2], u[k::2], 0.5, seed, weighed=True)
+        own, other = np.sort(model.score(p[1 - k :: 2])), np.sort(model.score(u[1 - k :: 2]))
+        if not len(own) or not len(other):
+            continue
+        at = own[: max(1, int(0.9 * len(own)))]
+        above_p, above_u = 1 - np.searchsorted(own, at) / len(own), 1 - np.searchsorted(other, at) / len(other)
+        margin = np.sqrt(np.log(40) / 2) * (len(own) ** -0.5 + len(other) ** -0.5)
+        best = np.argmin((above_u + margin) / above_p)
+        found.append(above_u[best] / above_p[best])
+    return float(np.clip(np.mean(found), 0.05, 0.95)) if found else 0.5
+
+
 def _sample_features(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches(source, 2 << 20):
         yield pa.RecordBatch.from_arrays([batch.column("trusted"), pa.array([r.tobytes() for r in features(batch).astype(np.float16)], pa.binary())], ["trusted", "x"])
@@ -95,12 +123,12 @@ def _sample_features(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     """A model from documents that aren't held out: trusted positives and unlabelled texts; None without either.
 
-    The class prior is the share of quality 1 among all labels that aren't held out, kept inside 0.05 to 0.95.
+    Of the labels only quality 1 is read; the class prior is estimated from the two samples (``class_prior``).
     Both samples are bounded (``POSITIVES``, ``UNLABELLED``) and chosen by a hash of the id. Labels that are
     null or repeated count once.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("__quality"))
-    n, good = known.agg(F.count("*"), F.coalesce(F.sum(F.expr("int(__quality = 1)")), F.lit(0))).first()
+    good = known.where("__quality = 1").count()
     free = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     total = free.select("doc_id").count()
     if not good or not total:
@@ -114,16 +142,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     if not kind.any() or kind.all():
         return None
     x = np.stack([np.frombuffer(b, np.float16) for _, b in pairs]).astype(np.float32)
-    return fit(x[kind], x[~kind], min(0.95, max(0.05, good / n)))
-
+    return fit(x[kind], x[~kind], class_prior(x[kind], x[~kind]))
 
-def _scorer(model: Model | None):
-    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
+def _scorer(model: Model | None, schema: pa.Schema):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source, 2 << 20):
             score = model.score(features(batch)).astype(np.float64) if model else np.full(batch.num_rows, 0.5)
-            yield record(schema, doc_id=batch.column("doc_id").cast(pa.int64()), score=score)
+            yield record(schema, doc_id=batch.column("doc_id"), score=score)
 
     return run
 
@@ -131,19 +157,22 @@ def _scorer(model: Model | None):
 def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, score) for each row, from its whole text alone; null counts as empty, and empty texts score too.
 
-    Without a model every score is 0.5. Null ids stay; repeated rows score alike; an empty table gives no rows.
+    Without a model every score is 0.5. Null ids and ids of any type stay; repeated rows score alike; other columns go;
+    an empty table gives no rows.
     """
-    return docs.select("doc_id", "text").mapInArrow(_scorer(model), "doc_id long, score double")
+    fields, schema = by_document(docs, "score double")
+    return docs.select("doc_id", "text").mapInArrow(_scorer(model, schema), fields)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents; see ``score_documents`` for nulls, empty texts and repeated rows."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_documents(docs, train(docs, read(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the classifier accepts, with their columns."""
+    """The documents that the classifier accepts, with all their columns; null and empty texts are scored as such."""
     from pyspark.sql.types import DoubleType
 
     model = train(docs, read(spark, sf_dir, "labels"))
