@@ -6,14 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _clock(ms: Column, mark: str, hours: bool) -> Column:
+def clock_ms(ms: Column, mark: str, hours: bool) -> Column:
+    """hh:mm:ss or mm:ss, then the mark and milliseconds, of whole milliseconds."""
     h, m, s, rest = F.floor(ms / 3_600_000), F.floor(ms / 60_000) % 60, F.floor(ms / 1000) % 60, ms % 1000
     return F.format_string(f"%02d:%02d:%02d{mark}%03d", h, m, s, rest) if hours else F.format_string(f"%02d:%02d{mark}%03d", m, s, rest)
 
 
 def timecode_trunc(seconds: Column, mark: str = ",") -> Column:
     """hh:mm:ss,mmm with milliseconds cut off; negative times are 0."""
-    return _clock(F.floor(F.greatest(seconds, F.lit(0.0)) * 1000), mark, True)
+    return clock_ms(F.floor(F.greatest(seconds, F.lit(0.0)) * 1000), mark, True)
 
 
 def millis(seconds: Column) -> Column:
@@ -24,7 +25,7 @@ def millis(seconds: Column) -> Column:
 def timecode_even(seconds: Column, mark: str = ",", always_hours: bool = True) -> Column:
     """A time code of half-even milliseconds; below an hour, hours may be left out."""
     ms = millis(seconds)
-    return _clock(ms, mark, True) if always_hours else F.when(ms >= 3_600_000, _clock(ms, mark, True)).otherwise(_clock(ms, mark, False))
+    return clock_ms(ms, mark, True) if always_hours else F.when(ms >= 3_600_000, clock_ms(ms, mark, True)).otherwise(clock_ms(ms, mark, False))
 
 
 def milli_round(x: Column) -> Column:

@@ -5,7 +5,7 @@ Times are whole milliseconds and confidences whole thousandths (0: unknown), so
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SENTENCE_END = (".", "!", "?")
@@ -81,9 +81,39 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A dictionary a source: dict_key, ord, phrase (a document's first three words)."""
+    """A dictionary a source: dict_key, ord, phrase (each three words in a row of each of its documents)."""
     ws = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("source").alias("dict_key"), F.col("doc_id").alias("ord"), F.concat_ws(" ", F.slice(ws, 1, 3)).alias("phrase"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", "doc_id", ws.alias("ws")).where(F.size("ws") > 0)
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("ws") - 1) / 3).cast("int")), lambda k: F.concat_ws(" ", F.slice("ws", 3 * k + 1, F.lit(3))))
+    return docs.select(F.col("source").alias("dict_key"), "doc_id", F.posexplode(runs).alias("k", "phrase")).select("dict_key", (F.col("doc_id") * 100_000 + F.col("k")).alias("ord"), "phrase")
+
+
+def dictionaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dictionary a document: dict_key, ord, phrase (its lines, as they are)."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select(F.concat(F.lit("doc_"), F.col("doc_id")).alias("dict_key"), F.posexplode(F.split("text", "\n")).alias("ord", "phrase"))
+
+
+def spoken(words: DataFrame) -> DataFrame:
+    """Segments as a transcript has them: rec_id, id, channel, speaker (null for the system's), times, text, words, mean confidence."""
+    s = segments(words).join(words.withColumn("sn", _sentence()).groupBy("rec_id", "turn", "sn").agg(F.coalesce(F.avg(F.when(F.col("conf_milli") > 0, F.col("conf_milli"))), F.lit(0.0)).alias("conf")), ["rec_id", "turn", "sn"])
+    order = Window.partitionBy("rec_id").orderBy("start_ms", "channel", "turn", "sn")
+    return s.select("rec_id", (F.row_number().over(order) - 1).alias("id"), "turn", "sn", "channel", speaker_of("role").alias("speaker"), "start_ms", "end_ms", "text", "n_words", (F.col("conf") / 1000).alias("avg_conf"))
+
+
+def spoken_words(words: DataFrame, segments: DataFrame) -> DataFrame:
+    """Words with the segment's number and speaker, in the transcript's order (seq)."""
+    w = words.withColumn("sn", _sentence()).join(segments.select("rec_id", "turn", "sn", "id", "speaker"), ["rec_id", "turn", "sn"])
+    return w.select("rec_id", "id", (F.row_number().over(Window.partitionBy("rec_id").orderBy("id", "pos")) - 1).alias("seq"), "wid", "pos", "channel", "speaker", "word", "start_ms", "end_ms", "conf_milli")
+
+
+def speaker_of(role: str) -> Column:
+    return F.when(F.col(role) == "user", "spk_0").when(F.col(role) == "assistant", "spk_1")
+
+
+def _sentence() -> Column:
+    ended = F.when(F.substring("word", -1, 1).isin(*SENTENCE_END), 1).otherwise(0)
+    return F.coalesce(F.sum(ended).over(Window.partitionBy("rec_id", "turn").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
 WORDS_SQL = r"""
@@ -127,4 +157,17 @@ jobs AS (SELECT concat('job_', lpad(CAST(event_id AS VARCHAR), 8, '0')) AS id,
 SAMPLES_SQL = """
 samples AS (SELECT vec_id AS rec_id, label, generate_subscripts(embedding, 1) - 1 AS idx, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)"""
 PHRASES_SQL = r"""
-phrases AS (SELECT source AS dict_key, doc_id AS ord, array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')[1:3], ' ') AS phrase FROM documents)"""
+cutdocs AS (SELECT source, doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS ws FROM documents),
+phrases AS (SELECT source AS dict_key, doc_id * 100000 + k AS ord, array_to_string(ws[3 * k + 1:3 * k + 3], ' ') AS phrase
+  FROM (SELECT *, unnest(range(0, (len(ws) - 1) // 3 + 1)) AS k FROM cutdocs WHERE len(ws) > 0))"""
+DICTIONARIES_SQL = """
+lines AS (SELECT 'doc_' || doc_id AS dict_key, generate_subscripts(ls, 1) - 1 AS ord, unnest(ls) AS phrase FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))"""
+SPOKEN_SQL = (
+    SEGMENTS_SQL
+    + """,
+numbered AS (SELECT *, coalesce(sum(CASE WHEN right(word, 1) IN ('.', '!', '?') THEN 1 ELSE 0 END) OVER (PARTITION BY rec_id, turn ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS sn FROM words),
+confs AS (SELECT rec_id, turn, sn, coalesce(avg(nullif(conf_milli, 0)), 0) / 1000 AS avg_conf FROM numbered GROUP BY ALL),
+spoken AS (SELECT s.rec_id, row_number() OVER (PARTITION BY s.rec_id ORDER BY start_ms, channel, s.turn, s.sn) - 1 AS id, s.turn, s.sn, channel, CASE role WHEN 'user' THEN 'spk_0' WHEN 'assistant' THEN 'spk_1' END AS speaker, start_ms, end_ms, text, n_words, avg_conf
+  FROM segments s JOIN confs c ON c.rec_id = s.rec_id AND c.turn = s.turn AND c.sn = s.sn),
+said AS (SELECT n.rec_id, p.id, row_number() OVER (PARTITION BY n.rec_id ORDER BY p.id, n.pos) - 1 AS seq, n.wid, n.pos, n.channel, p.speaker, n.word, n.start_ms, n.end_ms, n.conf_milli FROM numbered n JOIN spoken p ON p.rec_id = n.rec_id AND p.turn = n.turn AND p.sn = n.sn)"""
+)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -14,3 +14,11 @@ def shared_folder(spark: SparkSession) -> str:
     if not spark.sparkContext.master.partition("[")[0] == "local":
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return tempfile.mkdtemp(prefix="spark-shared-")
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """A table that several parts of a plan read, worked out once and kept in the shared folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
