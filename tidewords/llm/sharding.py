@@ -11,7 +11,7 @@ from tidewords.llm.common import read, settle
 #: Hex digits of text hashes that name the first ranges, and by how many a range is cut finer where a shard may end in it.
 RANGE_DIGITS, MORE_DIGITS = 4, 2
 #: Rows of a range that are ranked in one cell, about.
-CELL_ROWS = 1 << 18
+CELL_ROWS = 1 << 9
 
 
 def smallest_capacity(sizes: np.ndarray, shards: int) -> int:
