@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tidewords.operators.patterns import first_k
 
-STATUSES = ("queued", "running", "succeeded", "failed", "canceled")
-TERMINAL = ("succeeded", "failed", "canceled")
+STATUSES = ("queued", "running", "succeeded", "failed", "canceled", "expired")
+TERMINAL = ("succeeded", "failed", "canceled", "expired")
 BUSY = ("queued", "running")
 HOUR, DAY = 3_600_000, 86_400_000
 
@@ -30,8 +30,8 @@ def status_flags(status: Column) -> tuple[Column, Column]:
 
 
 def purge(jobs: DataFrame, now: Column, ttl: int) -> DataFrame:
-    """Jobs to remove: ended and older than ``ttl``; none if that is 0 or less."""
-    return jobs.where(F.lit(ttl > 0) & status_flags(F.col("status"))[0] & (F.col("created_ms") < now - ttl))
+    """Jobs to remove: ended, and finished (or, never having started, created) longer than ``ttl`` ago; none if that is 0 or less."""
+    return jobs.where(F.lit(ttl > 0) & status_flags(F.col("status"))[0] & (F.coalesce("finished_ms", "created_ms") < now - ttl))
 
 
 def expire(rows: DataFrame, keep: Column, expires: Column, now: Column) -> DataFrame:
@@ -58,13 +58,16 @@ def queue_positions(jobs: DataFrame) -> DataFrame:
     return ranked(jobs.where("status = 'queued'"), [-F.col("priority"), F.floor(F.col("created_ms") / HOUR)], [F.col("created_ms"), F.col("id")])
 
 
-def concurrency(spans: DataFrame, key: str, limit: int) -> DataFrame:
+def concurrency(spans: DataFrame, key: str, limit: int, weight: str | None = None) -> DataFrame:
     """(key, at, level, over): how many spans (s, e) are open after each moment at which that changes.
 
+    With ``weight`` their weights are summed instead; spans without an end stay open.
+
     Changes are summed per moment; running sums go day by day from the sums of earlier days, so that a hot key is
     spread over as many tasks as it has days.
     """
-    moves = spans.select(key, F.col("s").alias("at"), F.lit(1).alias("d")).unionByName(spans.select(key, F.col("e").alias("at"), F.lit(-1).alias("d")))
+    by = F.col(weight) if weight else F.lit(1)
+    moves = spans.select(key, F.col("s").alias("at"), by.alias("d")).unionByName(spans.where("e IS NOT NULL").select(key, F.col("e").alias("at"), (-by).alias("d")))
     moves = moves.groupBy(key, "at").agg(F.sum("d").alias("d")).withColumn("day", F.floor(F.col("at") / DAY))
     days = moves.groupBy(F.col(key).alias("__key"), F.col("day").alias("__day")).agg(F.sum("d").alias("d"))
     earlier = Window.partitionBy("__key").orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
@@ -74,10 +77,57 @@ def concurrency(spans: DataFrame, key: str, limit: int) -> DataFrame:
     return joined.withColumn("level", level).select(key, "at", "level", (F.col("level") > limit).alias("over"))
 
 
+def running_totals(rows: DataFrame, at: str, values: list[str], cell: int = DAY) -> DataFrame:
+    """Rows with each of ``values`` summed up to and with them in order of ``at``, cell by cell of time."""
+    marked = rows.withColumn("__cell", F.floor(F.col(at) / cell))
+    sums = marked.groupBy("__cell").agg(*(F.sum(v).alias(f"__{v}") for v in values))
+    ahead = Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)  # a row a day
+    bases = sums.select("__cell", *(F.coalesce(F.sum(f"__{v}").over(ahead), F.lit(0)).alias(f"__{v}") for v in values))
+    inner = Window.partitionBy("__cell").orderBy(at)
+    return marked.join(bases, "__cell").withColumns({v: F.col(f"__{v}") + F.sum(v).over(inner) for v in values}).drop("__cell", *(f"__{v}" for v in values))
+
+
 def load_report(jobs: DataFrame, every: int = 60_000) -> DataFrame:
-    """Jobs submitted in each stretch of time, and how many of them stand in each status."""
-    counts = [F.count_if(F.col("status") == s).alias(s) for s in STATUSES]
-    return jobs.groupBy((F.floor(F.col("created_ms") / every) * every).alias("minute_ms")).agg(F.count("*").alias("submitted"), *counts)
+    """(minute_ms, submitted, failed, rejected, queued, running) of each stretch of time in which anything changed.
+
+    Queued and running are the levels at its end. A job waits from creation to its start or, if it never starts,
+    as long as it is queued; one that ended without a start counts as rejected when it was created.
+    """
+    zero = dict.fromkeys(("submitted", "failed", "rejected", "queued", "running"), F.lit(0))
+    move = lambda at, **d: jobs.where(F.col(at).isNotNull()).select((F.floor(F.col(at) / every) * every).alias("minute_ms"), *(c.cast("long").alias(k) for k, c in (zero | d).items()))
+    never = F.col("started_ms").isNull() & status_flags(F.col("status"))[0]
+    moves = move("created_ms", submitted=F.lit(1), rejected=never.cast("int"), queued=(~never).cast("int"))
+    moves = moves.unionByName(move("started_ms", queued=F.lit(-1), running=F.lit(1))).unionByName(move("finished_ms", running=F.lit(-1), failed=(F.col("status") == "failed").cast("int")))
+    return running_totals(moves.groupBy("minute_ms").agg(*(F.sum(c).alias(c) for c in zero)), "minute_ms", ["queued", "running"])
+
+
+def read_jobs(raw: DataFrame) -> DataFrame:
+    """Job records from stored rows: times as timestamps, parameters parsed, an error only where there is a code."""
+    params = F.from_json("params_json", "model string, language string, num_speakers int")
+    error = F.when(F.col("error_code").isNotNull(), F.struct(F.col("error_code").alias("code"), F.coalesce("error_message", F.lit("")).alias("message")))
+    times = {f"{c}_at": F.timestamp_millis(f"{c}_ms") for c in ("created", "started", "finished")}
+    return raw.withColumn("params", params).withColumn("error", error).withColumns(times).drop("params_json", "error_code", "error_message", *(f"{c}_ms" for c in ("created", "started", "finished")))
+
+
+#: Columns that a transition may change; all others stay as the job was created.
+CHANGING = ("status", "model_id", "audio_ms", "started_ms", "finished_ms")
+
+
+def apply_transitions(jobs: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Jobs after their transitions (a row an id), and the transitions of unknown jobs.
+
+    All of ``CHANGING`` is taken from the transition, nulls too; jobs without one stay as they are.
+    """
+    u = updates.select(F.col("id"), F.struct(*CHANGING).alias("__u"))
+    joined = jobs.join(u, "id", "left")
+    new = joined.withColumns({c: F.when(F.col("__u").isNotNull(), F.col("__u")[c]).otherwise(F.col(c)) for c in CHANGING}).drop("__u")
+    return new.select(*jobs.columns), updates.join(jobs.select("id"), "id", "left_anti")
+
+
+def newest_first(rows: DataFrame, key: str | None, admin: bool = False) -> DataFrame:
+    """What a caller owns, newest first and by id from the last; an admin sees all."""
+    kept = rows if admin else rows.where(F.col("api_key_id").eqNullSafe(F.lit(key)))
+    return kept.orderBy(F.desc("created_ms"), F.desc("id"))
 
 
 def history_page(jobs: DataFrame, limit: int = 50, after: tuple[int, str] | None = None) -> DataFrame:
@@ -93,3 +143,8 @@ def event_replay(events: DataFrame, job: str, order: list[Column], after: int =
     """The last ``kept`` events of each job whose number is beyond ``after``."""
     numbered = events.withColumn("seq", F.row_number().over(Window.partitionBy(job).orderBy(*order)))
     return first_k(numbered, [job], [F.desc("seq")], kept).where(F.col("seq") > after)
+
+
+def latest_revision(models: DataFrame) -> DataFrame:
+    """The highest revision of each model, and how many it has, by model."""
+    return models.groupBy("model_id").agg(F.max("revision").alias("revision"), F.count("*").alias("revisions")).orderBy("model_id")

@@ -62,7 +62,7 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     return e.select(
         F.concat(F.lit("job_"), F.lpad(F.col("event_id").cast("string"), 8, "0")).alias("id"),
-        F.coalesce(kind[F.col("event_type")], F.lit("canceled")).alias("status"),
+        F.coalesce(kind[F.col("event_type")], F.when(F.col("event_id") % 2 == 0, "canceled").otherwise("expired")).alias("status"),
         F.when(F.col("user_id") % 10 == 0, 10).otherwise(0).alias("priority"),
         F.concat(F.lit("m"), F.col("user_id") % 5).alias("model_id"),
         F.when(F.col("user_id") % 8 != 7, F.concat(F.lit("key_"), F.col("user_id") % 8)).alias("api_key_id"),
@@ -71,6 +71,11 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("cast(round(value * 1000) as bigint)").alias("audio_ms"),
         F.get_json_object("props", "$.k").cast("long").alias("k"),
         "user_id",
+    ).withColumns(
+        {
+            "started_ms": F.when(F.col("status").isin("running", "succeeded", "failed"), F.col("created_ms") + 20_000 * (F.col("k") % 7)),
+            "finished_ms": F.when(F.col("status").isin("succeeded", "failed"), F.col("created_ms") + 20_000 * (F.col("k") % 7) + F.col("audio_ms")),
+        }
     )
 
 
@@ -148,12 +153,14 @@ tokens AS (SELECT rec_id, turn, wid, k, CASE WHEN k = 0 THEN '▁' ELSE '' END |
   FROM (SELECT *, unnest(range(0, (length(word) - 1) // 3 + 1)) AS k FROM words))"""
 )
 JOBS_SQL = """
-jobs AS (SELECT concat('job_', lpad(CAST(event_id AS VARCHAR), 8, '0')) AS id,
-  CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'running' WHEN 'purchase' THEN 'succeeded' WHEN 'error' THEN 'failed' ELSE 'canceled' END AS status,
+base_jobs AS (SELECT concat('job_', lpad(CAST(event_id AS VARCHAR), 8, '0')) AS id,
+  CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'running' WHEN 'purchase' THEN 'succeeded' WHEN 'error' THEN 'failed' ELSE CASE WHEN event_id % 2 = 0 THEN 'canceled' ELSE 'expired' END END AS status,
   CASE WHEN user_id % 10 = 0 THEN 10 ELSE 0 END AS priority, concat('m', CAST(user_id % 5 AS VARCHAR)) AS model_id,
   CASE WHEN user_id % 8 = 7 THEN NULL ELSE concat('key_', CAST(user_id % 8 AS VARCHAR)) END AS api_key_id,
   CASE WHEN event_id % 3 = 0 THEN 'ui' ELSE 'api' END AS source, (epoch_ms(ts) // 60000) * 60000 AS created_ms,
-  CAST(round(value * 1000) AS BIGINT) AS audio_ms, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, user_id FROM events)"""
+  CAST(round(value * 1000) AS BIGINT) AS audio_ms, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, user_id FROM events),
+jobs AS (SELECT *, CASE WHEN status IN ('running', 'succeeded', 'failed') THEN created_ms + 20000 * (k % 7) END AS started_ms,
+  CASE WHEN status IN ('succeeded', 'failed') THEN created_ms + 20000 * (k % 7) + audio_ms END AS finished_ms FROM base_jobs)"""
 SAMPLES_SQL = """
 samples AS (SELECT vec_id AS rec_id, label, generate_subscripts(embedding, 1) - 1 AS idx, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)"""
 PHRASES_SQL = r"""
