@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewords.operators.patterns import before, islands, range_join
+from tidewords.functions.scalar import speaker_name_clean
+from tidewords.operators.patterns import asof_last, before, islands, range_join
+from tidewords.sources.shared import settle
 
 #: Confidence without overlap, the shortest turn, a word's vote in ms.
 FALLBACK, TURN_MS, TURN_WORDS, VOTE_MS = 0.3, 500, 2, 10
@@ -24,23 +26,29 @@ def assign_speakers(words: DataFrame, turns: DataFrame, width: int = 5000) -> Da
     return found.groupBy("rec_id", "wid", "ws", "we").agg(best).select("rec_id", "wid", F.col("best.speaker").alias("speaker"), F.least(F.lit(1.0), F.col("best.overlap") / (F.col("we") - F.col("ws"))).alias("confidence"))
 
 
-def nearest_turn(words: DataFrame, turns: DataFrame) -> DataFrame:
+def nearest_turn(words: DataFrame, turns: DataFrame, width: int = 5000) -> DataFrame:
     """(rec_id, wid, speaker, confidence): the turn nearest to each word's middle, the first of equals.
 
-    Distances are in half milliseconds. A recording has few turns, and only words in gaps should come here.
+    Distances are in half milliseconds. A turn that holds the middle is found by a range join, else the last end before
+    it and the first start after it by as-of joins; so no word meets all turns of its recording.
     """
-    middle = F.col("w.start_ms") + F.col("w.end_ms")
-    far = F.greatest(2 * F.col("t.start_ms") - middle, middle - 2 * F.col("t.end_ms"), F.lit(0))
-    pairs = words.alias("w").join(turns.alias("t"), "rec_id").select("rec_id", "w.wid", "t.speaker", "t.turn_ord", far.alias("far"))
-    return pairs.groupBy("rec_id", "wid").agg(F.min_by("speaker", F.struct("far", "turn_ord")).alias("speaker")).withColumn("confidence", F.lit(FALLBACK))
+    w = words.select("rec_id", "wid", (F.col("start_ms") + F.col("end_ms")).alias("m"), (F.col("start_ms") + F.col("end_ms") + 1).alias("m1"))
+    t = turns.select("rec_id", "turn_ord", "speaker", (2 * F.col("start_ms")).alias("ts"), (2 * F.col("end_ms")).alias("te"), (2 * F.col("end_ms") + 1).alias("te1"))
+    inside = range_join(w, t, "rec_id", 2 * width, ("m", "m1"), ("ts", "te1")).select("rec_id", "wid", F.lit(0).cast("long").alias("far"), "turn_ord", "speaker")
+    first = t.withColumn("tie", -F.col("turn_ord"))
+    back = asof_last(first, w.select("rec_id", "wid", "m"), "rec_id", "te", "m", ["te", "turn_ord", "speaker"], "tie")
+    ahead = asof_last(first.withColumn("at", -F.col("ts")), w.select("rec_id", "wid", (-F.col("m")).alias("m")), "rec_id", "at", "m", ["ts", "turn_ord", "speaker"], "tie")
+    found = inside.unionByName(back.where("turn_ord IS NOT NULL").select("rec_id", "wid", (F.col("m") - F.col("te")).alias("far"), "turn_ord", "speaker"))
+    found = found.unionByName(ahead.where("turn_ord IS NOT NULL").select("rec_id", "wid", (F.col("ts") + F.col("m")).alias("far"), "turn_ord", "speaker"))
+    return found.groupBy("rec_id", "wid").agg(F.min_by("speaker", F.struct("far", "turn_ord")).alias("speaker")).withColumn("confidence", F.lit(FALLBACK))
 
 
 def attribute(words: DataFrame, turns: DataFrame) -> DataFrame:
-    """``words`` with speaker and speaker_conf; null where the recording has no turns."""
-    sure = assign_speakers(words, turns)
-    rest = nearest_turn(words.join(sure, ["rec_id", "wid"], "left_anti"), turns)
-    found = sure.unionByName(rest).select("rec_id", "wid", F.col("speaker"), F.col("confidence").alias("speaker_conf"))
-    return words.join(found, ["rec_id", "wid"], "left")
+    """``words`` with speaker and speaker_conf; null where the recording has no turns. Words and turns are read several times."""
+    sure = assign_speakers(words, turns).withColumn("sure", F.lit(True))
+    met = settle(words.join(sure, ["rec_id", "wid"], "left"))
+    rest = nearest_turn(met.where("sure IS NULL"), turns).select("rec_id", "wid", F.col("speaker").alias("near"), F.col("confidence").alias("near_conf"))
+    return met.join(rest, ["rec_id", "wid"], "left").withColumns({"speaker": F.coalesce("speaker", "near"), "speaker_conf": F.coalesce("confidence", "near_conf")}).drop("confidence", "near", "near_conf", "sure")
 
 
 def guard_attribution(words: DataFrame, attributed: DataFrame) -> DataFrame:
@@ -168,15 +176,46 @@ def conversation_turns(segments: DataFrame, gap: int = 3000, overlap: int = 200)
     return s.groupBy("rec_id", "turn").agg(F.min_by("speaker", "ord").alias("speaker"), F.min_by("start_ms", "ord").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("segments"), F.coalesce(F.min_by("busy", "ord"), F.lit(False)).alias("overlaps"))
 
 
-def joined(a: Column, b: Column) -> Column:
-    """Overlap of two intervals given as structs of s and e; touching intervals have none."""
-    return F.greatest(F.least(a["e"], b["e"]) - F.greatest(a["s"], b["s"]), F.lit(0))
+def speaker_shares(segments: DataFrame, turns: DataFrame, speakers: DataFrame) -> DataFrame:
+    """(rec_id, speaker, seconds_ms, words, turns, share) of each listed speaker, also of those without segments.
 
+    ``speakers`` has (rec_id, speaker, total_ms). Words are a segment's words, or the fields of its text where it has none.
+    """
+    said = F.when(F.col("n_words") > 0, F.col("n_words")).otherwise(F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")))
+    words = segments.groupBy("rec_id", "speaker").agg(F.sum(said).alias("words"))
+    taken = turns.groupBy("rec_id", "speaker").agg(F.count("*").alias("turns"))
+    total = F.sum("total_ms").over(Window.partitionBy("rec_id"))
+    met = speakers.join(words, ["rec_id", "speaker"], "left").join(taken, ["rec_id", "speaker"], "left")
+    return met.select("rec_id", "speaker", F.col("total_ms").alias("spoken_ms"), F.coalesce("words", F.lit(0)).cast("long").alias("words"), F.coalesce("turns", F.lit(0)).alias("turns"), F.when(total > 0, F.col("total_ms") / total).otherwise(0.0).alias("share"))
+
+
+def name_speakers(segments: DataFrame, names: DataFrame) -> DataFrame:
+    """Segments with the names people gave the speakers; a blank or missing name leaves the id."""
+    given = names.select("rec_id", "speaker", F.nullif(F.trim("name"), F.lit("")).alias("__name"))
+    return segments.join(given, ["rec_id", "speaker"], "left").withColumn("speaker", F.coalesce("__name", "speaker")).drop("__name")
 
 
-def speaker_shares(segments: DataFrame, speaker: str) -> DataFrame:
-    """(rec_id, speaker, spoken_ms, words, segments, share): what part of a recording's speech each speaker has."""
-    spoken = segments.where(F.col(speaker).isNotNull()).groupBy("rec_id", speaker)
-    summed = spoken.agg(F.sum(F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(0))).alias("spoken_ms"), F.sum("n_words").alias("words"), F.count("*").alias("segments"))
-    total = F.sum("spoken_ms").over(Window.partitionBy("rec_id"))
-    return summed.withColumn("share", F.when(total > 0, F.col("spoken_ms") / total).otherwise(0.0))
+def rename_speakers(jobs: DataFrame, speakers: DataFrame, renames: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Names (rec_id, speaker, name) that may be given, cleaned, and those refused with a reason.
+
+    The job must have succeeded, the speaker be one of its own, and the name at most 64 characters.
+    """
+    own = speakers.select("rec_id", "speaker").distinct().withColumn("__known", F.lit(True))
+    marked = renames.join(jobs.select("rec_id", "status"), "rec_id", "left").join(own, ["rec_id", "speaker"], "left").withColumn("__clean", speaker_name_clean(F.col("name")))
+    reason = F.when(F.col("status").isNull(), "no such job").when(F.col("status") != "succeeded", "not finished").when(F.col("__known").isNull(), "no such speaker").when(F.col("__clean").isNull(), "long name")
+    marked = marked.withColumn("reason", reason)
+    return marked.where("reason IS NULL").select("rec_id", "speaker", F.col("__clean").alias("name")), marked.where("reason IS NOT NULL").select("rec_id", "speaker", "name", "reason")
+
+
+def frames_to_turns(logits: DataFrame, durations: DataFrame, frame_ms: int = 10) -> DataFrame:
+    """(rec_id, turn_ord, speaker, start_ms, end_ms) of frames (rec_id, speaker, frame, logit): runs above 0.
+
+    Frames past the recording's valid ones (durations: rec_id, valid, duration_ms) are padding; ends stop at the
+    duration; speakers are numbered by first appearance.
+    """
+    on = logits.join(durations, "rec_id").where((F.col("frame") < F.col("valid")) & (F.col("logit") > 0))
+    island = F.col("frame") - F.row_number().over(Window.partitionBy("rec_id", "speaker").orderBy("frame"))
+    runs = on.withColumn("run", island).groupBy("rec_id", "speaker", "run", "duration_ms").agg(F.min("frame").alias("a"), (F.max("frame") + 1).alias("b"))
+    turns = runs.select("rec_id", "speaker", (F.col("a") * frame_ms).alias("start_ms"), F.least(F.col("b") * frame_ms, "duration_ms").alias("end_ms"))
+    placed = turns.withColumn("turn_ord", F.row_number().over(Window.partitionBy("rec_id").orderBy("start_ms", "speaker")) - 1)
+    return renumber_by_first_appearance(placed)

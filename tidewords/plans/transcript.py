@@ -9,6 +9,7 @@ from tidewords.operators import speakers as sp
 from tidewords.operators import spans as op
 from tidewords.plans.registry import query
 from tidewords.sources import derived as d
+from tidewords.sources.shared import settle
 
 ATTRIBUTED_SQL = (
     d.TURNS_SQL
@@ -22,8 +23,9 @@ near AS (SELECT w.rec_id, w.wid, t.speaker, row_number() OVER (PARTITION BY w.re
 found AS (SELECT rec_id, wid, speaker, c AS speaker_conf FROM over WHERE r = 1 UNION ALL SELECT rec_id, wid, speaker, 0.3 FROM near WHERE r = 1),
 attributed AS (SELECT w.*, f.speaker, f.speaker_conf FROM words w LEFT JOIN found f ON w.rec_id = f.rec_id AND w.wid = f.wid)"""
 ).replace("{turns}", "turns")
-#: Turns with every fifth one taken away, so that words fall between turns.
-GAPPED_SQL = ATTRIBUTED_SQL.replace("JOIN turns t", "JOIN (SELECT * FROM turns WHERE turn_ord % 5 <> 2) t")
+#: Turns cut short on both sides, so that words fall between turns.
+_SHORT = "(SELECT rec_id, turn_ord, speaker, start_ms + 700 AS start_ms, greatest(start_ms + 800, end_ms - 900) AS end_ms FROM turns)"
+GAPPED_SQL = ATTRIBUTED_SQL.replace("JOIN turns t", f"JOIN {_SHORT} t")
 SPLIT_SQL = (
     d.SEGMENTS_SQL
     + ATTRIBUTED_SQL.removeprefix(d.WORDS_SQL)
@@ -55,9 +57,13 @@ def _totals(words: DataFrame) -> DataFrame:
 
 
 def _attributed(spark, sf_dir, gapped=False) -> DataFrame:
-    w = d.words(spark, sf_dir)
-    t = d.turns(w)
-    return sp.attribute(w, t.where("turn_ord % 5 <> 2") if gapped else t)
+    w = settle(d.words(spark, sf_dir))
+    return sp.attribute(w, settle(_gapped(d.turns(w)) if gapped else d.turns(w)))
+
+
+def _gapped(turns: DataFrame) -> DataFrame:
+    """Turns cut short on both sides, so that words fall between them."""
+    return turns.withColumns({"start_ms": F.col("start_ms") + 700, "end_ms": F.greatest(F.col("start_ms") + 800, F.col("end_ms") - 900)})
 
 
 def _sentences(words: DataFrame) -> DataFrame:
@@ -68,8 +74,8 @@ def _sentences(words: DataFrame) -> DataFrame:
 
 
 def split(spark, sf_dir) -> DataFrame:
-    w = _sentences(_attributed(spark, sf_dir))
-    return sp.split_segments(d.segments(w.select(*d.words(spark, sf_dir).columns)), w, ["rec_id", "turn", "sn"], "pos")
+    w = settle(_sentences(_attributed(spark, sf_dir)))
+    return sp.split_segments(d.segments(w), w, ["rec_id", "turn", "sn"], "pos")
 
 
 @query("w4_merge_spans", f"WITH {d.WORDS_SQL}, o AS (SELECT *, CASE WHEN start_ms > max(end_ms) OVER (PARTITION BY rec_id ORDER BY start_ms, end_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS n FROM words WHERE end_ms > start_ms), g AS (SELECT *, sum(n) OVER (PARTITION BY rec_id ORDER BY start_ms, end_ms) AS i FROM o) SELECT rec_id, min(start_ms) AS s, max(end_ms) AS e FROM g GROUP BY rec_id, i")
@@ -89,16 +95,29 @@ def w5b(spark, sf_dir):
     return op.transcript_silences(w, _totals(w))
 
 
-@query("w6_subtract_spans", f"WITH {d.TURNS_SQL}, ms AS (SELECT rec_id, unnest(range(start_ms // 20, (end_ms + 19) // 20)) AS f FROM turns WHERE speaker = 0), cut AS (SELECT rec_id, unnest(range(start_ms // 20, (end_ms + 19) // 20)) AS f FROM turns WHERE speaker = 1), kept AS (SELECT DISTINCT rec_id, f FROM ms EXCEPT SELECT rec_id, f FROM cut), i AS (SELECT *, f - row_number() OVER (PARTITION BY rec_id ORDER BY f) AS g FROM kept) SELECT rec_id, min(f) AS s, max(f) + 1 AS e FROM i GROUP BY rec_id, g")
+_CUT = """cuts AS (SELECT a.rec_id, a.speaker, a.turn_ord, a.start_ms AS s, a.end_ms AS e, b.start_ms AS bs, b.end_ms AS be FROM turns a LEFT JOIN turns b ON b.rec_id = a.rec_id AND b.speaker <> a.speaker AND b.start_ms < a.end_ms AND b.end_ms > a.start_ms WHERE a.end_ms > a.start_ms),
+edges AS (SELECT DISTINCT rec_id, speaker, x FROM (SELECT rec_id, speaker, unnest([start_ms, end_ms]) AS x FROM turns UNION ALL SELECT a.rec_id, a.speaker, unnest([b.start_ms, b.end_ms]) FROM (SELECT DISTINCT rec_id, speaker FROM turns) a JOIN turns b ON b.rec_id = a.rec_id)),
+bits AS (SELECT rec_id, speaker, x AS s, lead(x) OVER (PARTITION BY rec_id, speaker ORDER BY x) AS e FROM edges),
+own AS (SELECT * FROM bits b WHERE e > s AND EXISTS (SELECT 1 FROM turns t WHERE t.rec_id = b.rec_id AND t.speaker = b.speaker AND t.start_ms <= b.s AND t.end_ms >= b.e) AND NOT EXISTS (SELECT 1 FROM turns t WHERE t.rec_id = b.rec_id AND t.speaker <> b.speaker AND t.start_ms <= b.s AND t.end_ms >= b.e)),
+marked AS (SELECT *, CASE WHEN s = lag(e) OVER (PARTITION BY rec_id, speaker ORDER BY s) THEN 0 ELSE 1 END AS o FROM own),
+grouped AS (SELECT *, sum(o) OVER (PARTITION BY rec_id, speaker ORDER BY s) AS g FROM marked)"""
+
+
+@query("w6_subtract_spans", f"WITH {d.TURNS_SQL}, {_CUT} SELECT rec_id, speaker, min(s) AS s, max(e) AS e FROM grouped GROUP BY rec_id, speaker, g")
 def w6(spark, sf_dir):
-    t = d.turns(d.words(spark, sf_dir)).select("rec_id", "speaker", F.floor(F.col("start_ms") / 20).alias("s"), F.ceil(F.col("end_ms") / 20).alias("e"))
-    return op.merge_spans(op.subtract_spans(t.where("speaker = 0"), t.where("speaker = 1"), 250))
+    """Each speaker's time in which no other speaks."""
+    t = settle(d.turns(d.words(spark, sf_dir)).select("rec_id", "speaker", F.col("start_ms").alias("s"), F.col("end_ms").alias("e")))
+    who = t.select("rec_id", F.col("speaker").alias("me")).distinct()
+    key = F.struct("rec_id", "me")
+    own = t.select(F.struct("rec_id", F.col("speaker").alias("me")).alias("rec_id"), "s", "e")
+    others = t.join(who, "rec_id").where("me <> speaker").select(key.alias("rec_id"), "s", "e")
+    return op.merge_spans(op.subtract_spans(own, others)).select("rec_id.rec_id", F.col("rec_id.me").alias("speaker"), "s", "e")
 
 
-@query("w6_coverage", f"WITH {d.TURNS_SQL}, win AS (SELECT rec_id, unnest(range(0, 20)) * 3000 AS ws FROM (SELECT DISTINCT rec_id FROM words)) SELECT rec_id, ws, ws + 3000 AS we, CAST((SELECT coalesce(sum(greatest(0, least(t.end_ms, ws + 3000) - greatest(t.start_ms, ws))), 0) FROM turns t WHERE t.rec_id = win.rec_id) AS BIGINT) AS covered FROM win")
+@query("w6_coverage", f"WITH {d.TURNS_SQL}, win AS (SELECT rec_id, unnest(range(0, last, 3000)) AS ws FROM (SELECT rec_id, max(end_ms) AS last FROM words GROUP BY rec_id)) SELECT rec_id, ws, ws + 3000 AS we, CAST((SELECT coalesce(sum(greatest(0, least(t.end_ms, ws + 3000) - greatest(t.start_ms, ws))), 0) FROM turns t WHERE t.rec_id = win.rec_id) AS BIGINT) AS covered FROM win")
 def w6c(spark, sf_dir):
-    w = d.words(spark, sf_dir)
-    win = w.select("rec_id").distinct().select("rec_id", F.explode(F.expr("sequence(0L, 57000L, 3000L)")).alias("ws")).withColumn("we", F.col("ws") + 3000)
+    w = settle(d.words(spark, sf_dir))
+    win = w.groupBy("rec_id").agg(F.max("end_ms").alias("last")).select("rec_id", F.explode(F.expr("sequence(0L, last - 1, 3000L)")).alias("ws")).withColumn("we", F.col("ws") + 3000)
     return op.coverage(win, d.turns(w).select("rec_id", F.col("start_ms").alias("s"), F.col("end_ms").alias("e")))
 
 
@@ -113,10 +132,10 @@ def j2(spark, sf_dir):
     return _attributed(spark, sf_dir, gapped=True).select("rec_id", "wid", "speaker", "speaker_conf")
 
 
-@query("j3_attribution_guard", f"WITH {d.TURNS_SQL}, ok AS (SELECT DISTINCT w.rec_id, w.wid FROM words w JOIN (SELECT * FROM turns WHERE turn_ord % 5 <> 2) t ON w.rec_id = t.rec_id AND least(w.end_ms, t.end_ms) > greatest(w.start_ms, t.start_ms)), m AS (SELECT rec_id, count(*) AS m FROM ok GROUP BY rec_id), n AS (SELECT rec_id, count(*) AS n FROM words GROUP BY rec_id) SELECT rec_id, n AS n_words, coalesce(m, 0) AS n_attributed, CASE WHEN n <> coalesce(m, 0) THEN 'diarization_unavailable' END AS warning FROM n LEFT JOIN m USING (rec_id)")
+@query("j3_attribution_guard", f"WITH {d.TURNS_SQL}, ok AS (SELECT DISTINCT w.rec_id, w.wid FROM words w JOIN {_SHORT} t ON w.rec_id = t.rec_id AND least(w.end_ms, t.end_ms) > greatest(w.start_ms, t.start_ms)), m AS (SELECT rec_id, count(*) AS m FROM ok GROUP BY rec_id), n AS (SELECT rec_id, count(*) AS n FROM words GROUP BY rec_id) SELECT rec_id, n AS n_words, coalesce(m, 0) AS n_attributed, CASE WHEN n <> coalesce(m, 0) THEN 'diarization_unavailable' END AS warning FROM n LEFT JOIN m USING (rec_id)")
 def j3(spark, sf_dir):
     w = d.words(spark, sf_dir)
-    return sp.guard_attribution(w, sp.assign_speakers(w, d.turns(w).where("turn_ord % 5 <> 2")))
+    return sp.guard_attribution(w, sp.assign_speakers(w, _gapped(d.turns(w))))
 
 
 @query("w8_split_segments", f"WITH {SPLIT_SQL} SELECT * FROM split")
@@ -188,7 +207,8 @@ def w21(spark, sf_dir):
     return op.isolation_regions(_spans(w.where("channel = 1")), _totals(w))
 
 
-_CONVERSATION = f"""WITH {d.SEGMENTS_SQL}, s AS (SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY start_ms, channel, turn, sn) - 1 AS ord, role AS speaker, start_ms, end_ms FROM segments),
+#: The assistant speaks half a second earlier still, so that turns overlap.
+_CONVERSATION = f"""WITH {d.SEGMENTS_SQL}, early AS (SELECT rec_id, channel, turn, sn, role, n_words, text, greatest(start_ms - 500 * channel, 0) AS start_ms, greatest(end_ms - 500 * channel, 1) AS end_ms FROM segments), s AS (SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY start_ms, channel, turn, sn) - 1 AS ord, role AS speaker, start_ms, end_ms, n_words FROM early),
 r AS (SELECT *, sum(CASE WHEN speaker IS DISTINCT FROM p THEN 1 ELSE 0 END) OVER (PARTITION BY rec_id ORDER BY ord) AS run FROM (SELECT *, lag(speaker) OVER (PARTITION BY rec_id ORDER BY ord) AS p FROM s)),
 l AS (SELECT *, start_ms - max(end_ms) OVER (PARTITION BY rec_id, run ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap FROM r),
 t AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= 3000 THEN 1 ELSE 0 END) OVER (PARTITION BY rec_id ORDER BY ord) AS turn,
@@ -198,11 +218,68 @@ t AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= 3000 THEN 1 ELSE 0 END) OVER
 
 @query("w16_conversation_turns", _CONVERSATION + "SELECT rec_id, CAST(turn AS BIGINT) AS turn, arg_min(speaker, ord) AS speaker, arg_min(start_ms, ord) AS start_ms, max(end_ms) AS end_ms, count(*) AS segments, arg_min(busy, ord) AS overlaps FROM t GROUP BY rec_id, turn")
 def w16(spark, sf_dir):
-    s = d.segments(d.words(spark, sf_dir))
+    return sp.conversation_turns(_early(spark, sf_dir))
+
+
+def _early(spark, sf_dir) -> DataFrame:
+    early = lambda c, least: F.greatest(F.col(c) - 500 * F.col("channel"), F.lit(least))
+    s = d.segments(d.words(spark, sf_dir)).withColumns({"start_ms": early("start_ms", 0), "end_ms": early("end_ms", 1)})
     ord_ = F.row_number().over(Window.partitionBy("rec_id").orderBy("start_ms", "channel", "turn", "sn")) - 1
-    return sp.conversation_turns(s.select("rec_id", ord_.alias("ord"), F.col("role").alias("speaker"), "start_ms", "end_ms"))
+    return settle(s.select("rec_id", ord_.alias("ord"), F.col("role").alias("speaker"), "start_ms", "end_ms", "n_words", "text"))
 
 
 @query("j20_overlapping_turns", _CONVERSATION + "SELECT rec_id, CAST(turn AS BIGINT) AS turn FROM t GROUP BY rec_id, turn HAVING arg_min(busy, ord)")
 def j20(spark, sf_dir):
     return w16(spark, sf_dir).where("overlaps").select("rec_id", "turn")
+
+
+@query("a4_speaker_shares", _CONVERSATION + """, turns AS (SELECT rec_id, turn, arg_min(speaker, ord) AS speaker FROM t GROUP BY rec_id, turn),
+listed AS (SELECT DISTINCT rec_id, unnest(['user', 'assistant', 'system', 'nobody']) AS speaker FROM s), p AS (SELECT rec_id, speaker, CAST(sum(greatest(end_ms - start_ms, 0)) AS BIGINT) AS ms, CAST(sum(n_words) AS BIGINT) AS n FROM s GROUP BY ALL),
+c AS (SELECT rec_id, speaker, count(*) AS k FROM turns GROUP BY ALL), m AS (SELECT l.rec_id, l.speaker, coalesce(ms, 0) AS spoken_ms, coalesce(n, 0) AS words, coalesce(k, 0) AS turns FROM listed l LEFT JOIN p ON p.rec_id = l.rec_id AND p.speaker = l.speaker LEFT JOIN c ON c.rec_id = l.rec_id AND c.speaker = l.speaker)
+SELECT *, round(spoken_ms / sum(spoken_ms) OVER (PARTITION BY rec_id), 6) AS share FROM m""")
+def a4(spark, sf_dir):
+    s = _early(spark, sf_dir)
+    listed = s.select("rec_id").distinct().withColumn("speaker", F.explode(F.array(*map(F.lit, ("user", "assistant", "system", "nobody")))))
+    spoken = s.groupBy("rec_id", "speaker").agg(F.sum(F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(0))).alias("ms"))
+    speakers = listed.join(spoken, ["rec_id", "speaker"], "left").select("rec_id", "speaker", F.coalesce("ms", F.lit(0)).cast("long").alias("total_ms"))
+    return sp.speaker_shares(s, sp.conversation_turns(s), speakers).withColumn("share", F.round("share", 6))
+
+
+@query("j8_name_speakers", f"WITH {d.SPOKEN_SQL} SELECT rec_id, id, CASE WHEN speaker = 'spk_0' THEN 'Ann ' || rec_id ELSE speaker END AS speaker FROM spoken")
+def j8(spark, sf_dir):
+    s = d.spoken(d.words(spark, sf_dir))
+    name = F.when(F.col("speaker") == "spk_0", F.concat(F.lit(" Ann "), F.col("rec_id").cast("string"))).otherwise(F.lit("  "))
+    names = s.select("rec_id", "speaker").distinct().select("rec_id", "speaker", name.alias("name"))
+    return sp.name_speakers(s, names).select("rec_id", "id", "speaker")
+
+
+_RENAMES = rf"WITH {d.SPOKEN_SQL}, jobs AS (SELECT rec_id, CASE WHEN max(end_ms) > 90000 THEN 'succeeded' ELSE 'running' END AS status FROM spoken GROUP BY rec_id), own AS (SELECT DISTINCT rec_id, speaker FROM spoken WHERE speaker IS NOT NULL), asked AS (SELECT conv_id + 1 AS rec_id, CASE WHEN role = 'system' THEN 'spk_1' ELSE 'spk_' || turn END AS speaker, substr(text, 1, 10 + 9 * turn) AS name FROM conversations), judged AS (SELECT a.*, CASE WHEN j.rec_id IS NULL THEN 'no such job' WHEN j.status <> 'succeeded' THEN 'not finished' WHEN o.rec_id IS NULL THEN 'no such speaker' WHEN length(trim(regexp_replace(name, '\p{{Cc}}', '', 'g'))) > 64 THEN 'long name' END AS reason FROM asked a LEFT JOIN jobs j ON j.rec_id = a.rec_id LEFT JOIN own o ON o.rec_id = a.rec_id AND o.speaker = a.speaker)"
+
+
+def _renames(spark, sf_dir):
+    s = settle(d.spoken(d.words(spark, sf_dir)))
+    jobs = s.groupBy("rec_id").agg(F.when(F.max("end_ms") > 90000, "succeeded").otherwise("running").alias("status"))
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    asked = c.select((F.col("conv_id") + 1).alias("rec_id"), F.when(F.col("role") == "system", "spk_1").otherwise(F.concat(F.lit("spk_"), F.col("turn").cast("string"))).alias("speaker"), F.expr("substring(text, 1, cast(10 + 9 * turn as int))").alias("name"))
+    return sp.rename_speakers(jobs, s.where("speaker IS NOT NULL"), asked)
+
+
+@query("j8_renames", _RENAMES + " SELECT rec_id, speaker, trim(regexp_replace(name, '\\p{Cc}', '', 'g')) AS name FROM judged WHERE reason IS NULL")
+def j8r(spark, sf_dir):
+    return _renames(spark, sf_dir)[0]
+
+
+@query("j8_refused_renames", _RENAMES + " SELECT rec_id, speaker, name, reason FROM judged WHERE reason IS NOT NULL")
+def j8x(spark, sf_dir):
+    return _renames(spark, sf_dir)[1]
+
+
+@query(
+    "w10_frames_to_turns",
+    f"""WITH {d.SAMPLES_SQL}, f AS (SELECT rec_id // 4 AS rec_id, rec_id % 4 AS speaker, idx AS frame, v FROM samples), r AS (SELECT *, frame - row_number() OVER (PARTITION BY rec_id, speaker ORDER BY frame) AS run FROM f WHERE frame < 60 AND v > 0),
+t AS (SELECT rec_id, speaker, min(frame) * 10 AS start_ms, least((max(frame) + 1) * 10, 595) AS end_ms FROM r GROUP BY rec_id, speaker, run), n AS (SELECT rec_id, speaker, row_number() OVER (PARTITION BY rec_id ORDER BY min(start_ms), speaker) - 1 AS number FROM t GROUP BY rec_id, speaker)
+SELECT t.rec_id, row_number() OVER (PARTITION BY t.rec_id ORDER BY start_ms, t.speaker) - 1 AS turn_ord, number AS speaker, start_ms, end_ms FROM t JOIN n ON n.rec_id = t.rec_id AND n.speaker = t.speaker""",
+)
+def w10(spark, sf_dir):
+    x = d.samples(spark, sf_dir).select(F.floor(F.col("rec_id") / 4).alias("rec_id"), (F.col("rec_id") % 4).alias("speaker"), F.col("idx").alias("frame"), F.col("v").alias("logit"))
+    return sp.frames_to_turns(x, x.select("rec_id").distinct().select("rec_id", F.lit(60).alias("valid"), F.lit(595).cast("long").alias("duration_ms")))
