@@ -264,7 +264,7 @@ def _renames(spark, sf_dir):
     return sp.rename_speakers(jobs, s.where("speaker IS NOT NULL"), asked)
 
 
-@query("j8_renames", _RENAMES + " SELECT rec_id, speaker, trim(regexp_replace(name, '\\p{Cc}', '', 'g')) AS name FROM judged WHERE reason IS NULL")
+@query("j8_renames", _RENAMES + r" SELECT rec_id, speaker, trim(regexp_replace(name, '\p{Cc}', '', 'g')) AS name FROM judged WHERE reason IS NULL")
 def j8r(spark, sf_dir):
     return _renames(spark, sf_dir)[0]
 
