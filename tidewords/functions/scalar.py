@@ -33,6 +33,11 @@ def milli_round(x: Column) -> Column:
     return F.round(x, 3)
 
 
+def round2(x: Column) -> Column:
+    """Two decimals, halves away from zero."""
+    return F.round(x, 2)
+
+
 def clock(seconds: Column) -> Column:
     """m:ss, or h:mm:ss from an hour on; fractions are cut off."""
     s = F.floor(F.greatest(seconds, F.lit(0.0)))
@@ -75,6 +80,12 @@ def file_safe(name: Column) -> Column:
     return F.regexp_replace(name, r'[\p{Cc}/\\:*?"<>|]', "_")
 
 
+def result_name(path: Column) -> Column:
+    """The name of a recording's voice track: its file name without folders and ending, made safe."""
+    stem = F.regexp_replace(F.regexp_replace(path, r"^.*[/\\\\]", ""), r"(?<=.)\.[^.]*$", "")
+    return F.concat(file_safe(stem), F.lit("-voice"))
+
+
 def word_key(word: Column) -> Column:
     """Letters and digits of a word in lower case: what two tracks have in common."""
     return F.lower(F.regexp_replace(word, r"[^\p{L}\p{Nd}]", ""))
@@ -96,6 +107,31 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(F.lit(0.0))
 
 
+def l2_normalise(a: Column) -> Column:
+    """An array scaled to length 1; zeros stay."""
+    norm = F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
+    return F.transform(a, lambda v: F.when(norm > 0, v.cast("double") / norm).otherwise(F.lit(0.0)))
+
+
+def rms(a: Column) -> Column:
+    """Root mean square of an array; 0 of an empty one."""
+    return F.when(F.size(a) > 0, F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")) / F.size(a))).otherwise(F.lit(0.0))
+
+
+def share(part: Column, whole: Column) -> Column:
+    """part / whole, at most 1; 0 where there is no whole."""
+    return F.when(whole > 0, F.least(F.lit(1.0), part / whole)).otherwise(F.lit(0.0))
+
+
+def clamp(x: Column, low: Column, high: Column) -> Column:
+    return F.least(F.greatest(x, low), high)
+
+
+def joins(end_ms: Column, next_start_ms: Column, most_ms: int = 350) -> Column:
+    """Do two words belong together: is the pause between them short enough?"""
+    return next_start_ms - end_ms <= most_ms
+
+
 def overlap(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
     """Length that two intervals share; touching shares nothing."""
     return F.greatest(F.least(a_end, b_end) - F.greatest(a_start, b_start), F.lit(0))

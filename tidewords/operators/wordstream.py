@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewords.functions.scalar import is_punctuation, is_special_token
 from tidewords.operators.patterns import asof_last, before, islands, up_to
 
+#: A step over a word stream.
+Stage = Callable[[DataFrame], DataFrame]
 #: Tokenisation units; anything else reads as ``bpe``.
 BPE, CHAR, CJK, CJK_BPE = "bpe", "char", "cjkchar", "cjkchar+bpe"
 _CJK = r"^▁?[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]"
@@ -46,6 +51,89 @@ def assemble_words(tokens: DataFrame, keys: list[str], unit: str = BPE) -> DataF
     return words.where("word <> ''").withColumn("end_ms", F.greatest("start_ms", "end_ms")).drop("__word")
 
 
+def segment_fallback(segments: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Words, with one of a segment's whole text and time for each segment that has none; and (rec_id, timestamp_source, warning).
+
+    Where no segment of a recording has words with times, its source is the segments and it gets a warning.
+    """
+    bare = segments.join(words.select("rec_id", "id").distinct(), ["rec_id", "id"], "left_anti")
+    made = bare.where(F.trim("text") != "").select("rec_id", "id", F.lit(0).cast("long").alias("seq"), F.trim("text").alias("word"), "start_ms", "end_ms")
+    timed = segments.select("rec_id").distinct().join(words.select("rec_id").distinct().withColumn("timed", F.lit(True)), "rec_id", "left")
+    told = timed.select("rec_id", F.when(F.col("timed"), "token").otherwise("segment").alias("timestamp_source"), F.when(F.col("timed").isNull(), "word_timestamps_unavailable").alias("warning"))
+    return words.select(*made.columns).unionByName(made), told
+
+
+def scatter_words(outputs: DataFrame, layout: DataFrame) -> DataFrame:
+    """Output words (rec_id, ord, span, …) with the segment (id) that owns their first input word.
+
+    ``layout`` has (rec_id, id, n): the input words of each segment in order. Spans say how many inputs an output covers.
+    """
+    at = F.coalesce(F.sum("span").over(before(["rec_id"], ["ord"])), F.lit(0))
+    begins = layout.where("n > 0").withColumn("__from", F.coalesce(F.sum("n").over(before(["rec_id"], ["id"])), F.lit(0)))
+    return asof_last(begins, outputs.withColumn("__place", at), "rec_id", "__from", "__place", ["id"], "id").drop("__place")
+
+
+def compose_spans(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(rec_id, ord, span) of two stages run one after the other: how many of the first's inputs the second's outputs cover."""
+    ends = second.withColumn("__to", F.sum("span").over(up_to(["rec_id"], ["ord"])))
+    owners = asof_last(ends.select("rec_id", (-F.col("__to")).alias("__s"), F.col("ord").alias("owner")), first.select("rec_id", "span", (-F.col("ord") - 1).alias("__t")), "rec_id", "__s", "__t", ["owner"], "owner")
+    return owners.groupBy("rec_id", F.col("owner").alias("ord")).agg(F.sum("span").alias("span"))
+
+
+def apply_chain(words: DataFrame, stages: list[Stage]) -> DataFrame:
+    """Words (rec_id, channel, seq, word, …) after the stages, each of which sees whole channels, ordered by start over all channels.
+
+    A stage maps words to words; one is looked up by language with ``rules_for`` or written as a function.
+    """
+    for stage in stages:
+        words = stage(words)
+    return words.withColumn("id", F.row_number().over(Window.partitionBy("rec_id").orderBy("start_ms", "channel", "seq")) - 1)
+
+
+_RULES: dict[str, Stage] = {}
+
+
+def register_rules(locale: str, stage: Stage) -> None:
+    """Make a stage known as the text rules of a locale; a locale may be a bare language."""
+    _RULES[locale.lower()] = stage
+
+
+def rules_for(locale: str) -> Stage | None:
+    """The rules of a locale, or of its language."""
+    return _RULES.get(locale.lower()) or _RULES.get(locale.lower().split("-")[0])
+
+
+def _met(words: list[str], punctuated: str) -> list[str] | None:
+    """The words as the punctuated text writes them, or None where its letters differ from theirs."""
+    out, at, n = [], 0, len(punctuated)
+    for word in words:
+        begin = None
+        for want in filter(str.isalnum, word):
+            while at < n and not punctuated[at].isalnum():
+                begin = at if begin is None and not punctuated[at].isspace() else begin
+                at += 1
+            if at >= n or punctuated[at].lower() != want.lower():
+                return None
+            begin = at if begin is None else begin
+            at += 1
+        if begin is None:
+            return None
+        while at < n and not punctuated[at].isalnum() and not punctuated[at].isspace():
+            at += 1
+        out.append("".join(punctuated[begin:at].split()))
+    return out
+
+
+def reattach_text(chunks: DataFrame) -> DataFrame:
+    """Chunks (…, words, punctuated) with ``words`` as written in the punctuated text; unchanged where the letters differ."""
+
+    @F.pandas_udf("array<string>")
+    def met(words: pd.Series, punctuated: pd.Series) -> pd.Series:
+        return pd.Series([_met(list(w), p) or list(w) for w, p in zip(words, punctuated, strict=True)])
+
+    return chunks.withColumn("words", met("words", "punctuated"))
+
+
 def merge_punctuation(words: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Words of punctuation alone join the word before them; one at the start stays. Returns keys, order, word, start_ms, end_ms."""
     at = Window.partitionBy(*keys).orderBy(order)

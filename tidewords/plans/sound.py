@@ -52,7 +52,18 @@ def _(spark, sf_dir):
 
 @query("a13_percentile_floor", f"{_SAMPLES} SELECT rec_id, round(list_sort(list(v))[CAST(floor((count(*) - 1) * 0.95) AS INT) + 1], 6) AS p95 FROM samples GROUP BY rec_id")
 def _(spark, sf_dir):
-    return d.samples(spark, sf_dir).groupBy("rec_id").agg(F.round(op.percentile_floor(F.col("v"), 0.95), 6).alias("p95"))
+    return op.percentile_floor(d.samples(spark, sf_dir), ["rec_id"], "v", 0.95).select("rec_id", F.round("v", 6).alias("p95"))
+
+
+@query("a11_rms_envelope", f"{_SAMPLES}, b AS (SELECT rec_id, b, b * 64 // 100 AS s, least(64, greatest(b * 64 // 100 + 1, (b + 1) * 64 // 100)) AS e FROM (SELECT DISTINCT rec_id FROM samples), range(100) t(b)), r AS (SELECT b.rec_id, b.b AS bucket, sqrt(avg(v * v)) AS rms FROM b JOIN samples x ON x.rec_id = b.rec_id AND x.idx >= s AND x.idx < e GROUP BY ALL) SELECT rec_id, bucket, round(rms / max(rms) OVER (PARTITION BY rec_id), 6) AS rms FROM r")
+def _(spark, sf_dir):
+    return op.normalise(op.rms_envelope(d.samples(spark, sf_dir), 100)).select("rec_id", "bucket", F.round("rms", 6).alias("rms"))
+
+
+@query("a12_channels", f"{_SAMPLES} SELECT rec_id // 2 AS rec_id, rec_id % 2 AS channel, idx, round(v, 6) AS v FROM samples UNION ALL SELECT rec_id // 2, -1, idx, round(v, 6) FROM samples WHERE rec_id % 2 = 0")
+def _(spark, sf_dir):
+    s = d.samples(spark, sf_dir).select(F.floor(F.col("rec_id") / 2).alias("rec_id"), (F.col("rec_id") % 2).alias("channel"), "idx", F.round("v", 6).alias("v"))
+    return op.channel(s, None).unionByName(op.channel(s, 0).withColumn("channel", F.lit(-1).cast("long")))
 
 
 @query("w15_energy_bins", f"{_BINS} SELECT rec_id, bin, round(power * 1e6, 6) AS power, round(1e6 * avg(power) OVER (PARTITION BY rec_id ORDER BY bin ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) AS smooth FROM bins")
@@ -84,16 +95,17 @@ def _(spark, sf_dir):
 
 @query(
     "a19_separation_quality",
-    f"{_PAIRS}, s AS (SELECT rec_id, sum(e * r) AS er, sum(r * r) AS rr, sum(e * e) AS ee, corr(e, r) AS c FROM pairs GROUP BY rec_id) SELECT rec_id, round(10 * log10(er * er / rr / (ee - er * er / rr)), 6) AS si_sdr_db, round(c, 6) AS corr FROM s",
+    f"{_PAIRS}, s AS (SELECT rec_id, sum(e * r) AS er, sum(r * r) AS rr, sum(e * e) AS ee, corr(e, r) AS c, sum(e * e) FILTER (idx % 3 = 0) / sum(r * r) FILTER (idx % 3 = 0) AS k, sum(e * e) FILTER (idx % 3 = 1) / sum(r * r) FILTER (idx % 3 = 1) AS q FROM pairs GROUP BY rec_id) SELECT rec_id, round(10 * log10(er * er / rr / (ee - er * er / rr)), 6) AS si_sdr_db, round(c, 6) AS corr, round(10 * log10(k), 6) AS keep_db, round(10 * log10(q), 6) AS suppress_db FROM s",
 )
 def _(spark, sf_dir):
-    return op.separation_quality(_pairs(spark, sf_dir)).select("rec_id", F.round("si_sdr_db", 6).alias("si_sdr_db"), F.round("corr", 6).alias("corr"))
+    own = F.when(F.col("idx") % 3 == 0, True).when(F.col("idx") % 3 == 1, False)
+    return op.separation_quality(_pairs(spark, sf_dir).withColumn("own", own)).select("rec_id", *(F.round(c, 6).alias(c) for c in ("si_sdr_db", "corr", "keep_db", "suppress_db")))
 
 
 @query(
     "a20_decision_drift",
-    f"""{_PAIRS}, c AS (SELECT rec_id, (r > 0) <> (e > 0) AS flip, abs(r) AS a FROM pairs)
-SELECT rec_id, count(*) AS frames, count(*) FILTER (flip) AS flips, round(min(a) FILTER (flip), 6) AS least, round(quantile_cont(a, 0.5) FILTER (flip), 6) AS middle, round(max(a) FILTER (flip), 6) AS most,
+    f"""{_PAIRS}, c AS (SELECT rec_id, r, e, (r > 0) <> (e > 0) AS flip, abs(r) AS a FROM pairs)
+SELECT rec_id, round(count(*) FILTER (r > 0 AND e > 0) / count(*) FILTER (r > 0 OR e > 0), 6) AS agreement, count(*) AS frames, count(*) FILTER (flip) AS flips, round(min(a) FILTER (flip), 6) AS least, round(quantile_cont(a, 0.5) FILTER (flip), 6) AS middle, round(max(a) FILTER (flip), 6) AS most,
   {", ".join(f"round(count(*) FILTER (a <= {w / 100}) / count(*), 6) AS within_{w}" for w in (1, 5, 10))} FROM c GROUP BY rec_id""",
 )
 def _(spark, sf_dir):
@@ -118,6 +130,12 @@ def _(spark, sf_dir):
     return d.samples(spark, sf_dir).groupBy("rec_id").agg(F.avg(F.col("v") * F.col("v")).alias("p")).select("rec_id", F.round(f.power_db(F.col("p")), 6).alias("db"))
 
 
+@query("f13_vectors", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: abs(x::DOUBLE))) / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS length, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / len(embedding)), 6) AS rms FROM embeddings")
+def _(spark, sf_dir):
+    whole = F.aggregate(f.l2_normalise(F.col("embedding")), F.lit(0.0), lambda s, v: s + F.abs(v))
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.round(whole, 6).alias("length"), F.round(f.rms(F.col("embedding")), 6).alias("rms"))
+
+
 @query(
     "f13_cosine",
     "SELECT a.vec_id AS vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS c FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",

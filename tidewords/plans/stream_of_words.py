@@ -88,11 +88,11 @@ def w26(spark, sf_dir):
     return ws.merge_channels(s.where("channel = 0").unionByName(s.where("channel = 1"))).select("rec_id", "channel", "turn", "sn", "start_ms", "end_ms", "id")
 
 
-_ASKED = "asked AS (SELECT DISTINCT rec_id, CAST(start_ms + 137 * (wid % 7) - 200 AS BIGINT) AS t FROM words WHERE wid % 5 = 0)"
+_ASKED = "asked AS (SELECT DISTINCT rec_id, CAST(start_ms + 137 * (wid % 7) - 200 AS BIGINT) AS t FROM words)"
 
 
 def _asked(w):
-    return w.where("wid % 5 = 0").select("rec_id", (F.col("start_ms") + 137 * (F.col("wid") % 7) - 200).cast("long").alias("t")).distinct()
+    return w.select("rec_id", (F.col("start_ms") + 137 * (F.col("wid") % 7) - 200).cast("long").alias("t")).distinct()
 
 
 @query("j11_word_at", f"WITH {d.WORDS_SQL}, {_ASKED}, c AS (SELECT a.rec_id, a.t, w.wid, w.end_ms, row_number() OVER (PARTITION BY a.rec_id, a.t ORDER BY w.start_ms DESC, w.wid DESC) AS r FROM asked a LEFT JOIN words w ON w.rec_id = a.rec_id AND w.start_ms - 10 <= a.t) SELECT rec_id, t, coalesce(CASE WHEN t <= end_ms + 10 THEN wid END, -1) AS wid FROM c WHERE r = 1")
@@ -156,6 +156,16 @@ _SCALARS = {
     "f2_timecode_even": (lambda: f.timecode_even(_sec(), ".", False), "CASE WHEN {x} >= 3600000 THEN printf('%02d:%02d:%02d.%03d', {x} // 3600000, {x} // 60000 % 60, {x} // 1000 % 60, {x} % 1000) ELSE printf('%02d:%02d.%03d', {x} // 60000 % 60, {x} // 1000 % 60, {x} % 1000) END".replace("{x}", f"CAST(round_even({_SEC_SQL} * 1000, 0) AS BIGINT)")),
     "f3_millis": (lambda: f.millis(_sec() - 1), f"CASE WHEN {_SEC_SQL} - 1 <= 0 THEN 0 ELSE CAST(round_even(({_SEC_SQL} - 1) * 1000, 0) AS BIGINT) END"),
     "f5_clock": (lambda: f.clock(_sec() * 60), "CASE WHEN {x} >= 3600 THEN printf('%d:%02d:%02d', {x} // 3600, {x} // 60 % 60, {x} % 60) ELSE printf('%d:%02d', {x} // 60, {x} % 60) END".replace("{x}", f"CAST(floor({_SEC_SQL} * 60) AS BIGINT)")),
+    "f4_milli_round": (lambda: f.milli_round(F.col("start_ms") / 8192), "round(start_ms / 8192, 3)"),
+    "f4_round2": (lambda: f.round2(F.col("start_ms") / 8192), "round(start_ms / 8192, 2)"),
+    "f7_base_id": (lambda: f.base_id(f.model_key(F.col("word"), F.col("role"))), "word"),
+    "f8_speaker_name": (lambda: f.speaker_name_clean(F.repeat(F.concat(F.lit(" \t"), "word"), 6)), r"CASE WHEN length(trim(regexp_replace(repeat(' ' || chr(9) || word, 6), '\p{Cc}', '', 'g'))) <= 64 THEN trim(regexp_replace(repeat(' ' || chr(9) || word, 6), '\p{Cc}', '', 'g')) END".replace("\\\\", "\\")),
+    "f9_result_name": (lambda: f.result_name(F.concat(F.lit("/a.b/"), F.col("word"), F.lit('?x.tar.gz'))), "word || '_x.tar-voice'"),
+    "f14_share": (lambda: F.round(f.share(F.col("start_ms"), F.col("end_ms") - 300), 9), "CASE WHEN end_ms > 300 THEN round(least(1.0, start_ms / (end_ms - 300)), 9) ELSE 0.0 END"),
+    "f14_clamp": (lambda: f.clamp(F.col("start_ms"), F.lit(1000), F.lit(9000)), "least(greatest(start_ms, 1000), 9000)"),
+    "f14_joins": (lambda: f.joins(F.col("end_ms"), F.col("start_ms") + 137 * (F.col("wid") % 7)), "start_ms + 137 * (wid % 7) - end_ms <= 350"),
+    "f11_text_delta_other": (lambda: f.text_delta(F.substring("word", 2, 1), F.col("word")), "CASE WHEN substr(word, 2, 1) = '' THEN word WHEN starts_with(word, substr(word, 2, 1)) THEN substr(word, 2) ELSE '' END"),
+    "f16_bad_cursor": (lambda: f.cursor_decode(F.when(F.col("wid") % 3 == 0, F.col("word")).when(F.col("wid") % 3 == 1, F.lit("A")).otherwise(F.lit("eDp5")))["id"].isNull(), "true"),
     "f7_base_tag": (lambda: f.base_tag(F.concat("role", F.lit("-"), "word")), "role"),
     "f9_file_safe": (lambda: f.file_safe(F.concat("word", F.lit('/a:b?'))), "word || '_a_b_'"),
     "f10_word_key": (lambda: f.word_key(F.col("word")), r"lower(regexp_replace(word, '[^\p{L}\p{Nd}]', '', 'g'))"),
