@@ -1,32 +1,49 @@
-"""Streaming operators that no SQL expresses, against plain loops."""
-
-from collections import defaultdict
+"""Streaming operators over tables of several part files and several batches."""
 
 import pytest
 
 from tidewords import plans
-from tidewords.plans.streams import CAPACITY, RATE
+from tidewords.streaming import events as op
 
 DATA = "/root/testdata/sf0.001"
+NAMES = ["t1_number_events", "t2_latest_job_state", "t3_stage_progress", "t4_token_bucket", "t5_idle_sessions", "t9_energy_stream", "t10_load_stream", "t11_level_stream", "t12_dedupe_events", "t14_job_table"]
 
 
-def test_token_bucket(spark):
-    rate, most = RATE, CAPACITY
-    rows = spark.read.parquet(f"{DATA}/events.parquet").selectExpr("user_id", "event_id", "unix_millis(cast(ts as timestamp)) as t").collect()
-    want, held, last = {}, defaultdict(lambda: most), {}
-    for r in sorted(rows, key=lambda r: (r.user_id, r.t, r.event_id)):
-        held[r.user_id] = min(most, held[r.user_id] + (r.t - last.get(r.user_id, r.t)) * rate / 1000)
-        last[r.user_id] = r.t
-        want[r.event_id] = held[r.user_id] >= 1
-        held[r.user_id] -= want[r.event_id]
-    got = {r.event_id: r.allowed for r in plans.QUERIES["t4_token_bucket"](spark, DATA).collect()}
-    assert got == want and 0 < sum(want.values()) < len(want)
-
-
-@pytest.mark.parametrize("name", ["t1_number_events", "t2_latest_job_state", "t4_token_bucket", "t5_idle_sessions", "t9_energy_stream", "t10_load_stream", "t12_dedupe_events"])
+@pytest.mark.parametrize("name", NAMES)
 def test_events_in_parts(spark, tmp_path, name):
     events = spark.read.parquet(f"{DATA}/events.parquet")
     events.repartition(5).write.parquet(f"{tmp_path}/events.parquet")
     assert len(list((tmp_path / "events.parquet").glob("part-*.parquet"))) == 5
     got, want = (sorted(map(repr, plans.QUERIES[name](spark, d).collect())) for d in (str(tmp_path), DATA))
     assert got == want and want
+
+
+def in_order(spark, tmp_path):
+    """Events in files by time, a batch each."""
+    events = spark.read.parquet(f"{DATA}/events.parquet")
+    for n, (low, high) in enumerate(((0, 300), (300, 301), (301, 700), (700, 1000))):
+        events.where(f"event_id >= {low} AND event_id < {high}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    return op.event_stream(spark, str(tmp_path), files_a_batch=1)
+
+
+def test_state_goes_on_from_batch_to_batch(spark, tmp_path):
+    whole = op.event_stream(spark, DATA)
+    cases = {
+        "number": lambda s: op.number_events(s, "user_id"),
+        "bucket": lambda s: op.token_bucket(s, "user_id", 1 / 14400, 2.0).select("user_id", "event_id", "allowed"),
+        "stage": lambda s: op.stage_progress(s.selectExpr("*", "'vad' AS stage"), "user_id", "stage"),
+        "sessions": lambda s: op.idle_sessions(s, "user_id", 7_200_000, 14_400_000),
+    }
+    parts = in_order(spark, tmp_path)
+    for name, made in cases.items():
+        got, want = (sorted(map(repr, op.drained(made(s)).collect())) for s in (parts, whole))
+        assert got == want and want, name
+
+
+def test_job_table_over_batches(spark, tmp_path):
+    parts, table = in_order(spark, tmp_path).select("user_id", "event_id", "event_type", "at_ms"), f"{tmp_path}/jobs"
+    assert op.read_job_table(spark, table) is None
+    op.job_table(parts, table, "user_id")
+    want = {r.user_id: r.event_id for r in plans.QUERIES["t2_latest_job_state"](spark, DATA).collect()}
+    assert {r.user_id: r.event_id for r in op.read_job_table(spark, table).collect()} == want
+    assert op.read_job_table(spark, table, 0).count() <= len(want)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidewords.plans.registry import query
+from tidewords.sources.shared import shared_folder
 from tidewords.streaming import events as op
 
 #: A token each four hours, two at most: events of a user are hours apart.
@@ -17,41 +20,75 @@ RATE, CAPACITY = 1 / 14400, 2.0
 n AS (SELECT *, row_number() OVER (PARTITION BY user_id, topic ORDER BY ts, event_id) AS seq FROM t) SELECT user_id, event_id, seq FROM n WHERE NOT (event_type = 'error' AND seq = 1)""",
 )
 def _(spark, sf_dir):
-    return op.drained(op.number_events(op.event_stream(spark, sf_dir), "user_id"), "append")
+    return op.drained(op.number_events(op.event_stream(spark, sf_dir), "user_id"))
 
 
 @query("t2_latest_job_state", "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id")
 def _(spark, sf_dir):
-    return op.drained(op.latest_state(op.event_stream(spark, sf_dir), "user_id"), "complete")
+    return op.drained(op.latest_state(op.event_stream(spark, sf_dir), "user_id"), ["user_id"])
 
 
-@query("t4_token_bucket")
+@query(
+    "t4_token_bucket",
+    f"""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+w AS (SELECT user_id, event_id, t, i, true AS allowed, {CAPACITY}::DOUBLE AS full, {CAPACITY - 1}::DOUBLE AS held FROM e WHERE i = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.t, e.i, least({CAPACITY}::DOUBLE, w.held + (e.t - w.t) * {RATE!r}::DOUBLE / 1000) >= 1, least({CAPACITY}::DOUBLE, w.held + (e.t - w.t) * {RATE!r}::DOUBLE / 1000),
+    CASE WHEN least({CAPACITY}::DOUBLE, w.held + (e.t - w.t) * {RATE!r}::DOUBLE / 1000) >= 1 THEN least({CAPACITY}::DOUBLE, w.held + (e.t - w.t) * {RATE!r}::DOUBLE / 1000) - 1 ELSE least({CAPACITY}::DOUBLE, w.held + (e.t - w.t) * {RATE!r}::DOUBLE / 1000) END
+  FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1)
+SELECT user_id, event_id, allowed FROM w""",
+)
 def _(spark, sf_dir):
-    return op.drained(op.token_bucket(op.event_stream(spark, sf_dir), "user_id", RATE, CAPACITY), "append")
+    return op.drained(op.token_bucket(op.event_stream(spark, sf_dir), "user_id", RATE, CAPACITY)).select("user_id", "event_id", "allowed")
 
 
-@query(
-    "t5_idle_sessions",
-    """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS o FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-s AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g)
-SELECT user_id, min(epoch_us(ts) // 1000) AS start_ms, max(epoch_us(ts) // 1000) AS last_ms, count(*) AS n FROM s GROUP BY user_id, k""",
-)
+#: What the watermark, an hour behind the last event, has passed.
+_MARK = "(SELECT max(epoch_us(ts)) // 1000 - 3600000 FROM events)"
+_SESSIONS = """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+w AS (SELECT user_id, t, i, t AS start, 1 AS n, 0 AS k, CAST(NULL AS VARCHAR) AS why FROM e WHERE i = 1
+  UNION ALL SELECT e.user_id, e.t, e.i, CASE WHEN e.t - w.t > 7200000 OR e.t - w.start >= 14400000 THEN e.t ELSE w.start END, CASE WHEN e.t - w.t > 7200000 OR e.t - w.start >= 14400000 THEN 1 ELSE w.n + 1 END,
+    CASE WHEN e.t - w.t > 7200000 OR e.t - w.start >= 14400000 THEN w.k + 1 ELSE w.k END, CASE WHEN e.t - w.t > 7200000 THEN 'idle' WHEN e.t - w.start >= 14400000 THEN 'length' END
+  FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1),
+s AS (SELECT user_id, k, max(start) AS start_ms, max(t) AS last_ms, max(n) AS n FROM w GROUP BY user_id, k)"""
+
+
+@query("t5_idle_sessions", f"{_SESSIONS} SELECT s.user_id, start_ms, last_ms, CAST(n AS BIGINT) AS n, coalesce((SELECT any_value(why) FROM w WHERE w.user_id = s.user_id AND w.k = s.k + 1 AND w.n = 1), 'idle') AS reason FROM s WHERE EXISTS (SELECT 1 FROM s x WHERE x.user_id = s.user_id AND x.k = s.k + 1) OR last_ms + 7200000 < {_MARK}")
+def _(spark, sf_dir):
+    return op.drained(op.idle_sessions(op.event_stream(spark, sf_dir), "user_id", 7_200_000, 14_400_000))
+
+
+@query("t9_energy_stream", f"SELECT epoch_us(ts) // 10000 * 10 AS start_ms, count(*) AS n, round(avg(value * value), 3) AS power FROM events GROUP BY 1 HAVING epoch_us(min(ts)) // 10000 * 10 + 10 <= {_MARK}")
 def _(spark, sf_dir):
-    return op.drained(op.idle_sessions(op.event_stream(spark, sf_dir), "user_id", "30 minutes"), "complete")
+    return op.drained(op.energy(op.event_stream(spark, sf_dir))).withColumn("power", F.round("power", 3))
+
+
+@query("t10_load_stream", f"SELECT epoch_us(ts) // 60000000 * 60000 AS start_ms, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING epoch_us(min(ts)) // 60000000 * 60000 + 60000 <= {_MARK}")
+def _(spark, sf_dir):
+    return op.drained(op.load(op.event_stream(spark, sf_dir)))
+
+
+@query("t11_level_stream", f"WITH w AS (SELECT value, (epoch_us(ts) // 1800000000 - k) * 1800000 AS start_ms FROM events, range(4) r(k)) SELECT start_ms, count(*) AS n, round(avg(value * value), 3) AS power, max(value) AS loudest FROM w WHERE start_ms + 7200000 <= {_MARK} GROUP BY start_ms")
+def _(spark, sf_dir):
+    return op.drained(op.level(op.event_stream(spark, sf_dir), "2 hours", "30 minutes")).withColumn("power", F.round("power", 3))
+
+
+_STAGE = "['decode', 'vad', 'asr', 'assemble', 'post'][CAST(event_id % 5 AS INT) + 1]"
 
 
-@query("t9_energy_stream", "SELECT epoch_us(ts) // 10000 * 10 AS start_ms, count(*) AS n, round(avg(value * value), 6) AS power FROM events GROUP BY 1")
+@query("t3_stage_progress", f"WITH h AS (SELECT *, last_value(CASE WHEN event_type <> 'click' THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS status FROM events) SELECT user_id, event_id, {_STAGE} AS stage, CASE {_STAGE} WHEN 'decode' THEN 10 WHEN 'vad' THEN 25 WHEN 'asr' THEN 40 WHEN 'assemble' THEN 95 ELSE 0 END AS percent FROM h WHERE event_type = 'click' AND status = 'view'")
 def _(spark, sf_dir):
-    return op.drained(op.energy(op.event_stream(spark, sf_dir)), "complete").withColumn("power", F.round("power", 6))
+    stage = F.element_at(F.array(*map(F.lit, ("decode", "vad", "asr", "assemble", "post"))), (F.col("event_id") % 5 + 1).cast("int"))
+    return op.drained(op.stage_progress(op.event_stream(spark, sf_dir).withColumn("stage", stage), "user_id", "stage"))
 
 
-@query("t10_load_stream", "SELECT epoch_us(ts) // 60000000 * 60000 AS start_ms, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+@query("t14_job_table", "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id")
 def _(spark, sf_dir):
-    return op.drained(op.load(op.event_stream(spark, sf_dir)), "complete")
+    table = f"{shared_folder(spark)}/jobs-{uuid.uuid4().hex}"
+    op.job_table(op.event_stream(spark, sf_dir).select("user_id", "event_id", "event_type", "at_ms"), table, "user_id")
+    return op.read_job_table(spark, table).select("user_id", "event_id", "event_type")
 
 
 @query("t12_dedupe_events", "SELECT user_id, event_id FROM events")
 def _(spark, sf_dir):
     stream = op.event_stream(spark, sf_dir)
     twice = stream.unionByName(stream.where("event_id % 3 = 0"))
-    return op.drained(op.once(twice, ["user_id", "event_id"]).select("user_id", "event_id"), "append")
+    return op.drained(op.once(twice, ["user_id", "event_id"]).select("user_id", "event_id"))

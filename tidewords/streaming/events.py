@@ -6,9 +6,10 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from tidewords.sources.shared import shared_folder
 
@@ -16,36 +17,69 @@ from tidewords.sources.shared import shared_folder
 MILLIS = "unix_millis(to_utc_timestamp(cast({} as timestamp), current_timezone()))"
 
 
-def event_stream(spark: SparkSession, sf_dir: str, delay: str = "1 hour") -> DataFrame:
+def event_stream(spark: SparkSession, sf_dir: str, delay: str = "1 hour", files_a_batch: int | None = None) -> DataFrame:
     """The events as a stream with a watermark on ``at``, and ``at_ms``; the table is one file or a folder of part files.
 
-    All files that are there come in one batch, so that the order of the files makes no row late.
+    Unless ``files_a_batch`` is given all files that are there come in one batch, so that the order of the files makes no
+    row late; a source in order of time should bound its batches, as rows of one key in a batch are sorted together.
     """
     table = f"{sf_dir}/events.parquet"
     path = spark._jvm.org.apache.hadoop.fs.Path(table)
     folder = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
-    schema = spark.read.parquet(table).schema
-    files = spark.readStream.schema(schema)
+    files = spark.readStream.schema(spark.read.parquet(table).schema)
+    files = files.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else files
     stream = files.parquet(table) if folder else files.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     return stream.withColumn("at", F.col("ts").cast("timestamp")).withColumn("at_ms", F.expr(MILLIS.format("ts"))).withWatermark("at", delay)
 
 
-def drained(stream: DataFrame, mode: str) -> DataFrame:
+def drained(stream: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """What a stream has given when all that was there is read: written batch by batch, then read as a table.
 
-    A batch that runs again writes its own folder again. In complete mode the last batch holds the result.
+    Rows are appended as they are final; with ``keys`` the stream runs in update mode and the last row of each key stays.
+    A batch that runs again writes its own folder again. Windows and sessions that the watermark has not passed are open
+    and give nothing yet.
     """
     spark = stream.sparkSession
     base = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     done: list[str] = []
 
     def keep(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/out/{n}")
+        batch.withColumn("__batch", F.lit(n)).write.mode("overwrite").parquet(f"{base}/out/{n}")
         if f"{base}/out/{n}" not in done:
             done.append(f"{base}/out/{n}")
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(*(done[-1:] if mode == "complete" else done)) if done else spark.createDataFrame([], stream.schema)
+    stream.writeStream.outputMode("update" if keys else "append").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    told = StructType([*stream.schema, *StructType.fromDDL("__batch long")])
+    out = spark.read.schema(told).parquet(*done) if done else spark.createDataFrame([], told)
+    if keys:
+        last = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("__batch")))
+        out = out.withColumn("__last", last).where("__last = 1").drop("__last")
+    return out.drop("__batch")
+
+
+def job_table(stream: DataFrame, table: str, key: str) -> None:
+    """Keep a table of the last state of each job: every batch of transitions writes a version, the last one counts.
+
+    A version is the one before with the batch's last transition of each job put in its place; a batch that runs again
+    writes its version again. Versions are folders ``table``/n of the shared store.
+    """
+    spark = stream.sparkSession
+
+    def apply(batch: DataFrame, n: int) -> None:
+        new = batch.groupBy(key).agg(F.max_by(F.struct(*[c for c in batch.columns if c != key]), F.struct("at_ms", "event_id")).alias("s")).select(key, "s.*")
+        old = read_job_table(spark, table, n - 1)
+        (new if old is None else old.join(new.select(key), key, "left_anti").unionByName(new)).write.mode("overwrite").parquet(f"{table}/{n}")
+
+    stream.writeStream.outputMode("append").option("checkpointLocation", f"{table}-state").trigger(availableNow=True).foreachBatch(apply).start().awaitTermination()
+
+
+def read_job_table(spark: SparkSession, table: str, version: int | None = None) -> DataFrame | None:
+    """The newest version (up to ``version``) of a table that ``job_table`` keeps, None before the first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    there = [int(f.getPath().getName()) for f in store.listStatus(path)] if store.exists(path) else []
+    there = [n for n in there if version is None or n <= version]
+    return spark.read.parquet(f"{table}/{max(there)}") if there else None
 
 
 def latest_state(stream: DataFrame, job: str) -> DataFrame:
@@ -66,10 +100,70 @@ def energy(stream: DataFrame, width: str = "10 milliseconds") -> DataFrame:
     return met.select(F.expr(MILLIS.format("cast(w.start as timestamp_ntz)")).alias("start_ms"), "n", "power")
 
 
-def idle_sessions(stream: DataFrame, user: str, gap: str = "60 seconds") -> DataFrame:
-    """Stretches of a user's events that no idle gap parts."""
-    met = stream.groupBy(F.session_window("at", gap).alias("w"), user).agg(F.count("*").alias("n"), F.min("at_ms").alias("start_ms"), F.max("at_ms").alias("last_ms"))
-    return met.select(user, "start_ms", "last_ms", "n")
+def level(stream: DataFrame, width: str = "10 seconds", step: str = "1 second") -> DataFrame:
+    """Events, mean square and loudest of their values in sliding windows."""
+    met = stream.groupBy(F.window("at", width, step).alias("w")).agg(F.count("*").alias("n"), F.avg(F.col("value") * F.col("value")).alias("power"), F.max("value").alias("loudest"))
+    return met.select(F.expr(MILLIS.format("cast(w.start as timestamp_ntz)")).alias("start_ms"), "n", "power", "loudest")
+
+
+def _until(state: GroupState, at_ms: int) -> None:
+    """Let the state be looked at again when the watermark has passed a time."""
+    state.setTimeoutTimestamp(max(int(at_ms), state.getCurrentWatermarkMs() + 1))
+
+
+def idle_sessions(stream: DataFrame, user: str, idle_ms: int = 60_000, most_ms: int = 7_200_000) -> DataFrame:
+    """(user, start_ms, last_ms, n, reason): sessions of a user's events, closed by an idle gap or by their length.
+
+    An event later than ``idle_ms`` after the last one opens a new session, as does one ``most_ms`` or more after the
+    session's start. A session that is idle is given out when the watermark has passed, and its state goes.
+    """
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        start, last, n = state.get if state.exists else (None, None, 0)
+        closed = []
+        if state.hasTimedOut:
+            closed.append((start, last, n, "idle"))
+            state.remove()
+        else:
+            for at in _together(parts)["at_ms"].tolist():
+                if n and (at - last > idle_ms or at - start >= most_ms):
+                    closed.append((start, last, n, "idle" if at - last > idle_ms else "length"))
+                    n = 0
+                start, last, n = (start if n else at), at, n + 1
+            state.update((start, last, n))
+            _until(state, last + idle_ms)
+        yield pd.DataFrame([(key[0], *c) for c in closed], columns=[user, "start_ms", "last_ms", "n", "reason"])
+
+    return stream.groupBy(user).applyInPandasWithState(step, f"{user} long, start_ms long, last_ms long, n long, reason string", "start long, last long, n long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def stage_progress(stream: DataFrame, job: str, stage: str, running: str = "view", ended: tuple[str, ...] = ("purchase", "error"), stages: str = "click") -> DataFrame:
+    """(job, event_id, stage, percent): stage events of jobs that are running; others pass unseen.
+
+    A job's state is its last status; it goes when the job ends or the watermark is a day past its last event.
+    """
+    percent = {"decode": 10, "vad": 25, "asr": 40, "assemble": 95}
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        told = []
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            status = state.get[0] if state.exists else ""
+            rows = _together(parts)
+            for kind, event, name in zip(rows["event_type"], rows["event_id"], rows[stage], strict=True):
+                if kind != stages:
+                    status = "" if kind in ended else kind
+                elif status == running:
+                    told.append((key[0], event, name, percent.get(name, 0)))
+            if status:
+                state.update((status,))
+                _until(state, int(rows["at_ms"].max()) + 86_400_000)
+            elif state.exists:
+                state.remove()
+        yield pd.DataFrame(told, columns=[job, "event_id", "stage", "percent"])
+
+    return stream.groupBy(job).applyInPandasWithState(step, f"{job} long, event_id long, stage string, percent int", "status string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def once(stream: DataFrame, keys: list[str]) -> DataFrame:
@@ -78,39 +172,53 @@ def once(stream: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _together(parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """A job's rows of one micro-batch in order; their number is bounded by what a batch reads."""
+    """A key's rows of one micro-batch in order; bound a batch (``files_a_batch``) to bound them."""
     return pd.concat(list(parts)).sort_values(["at_ms", "event_id"])
 
 
-def number_events(stream: DataFrame, job: str, terminal: str = "error") -> DataFrame:
+def number_events(stream: DataFrame, job: str, terminal: str = "error", most_ms: int = 30 * 86_400_000) -> DataFrame:
     """(job, event_id, seq): numbers from 1 in each topic of a job.
 
-    A terminal event closes the topic, and the next event opens another; one that would open a topic is ignored.
+    A terminal event closes the topic, and the next event opens another; one that would open a topic is ignored. A
+    job's state goes with its topic, or when the watermark is ``most_ms`` past its last event.
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({job: [], "event_id": [], "seq": []})
+            return
         rows, seq = _together(parts), state.get[0] if state.exists else 0
         numbers = []
         for kind in rows["event_type"]:
             over = kind == terminal
             numbers.append(0 if over and seq == 0 else seq + 1)
             seq = 0 if over else seq + 1
-        state.update((seq,))
+        if seq:
+            state.update((seq,))
+            _until(state, int(rows["at_ms"].max()) + most_ms)
+        elif state.exists:
+            state.remove()
         out = pd.DataFrame({job: key[0], "event_id": rows["event_id"].to_numpy(), "seq": numbers})
         yield out[out["seq"] > 0]
 
-    return stream.groupBy(job).applyInPandasWithState(step, f"{job} long, event_id long, seq long", "seq long", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy(job).applyInPandasWithState(step, f"{job} long, event_id long, seq long", "seq long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def token_bucket(stream: DataFrame, key: str, rate: float, capacity: float | None = None) -> DataFrame:
     """(key, event_id, allowed, wait_ms): a bucket of ``capacity`` tokens (twice the rate unless given), refilled by ``rate`` a second.
 
     An event that finds less than one token is denied, with the milliseconds until there is one. A rate of 0 or
-    less lets all pass, as does an event without a key.
+    less lets all pass, as does an event without a key. A key's state goes when its bucket must be full again, which is
+    how a key without state begins.
     """
     most = 2 * rate if capacity is None else capacity
 
     def step(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({key: [], "event_id": [], "allowed": [], "wait_ms": []})
+            return
         rows = _together(parts)
         held, last = state.get if state.exists else (most, None)
         free = rate <= 0 or name[0] is None or pd.isna(name[0])
@@ -122,6 +230,7 @@ def token_bucket(stream: DataFrame, key: str, rate: float, capacity: float | Non
             waits.append(0 if allowed[-1] else int(-((held - 1) * 1000 // rate)))
             held -= 1 if allowed[-1] and not free else 0
         state.update((float(held), int(last)))
+        _until(state, last + (int(1000 * most / rate) + 1 if rate > 0 else 0))
         yield pd.DataFrame({key: name[0], "event_id": rows["event_id"].to_numpy(), "allowed": allowed, "wait_ms": waits})
 
-    return stream.groupBy(key).applyInPandasWithState(step, f"{key} long, event_id long, allowed boolean, wait_ms long", "held double, last long", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy(key).applyInPandasWithState(step, f"{key} long, event_id long, allowed boolean, wait_ms long", "held double, last long", "append", GroupStateTimeout.EventTimeTimeout)
