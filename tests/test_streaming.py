@@ -4,9 +4,10 @@ import pytest
 
 from tidewords import plans
 from tidewords.streaming import events as op
+from tidewords.streaming import utterances as ut
 
 DATA = "/root/testdata/sf0.001"
-NAMES = ["t1_number_events", "t2_latest_job_state", "t3_stage_progress", "t4_token_bucket", "t5_idle_sessions", "t9_energy_stream", "t10_load_stream", "t11_level_stream", "t12_dedupe_events", "t14_job_table"]
+NAMES = ["t1_number_events", "t2_latest_job_state", "t3_stage_progress", "t4_token_bucket", "t5_idle_sessions", "t9_energy_stream", "t10_load_stream", "t11_level_stream", "t12_dedupe_events", "t14_job_table", "t6_segment_utterances", "t7_partials"]
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -32,6 +33,7 @@ def test_state_goes_on_from_batch_to_batch(spark, tmp_path):
         "number": lambda s: op.number_events(s, "user_id"),
         "bucket": lambda s: op.token_bucket(s, "user_id", 1 / 14400, 2.0).select("user_id", "event_id", "allowed"),
         "stage": lambda s: op.stage_progress(s.selectExpr("*", "'vad' AS stage"), "user_id", "stage"),
+        "utterances": lambda s: ut.utterances(s.selectExpr("user_id", "event_id", "at", "at_ms", "event_type <> 'error' AS loud", "event_type AS word", "'' AS control"), "user_id", ut.Rules(14_400_000, 50_000_000, 20_000_000, 7_200_000, 3_600_000, 3_600_000, 3_600_000), 40 * 86_400_000),
         "sessions": lambda s: op.idle_sessions(s, "user_id", 7_200_000, 14_400_000),
     }
     parts = in_order(spark, tmp_path)
@@ -47,3 +49,27 @@ def test_job_table_over_batches(spark, tmp_path):
     want = {r.user_id: r.event_id for r in plans.QUERIES["t2_latest_job_state"](spark, DATA).collect()}
     assert {r.user_id: r.event_id for r in op.read_job_table(spark, table).collect()} == want
     assert op.read_job_table(spark, table, 0).count() <= len(want)
+
+
+def heard(rules, listed):
+    """What is told of (at, word or None for quiet or a control) rows."""
+    now, told = ut.Item(0, 0, 0, -rules.interval), []
+    for at, what in listed:
+        control = what if what in ("commit", "clear") else ""
+        told += ut.hear(now, rules, at, bool(what) and not control, what if what and not control else "", control)
+    return told
+
+
+def test_utterances_end_by_silence_length_pause_and_commit():
+    rules = ut.Rules()
+    finals = lambda listed: [(t[2], t[3], t[4], t[6]) for t in heard(rules, listed) if t[1] == "final"]
+    assert finals([(100, "a"), (200, "b"), (1300, None), (1400, None)]) == [(0, 1400, "a b", "silence")]
+    assert finals([(k * 100, "x") for k in range(1, 201)])[0][1:2] + finals([(k * 100, "x") for k in range(1, 201)])[0][3:] == (20_000, "max_length")
+    assert finals([(k * 100, "x") for k in range(1, 160)] + [(16_000, None), (16_200, None)])[0][3] == "pause"
+    assert finals([(100, "commit"), (200, "a"), (300, "commit")]) == [(0, 100, "", "commit"), (100, 300, "a", "commit")]
+    assert finals([(100, "a"), (200, "clear"), (1500, None), (3000, None), (3100, "b"), (3200, "commit")]) == [(2300, 3200, "b", "commit")]
+
+
+def test_partials_keep_their_interval_and_add_up():
+    told = [t for t in heard(ut.Rules(), [(100, "a"), (200, "b"), (350, "c"), (450, "d")]) if t[1] == "partial"]
+    assert [(t[4], t[5]) for t in told] == [("a", "a"), ("a b c d", " b c d")]

@@ -7,8 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from tidewords.plans.registry import query
-from tidewords.sources.shared import shared_folder
+from tidewords.sources import derived as d
+from tidewords.sources.shared import settle, shared_folder
 from tidewords.streaming import events as op
+from tidewords.streaming import utterances as ut
 
 #: A token each four hours, two at most: events of a user are hours apart.
 RATE, CAPACITY = 1 / 14400, 2.0
@@ -87,6 +89,45 @@ def _(spark, sf_dir):
     return op.read_job_table(spark, table).select("user_id", "event_id", "event_type")
 
 
+#: A user's events as a live stream, hours in place of seconds: some are sounds with a word, some quiet, some controls.
+_HOUR = 3_600_000
+_RULES = ut.Rules(silence=6 * _HOUR, limit=30 * _HOUR, search=0, guard=2 * _HOUR, interval=0)
+_HEARD = f"""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) // 1000 AS t, event_type IN ('view', 'click') AS loud, 'w' || event_id AS word, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+w0 AS (SELECT user_id, t, i, 0 AS item, t AS start, t AS heard, CASE WHEN loud THEN word ELSE '' END AS said FROM e WHERE i = 1),
+w AS (SELECT user_id, t, i, item, start, heard, said, start AS was, '' AS final, '' AS cut FROM w0
+  UNION ALL SELECT user_id, t, i, CASE WHEN ends <> '' THEN item + 1 ELSE item END, CASE WHEN ends <> '' THEN t WHEN quiet >= {6 * _HOUR} THEN greatest(start, t - {2 * _HOUR}) ELSE start END, CASE WHEN ends <> '' THEN t ELSE heard END, CASE WHEN ends <> '' THEN '' ELSE said END, start, CASE WHEN ends <> '' THEN said ELSE '' END, ends
+  FROM (SELECT *, CASE WHEN t - start >= {30 * _HOUR} THEN 'max_length' WHEN quiet >= {6 * _HOUR} AND said <> '' THEN 'silence' ELSE '' END AS ends
+    FROM (SELECT e.user_id, e.t, e.i, w.item, w.start, CASE WHEN e.loud THEN e.t ELSE w.heard END AS heard, CASE WHEN e.loud THEN trim(w.said || ' ' || e.word) ELSE w.said END AS said, e.t - CASE WHEN e.loud THEN e.t ELSE w.heard END AS quiet FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1)))"""
+
+
+def _live(spark, sf_dir):
+    stream, kind = op.event_stream(spark, sf_dir), F.col("event_type")
+    loud = kind.isin("view", "click")
+    return stream.select("user_id", "event_id", "at", "at_ms", "event_type", loud.alias("loud"), F.when(loud, F.concat(F.lit("w"), F.col("event_id").cast("string"))).otherwise("").alias("word"), F.lit("").alias("control"))
+
+
+@query("t6_segment_utterances", f"{_HEARD} SELECT user_id, CAST(item - 1 AS BIGINT) AS item, was AS start_ms, t AS end_ms, final AS text, cut FROM w WHERE final <> ''")
+def _(spark, sf_dir):
+    return op.drained(ut.utterances(_live(spark, sf_dir), "user_id", _RULES, 90 * 24 * _HOUR)).where("kind = 'final'").select("user_id", "item", "start_ms", "end_ms", "text", "cut")
+
+
+@query("t7_partials")
+def _(spark, sf_dir):
+    rules = ut.Rules(silence=6 * _HOUR, limit=30 * _HOUR, search=10 * _HOUR, pause=4 * _HOUR, dip=_HOUR, guard=2 * _HOUR, interval=3 * _HOUR)
+    control = F.when(F.col("event_type") == "signup", "commit").when((F.col("event_type") == "error") & (F.col("event_id") % 4 == 0), "clear").otherwise("")
+    return op.drained(ut.utterances(_live(spark, sf_dir).withColumn("control", control), "user_id", rules, 90 * 24 * _HOUR))
+
+
+@query("t15_utterance_words", f"WITH {d.SPOKEN_SQL} SELECT s.rec_id, s.seq, greatest(s.start_ms - 120, p.start_ms) AS start_ms, greatest(s.end_ms - 120, s.start_ms - 120, p.start_ms) AS end_ms FROM said s JOIN spoken p USING (rec_id, id)")
+def _(spark, sf_dir):
+    w = settle(d.words(spark, sf_dir))
+    s = d.spoken(w)
+    item = s.select("rec_id", "id", F.col("start_ms").alias("item_start_ms"), (F.col("start_ms") - 620).alias("clock_ms"))
+    heard = d.spoken_words(w, s).join(item, ["rec_id", "id"])
+    own = heard.withColumns({c: F.col(c) - F.col("item_start_ms") + 500 for c in ("start_ms", "end_ms")})
+    return ut.utterance_words(own).select("rec_id", "seq", "start_ms", "end_ms")
+
+
 @query("t12_dedupe_events", "SELECT user_id, event_id FROM events")
 def _(spark, sf_dir):
     stream = op.event_stream(spark, sf_dir)
