@@ -134,8 +134,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     if not good or not total:
         return None
     at = lambda salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 30)) / float(1 << 30)
-    trusted = known.where(F.col("__quality") == 1).where(at("trusted") < POSITIVES / good).select("doc_id", F.lit(True).alias("trusted")).limit(2 * POSITIVES)
-    picked = free.select("doc_id", "text", (at("unlabelled") < UNLABELLED / total).alias("free")).join(F.broadcast(trusted), "doc_id", "left").where("free or trusted")
+    trusted = known.where(F.col("__quality") == 1).where(at("trusted") < POSITIVES / good).select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(True).alias("trusted")).limit(2 * POSITIVES)
+    picked = free.select(F.col("doc_id").cast("string").alias("doc_id"), "text", (at("unlabelled") < UNLABELLED / total).alias("free")).join(F.broadcast(trusted), "doc_id", "left").where("free or trusted")
     rows = picked.select(F.explode(F.expr("filter(array(trusted, if(free, false, null)), x -> x is not null)")).alias("trusted"), "text").mapInArrow(_sample_features, "trusted boolean, x binary").toArrow()
     pairs = sorted(zip(rows["trusted"].to_pylist(), rows["x"].to_pylist(), strict=True))  # the same order at every run
     kind = np.array([k for k, _ in pairs], bool)

@@ -190,7 +190,7 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
 
     The other columns stay as they are; see ``find_secrets`` for the edges.
     """
-    text, columns = F.col("row.text"), [F.col("row")[c].alias(c) for c in docs.columns if c != "text"]
+    text = F.col("row.text")
 
     def rest(spans):
         reach = _running(F.transform(spans, lambda x: x["end"]), lambda a, b: F.greatest(a, b))
@@ -198,8 +198,9 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
         tail = F.substr(text, F.array_max(F.transform(spans, lambda x: x["end"])) + 1)
         return F.concat(F.array_join(_let(reach, gaps), ""), tail)
 
-    clean = F.when(F.size("spans") > 0, _let(F.col("spans"), rest)).otherwise(text).alias("text")
-    return find_secrets(docs).select(*columns, clean).select(*docs.columns)
+    clean = F.when(F.size("spans") > 0, _let(F.col("spans"), rest)).otherwise(text)
+    made = F.struct(*((clean if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns))
+    return find_secrets(docs).select(made.alias("row")).select("row.*")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
