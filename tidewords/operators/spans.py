@@ -70,3 +70,42 @@ def spread(rows: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
     placed = rows.withColumn("__at", F.row_number().over(own.orderBy(*order)) - 1).withColumn("__size", F.count("*").over(own))
     hit = F.ceil(F.col("__at") * n / F.col("__size"))
     return placed.where((hit < n) & (F.floor(hit * F.col("__size") / n) == F.col("__at"))).drop("__at", "__size")
+
+
+#: Fixed values of sample choice in ms: a window and its step, the margin around others, clean speech needed, how far below
+#: the best coverage is kept; and how many windows stay.
+WINDOW_MS, STEP_MS, MARGIN_MS, CLEAN_MS, BELOW_MS, MOST_WINDOWS = 3000, 250, 150, 1500, 500, 48
+
+
+def candidate_windows(turns: DataFrame, totals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Windows (rec_id, speaker, start_ms, covered) from which a speaker may be sampled, and (rec_id, speaker, clean_ms, enough).
+
+    Windows lie, step by step, where no other speaker of turns (rec_id, speaker, s, e) is near; those count in which the
+    speaker talks half the time or more and nearly as much as in the best, thinned to ``MOST_WINDOWS``. A speaker with too little
+    speech alone has none.
+    """
+    who = turns.select("rec_id", F.col("speaker").alias("me")).distinct()
+    key = F.struct("rec_id", "me").alias("rec_id")
+    whole = who.join(totals, "rec_id").select(key, F.lit(0).cast("long").alias("s"), F.col("total").cast("long").alias("e"))
+    held = turns.join(totals, "rec_id").select("rec_id", "speaker", F.greatest("s", F.lit(0)).alias("s"), F.least("e", "total").alias("e"), "total")
+    own = merge_spans(held.select(F.struct("rec_id", F.col("speaker").alias("me")).alias("rec_id"), "s", "e"))
+    wide = held.join(who, "rec_id").where("me <> speaker").select(key, F.greatest(F.col("s") - MARGIN_MS, F.lit(0)).alias("s"), F.least(F.col("e") + MARGIN_MS, "total").alias("e"))
+    clean = subtract_spans(own, wide).groupBy("rec_id").agg(F.sum(F.col("e") - F.col("s")).alias("clean"))
+    told = whole.select("rec_id").join(clean, "rec_id", "left").select("rec_id", F.coalesce("clean", F.lit(0)).alias("clean_ms"))
+    told = told.withColumn("enough", F.col("clean_ms") >= CLEAN_MS)
+    free = subtract_spans(whole, wide).where(F.col("e") - F.col("s") >= WINDOW_MS).join(told.where("enough").select("rec_id"), "rec_id", "left_semi")
+    windows = free.select("rec_id", F.explode(F.sequence(F.col("s"), F.col("e") - WINDOW_MS, F.lit(STEP_MS).cast("long"))).alias("ws")).withColumn("we", F.col("ws") + WINDOW_MS)
+    met = coverage(windows, own).where(F.col("covered") * 2 >= WINDOW_MS)
+    near = met.withColumn("best", F.max("covered").over(Window.partitionBy("rec_id"))).where(F.col("covered") >= F.col("best") - BELOW_MS)
+    kept = spread(near.drop("best"), ["rec_id"], ["ws"], MOST_WINDOWS)
+    name = [F.col("rec_id.rec_id").alias("rec_id"), F.col("rec_id.me").alias("speaker")]
+    return kept.select(*name, F.col("ws").alias("start_ms"), "covered"), told.select(*name, "clean_ms", "enough")
+
+
+def choose_sample(windows: DataFrame, centroids: DataFrame) -> DataFrame:
+    """The window (rec_id, speaker, start_ms, embedding) nearest to each speaker's centroid (rec_id, speaker, centroid), the first of equals."""
+    from tidewords.functions.scalar import cosine
+
+    met = windows.join(centroids, ["rec_id", "speaker"]).withColumn("similarity", cosine(F.col("embedding"), F.col("centroid")))
+    best = F.max_by(F.struct("start_ms", "similarity"), F.struct("similarity", -F.col("start_ms"))).alias("b")
+    return met.groupBy("rec_id", "speaker").agg(best).select("rec_id", "speaker", "b.start_ms", "b.similarity")

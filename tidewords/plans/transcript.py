@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewords.functions import intervals
+from tidewords.operators import hooks
 from tidewords.operators import speakers as sp
 from tidewords.operators import spans as op
-from tidewords.plans.registry import query
+from tidewords.plans.registry import ORACLES, query
 from tidewords.sources import derived as d
 from tidewords.sources.shared import settle
 
@@ -283,3 +285,54 @@ SELECT t.rec_id, row_number() OVER (PARTITION BY t.rec_id ORDER BY start_ms, t.s
 def w10(spark, sf_dir):
     x = d.samples(spark, sf_dir).select(F.floor(F.col("rec_id") / 4).alias("rec_id"), (F.col("rec_id") % 4).alias("speaker"), F.col("idx").alias("frame"), F.col("v").alias("logit"))
     return sp.frames_to_turns(x, x.select("rec_id").distinct().select("rec_id", F.lit(60).alias("valid"), F.lit(595).cast("long").alias("duration_ms")))
+
+
+_FREE = f"""WITH {d.TURNS_SQL}, tot AS (SELECT rec_id, max(end_ms) + 1000 AS total FROM words GROUP BY rec_id), who AS (SELECT DISTINCT rec_id, speaker AS me FROM turns),
+h AS (SELECT t.rec_id, speaker, greatest(start_ms, 0) AS s, least(end_ms, total) AS e, total FROM turns t JOIN tot USING (rec_id)),
+b AS (SELECT h.rec_id, me, greatest(s - 150, 0) AS s, least(e + 150, total) AS e FROM h JOIN who ON who.rec_id = h.rec_id AND me <> speaker),
+c AS (SELECT *, coalesce(max(e) OVER (PARTITION BY rec_id, me ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cur FROM (SELECT * FROM b UNION ALL SELECT rec_id, me, total, total FROM who JOIN tot USING (rec_id))),
+free AS (SELECT rec_id, me, cur AS fs, s AS fe FROM c WHERE s > cur),
+o AS (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY rec_id, speaker ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS n FROM h WHERE e > s), g AS (SELECT *, sum(n) OVER (PARTITION BY rec_id, speaker ORDER BY s, e) AS i FROM o),
+own AS (SELECT rec_id, speaker AS me, min(s) AS s, max(e) AS e FROM g GROUP BY rec_id, speaker, i),
+clean AS (SELECT who.rec_id, who.me, CAST(coalesce((SELECT sum(greatest(0, least(e, fe) - greatest(s, fs))) FROM own JOIN free f ON f.rec_id = own.rec_id AND f.me = own.me WHERE own.rec_id = who.rec_id AND own.me = who.me), 0) AS BIGINT) AS clean_ms FROM who),
+st AS (SELECT rec_id, me, unnest(range(fs, fe - 2999, 250)) AS st FROM free JOIN clean USING (rec_id, me) WHERE fe - fs >= 3000 AND clean_ms >= 1500),
+cov AS (SELECT st.rec_id, st.me, st.st, CAST(sum(greatest(0, least(e, st + 3000) - greatest(s, st))) AS BIGINT) AS covered FROM st JOIN own ON own.rec_id = st.rec_id AND own.me = st.me GROUP BY ALL HAVING sum(greatest(0, least(e, st + 3000) - greatest(s, st))) >= 1500),
+near AS (SELECT * FROM (SELECT *, max(covered) OVER (PARTITION BY rec_id, me) AS best FROM cov) WHERE covered >= best - 500),
+placed AS (SELECT *, row_number() OVER (PARTITION BY rec_id, me ORDER BY st) - 1 AS i, count(*) OVER (PARTITION BY rec_id, me) AS n FROM near)"""
+
+
+def _windows(spark, sf_dir):
+    w = settle(d.words(spark, sf_dir))
+    return op.candidate_windows(settle(d.turns(w).select("rec_id", "speaker", F.col("start_ms").alias("s"), F.col("end_ms").alias("e"))), _totals(w))
+
+
+@query("w19_candidate_windows", _FREE + " SELECT rec_id, me AS speaker, st AS start_ms, covered FROM placed WHERE i IN (SELECT k * n // 48 FROM range(48) r(k))")
+def w19(spark, sf_dir):
+    return _windows(spark, sf_dir)[0]
+
+
+@query("w19_clean_speech", _FREE + " SELECT rec_id, me AS speaker, clean_ms, clean_ms >= 1500 AS enough FROM clean")
+def w19c(spark, sf_dir):
+    return _windows(spark, sf_dir)[1]
+
+
+@query("x4_merge_spans", ORACLES["w4_merge_spans"])
+def x4(spark, sf_dir):
+    intervals.register(spark)
+    return spark.sql("SELECT * FROM merge_spans(TABLE({spans}) PARTITION BY rec_id ORDER BY (s, e))", spans=_spans(d.words(spark, sf_dir)))
+
+
+@query("x4_silences", ORACLES["w5_silences"])
+def x4s(spark, sf_dir):
+    intervals.register(spark)
+    w = settle(d.words(spark, sf_dir))
+    rows = _spans(w).unionByName(_totals(w).select("rec_id", F.col("total").alias("s"), F.col("total").alias("e")))
+    return spark.sql("SELECT * FROM silences(TABLE({spans}) PARTITION BY rec_id ORDER BY (s, e), 300)", spans=rows)
+
+
+@query("x3_recognise", f"WITH {d.SPOKEN_SQL} SELECT rec_id, id, length(text) AS heard, end_ms - start_ms AS length_ms FROM spoken")
+def x3(spark, sf_dir):
+    """A stand-in for a model: it hears how long a segment's text is."""
+    s = d.spoken(d.words(spark, sf_dir)).select("rec_id", "id", "text", (F.col("end_ms") - F.col("start_ms")).alias("length_ms"))
+    load = lambda: lambda rows: rows.assign(heard=rows["text"].str.len())[["rec_id", "id", "heard", "length_ms"]]
+    return hooks.recognise(s, load, "rec_id long, id long, heard long, length_ms long")
