@@ -17,7 +17,7 @@ from tidewords.llm.common import batches, by_document, give_back, read, record,
 #: Bytes of texts taken at once; a longer text is taken in pieces of about this size.
 CHUNK_BYTES = 1 << 20
 #: Rows of one query over all its steps (a word of n bytes makes at most n * n), words kept.
-QUERY_ROWS, KEPT_WORDS = 1 << 19, 60_000
+QUERY_ROWS, KEPT_WORDS = 1 << 19, 150_000
 #: Bytes of the windows that a longer word is contracted in, and how far around a seam is looked for a place to cut.
 WINDOW, AROUND = 96, 32
 #: Tokens of one decoding query; a longer piece takes several.
