@@ -58,9 +58,9 @@ def _(spark, sf_dir):
     return op.drained(op.idle_sessions(op.event_stream(spark, sf_dir), "user_id", 7_200_000, 14_400_000))
 
 
-@query("t9_energy_stream", f"SELECT epoch_us(ts) // 10000 * 10 AS start_ms, count(*) AS n, round(avg(value * value), 3) AS power FROM events GROUP BY 1 HAVING epoch_us(min(ts)) // 10000 * 10 + 10 <= {_MARK}")
+@query("t9_energy_stream", f"SELECT epoch_us(ts) // 10000 * 10 AS start_ms, count(*) AS n, round(sum(value * value), 4) AS energy FROM events GROUP BY 1 HAVING epoch_us(min(ts)) // 10000 * 10 + 10 <= {_MARK}")
 def _(spark, sf_dir):
-    return op.drained(op.energy(op.event_stream(spark, sf_dir))).withColumn("power", F.round("power", 3))
+    return op.drained(op.energy(op.event_stream(spark, sf_dir))).withColumn("energy", F.round(F.col("power") * F.col("n"), 4)).drop("power")
 
 
 @query("t10_load_stream", f"SELECT epoch_us(ts) // 60000000 * 60000 AS start_ms, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING epoch_us(min(ts)) // 60000000 * 60000 + 60000 <= {_MARK}")
@@ -68,9 +68,9 @@ def _(spark, sf_dir):
     return op.drained(op.load(op.event_stream(spark, sf_dir)))
 
 
-@query("t11_level_stream", f"WITH w AS (SELECT value, (epoch_us(ts) // 1800000000 - k) * 1800000 AS start_ms FROM events, range(4) r(k)) SELECT start_ms, count(*) AS n, round(avg(value * value), 3) AS power, max(value) AS loudest FROM w WHERE start_ms + 7200000 <= {_MARK} GROUP BY start_ms")
+@query("t11_level_stream", f"WITH w AS (SELECT value, (epoch_us(ts) // 1800000000 - k) * 1800000 AS start_ms FROM events, range(4) r(k)) SELECT start_ms, count(*) AS n, round(sum(value * value), 4) AS energy, max(value) AS loudest FROM w WHERE start_ms + 7200000 <= {_MARK} GROUP BY start_ms")
 def _(spark, sf_dir):
-    return op.drained(op.level(op.event_stream(spark, sf_dir), "2 hours", "30 minutes")).withColumn("power", F.round("power", 3))
+    return op.drained(op.level(op.event_stream(spark, sf_dir), "2 hours", "30 minutes")).withColumn("energy", F.round(F.col("power") * F.col("n"), 4)).drop("power")
 
 
 _STAGE = "['decode', 'vad', 'asr', 'assemble', 'post'][CAST(event_id % 5 AS INT) + 1]"
