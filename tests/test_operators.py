@@ -140,8 +140,3 @@ def test_batches_and_spans(spark):
     assert rows(reports.check_spans(c).select("stage")) == [("few",), ("none",)]
     x = spark.createDataFrame([(1, 0, 10), (1, 10, 20), (1, 5, 5)], "rec_id long, s long, e long")
     assert rows(spans.merge_spans(x)) == [(1, 0, 20)]
-
-
-def test_reattaching_keeps_words_where_letters_differ():
-    assert wordstream._met(["hello", "world"], "Hello, «World»!") == ["Hello,", "«World»!"]
-    assert wordstream._met(["hello"], "Help") is None and wordstream._met(["..."], "...") is None

@@ -4,15 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewords.functions.scalar import is_punctuation, is_special_token
 from tidewords.operators.patterns import asof_last, before, islands, up_to
 
-#: A step over a word stream.
-Stage = Callable[[DataFrame], DataFrame]
 #: Tokenisation units; anything else reads as ``bpe``.
 BPE, CHAR, CJK, CJK_BPE = "bpe", "char", "cjkchar", "cjkchar+bpe"
 _CJK = r"^▁?[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]"
@@ -80,58 +77,58 @@ def compose_spans(first: DataFrame, second: DataFrame) -> DataFrame:
     return owners.groupBy("rec_id", F.col("owner").alias("ord")).agg(F.sum("span").alias("span"))
 
 
-def apply_chain(words: DataFrame, stages: list[Stage]) -> DataFrame:
-    """Words (rec_id, channel, seq, word, …) after the stages, each of which sees whole channels, ordered by start over all channels.
-
-    A stage maps words to words; one is looked up by language with ``rules_for`` or written as a function.
-    """
-    for stage in stages:
-        words = stage(words)
-    return words.withColumn("id", F.row_number().over(Window.partitionBy("rec_id").orderBy("start_ms", "channel", "seq")) - 1)
-
-
-_RULES: dict[str, Stage] = {}
-
-
-def register_rules(locale: str, stage: Stage) -> None:
-    """Make a stage known as the text rules of a locale; a locale may be a bare language."""
-    _RULES[locale.lower()] = stage
+def _letters(df: DataFrame, keys: list[str], text: str, extra: list[str]) -> DataFrame:
+    """The characters of a text one a row, numbered, with how many letters and digits there are up to each (k) and what it reads as (letter)."""
+    chars = df.select(*keys, *extra, F.posexplode(F.split(text, "")).alias("at", "ch"))
+    letter = F.col("ch").rlike(r"^[\p{L}\p{Nd}]")
+    return chars.withColumn("letter", F.when(letter, F.lower("ch")))
 
 
-def rules_for(locale: str) -> Stage | None:
-    """The rules of a locale, or of its language."""
-    return _RULES.get(locale.lower()) or _RULES.get(locale.lower().split("-")[0])
+def reattach_text(words: DataFrame, punctuated: DataFrame, keys: list[str]) -> DataFrame:
+    """Words (keys, seq, word) as written in the punctuated text (keys, punctuated) of their chunk.
 
+    Letters and digits of both sides are numbered and joined by number. If each agrees but for case, and none of the
+    punctuated text's is missing up to the last word's, each character of the text goes to the word whose letter it is, whose letter it
+    follows without a blank, or, failing that, whose letter comes next; else the chunk keeps its words. Null texts
+    and words without letters keep the chunk too.
+    """
+    told = words.select(*keys, "seq", "word")
+    said = _letters(told.where("word IS NOT NULL"), keys, "word", ["seq"]).where("letter IS NOT NULL")
+    said = said.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("seq", "at"))).select(*keys, "k", "seq", F.col("letter").alias("said"))
+    chars = _letters(punctuated.select(*keys, "punctuated"), keys, "punctuated", [])
+    by = up_to(keys, ["at"])
+    ahead = Window.partitionBy(*keys).orderBy("at").rowsBetween(0, Window.unboundedFollowing)
+    blank = F.col("ch").rlike(r"^[\s\p{Z}]?$")
+    placed = chars.withColumns({"n": F.count("letter").over(by), "gap": F.max(F.when(blank, F.col("at"))).over(by), "mine": F.max(F.when(F.col("letter").isNotNull(), F.col("at"))).over(by)})
+    # a mark is of the letter before it if no blank lies between, else of the next one
+    k = F.when(F.col("letter").isNotNull() | (F.col("mine") > F.coalesce("gap", F.lit(-1))), F.col("n")).otherwise(F.col("n") + 1)
+    wrote = placed.where(~blank).select(*keys, "at", "ch", "letter", k.alias("k"))
+    both = said.join(wrote, [*keys, "k"], "left")
+    whole = both.groupBy(*keys, "seq").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "ch"))), lambda x: x["ch"]), "").alias("wrote"),
+        F.count_distinct("k").alias("letters"), F.count_distinct(F.when(F.col("letter") == F.col("said"), F.col("k"))).alias("met"),
+    )
+    lined = told.join(whole, [*keys, "seq"], "left")
+    agrees = F.min(F.coalesce(F.col("letters") == F.col("met"), F.lit(False))).over(Window.partitionBy(*keys))
+    fixed = lined.select(*keys, "seq", F.when(agrees, F.col("wrote")).otherwise(F.col("word")).alias("word"))
+    rest = [c for c in words.columns if c != "word"]
+    return words.select(*rest).join(fixed, [*keys, "seq"]).select(*words.columns)
+
+
+def punctuation_stage(model: Callable[[DataFrame], DataFrame], most: int = 200):
+    """A stage that asks a model for the punctuated text of chunks of ``most`` words and gives words its marks and case.
+
+    The model maps words (rec_id, channel, chunk, seq, word) to (rec_id, channel, chunk, punctuated).
+    """
+    from tidewords.operators.stages import STREAM, Stage
 
-def _met(words: list[str], punctuated: str) -> list[str] | None:
-    """The words as the punctuated text writes them, or None where its letters differ from theirs."""
-    out, at, n = [], 0, len(punctuated)
-    for word in words:
-        begin = None
-        for want in filter(str.isalnum, word):
-            while at < n and not punctuated[at].isalnum():
-                begin = at if begin is None and not punctuated[at].isspace() else begin
-                at += 1
-            if at >= n or punctuated[at].lower() != want.lower():
-                return None
-            begin = at if begin is None else begin
-            at += 1
-        if begin is None:
-            return None
-        while at < n and not punctuated[at].isalnum() and not punctuated[at].isspace():
-            at += 1
-        out.append("".join(punctuated[begin:at].split()))
-    return out
-
-
-def reattach_text(chunks: DataFrame) -> DataFrame:
-    """Chunks (…, words, punctuated) with ``words`` as written in the punctuated text; unchanged where the letters differ."""
-
-    @F.pandas_udf("array<string>")
-    def met(words: pd.Series, punctuated: pd.Series) -> pd.Series:
-        return pd.Series([_met(list(w), p) or list(w) for w, p in zip(words, punctuated, strict=True)])
+    def apply(words: DataFrame) -> DataFrame:
+        number = F.row_number().over(Window.partitionBy(*STREAM).orderBy("seq")) - 1
+        chunks = words.withColumn("chunk", F.floor(number / most))
+        done = reattach_text(chunks, model(chunks.select(*STREAM, "chunk", "seq", "word")), [*STREAM, "chunk"])
+        return done.drop("chunk").withColumn("span", F.lit(None).cast("long"))
 
-    return chunks.withColumn("words", met("words", "punctuated"))
+    return Stage("punctuation", apply)
 
 
 def merge_punctuation(words: DataFrame, keys: list[str], order: str) -> DataFrame:

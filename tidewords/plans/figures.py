@@ -237,20 +237,15 @@ def _(spark, sf_dir):
     return ws.compose_spans(first, second)
 
 
-@query("w12_apply_chain", f"WITH {d.WORDS_SQL}, k AS (SELECT rec_id, channel, wid AS seq, '+' || word AS word, start_ms FROM words WHERE length(word) > 2) SELECT rec_id, channel, seq, word, row_number() OVER (PARTITION BY rec_id ORDER BY start_ms, channel, seq) - 1 AS id FROM k")
-def _(spark, sf_dir):
-    ws.register_rules("en", lambda w: w.withColumn("word", F.concat(F.lit("+"), "word")))
-    w = d.words(spark, sf_dir).select("rec_id", "channel", F.col("wid").alias("seq"), "word", "start_ms")
-    return ws.apply_chain(w, [lambda x: x.where("length(word) > 2"), ws.rules_for("en-GB")]).select("rec_id", "channel", "seq", "word", "id")
-
-
 @query("w23_reattach_text", f"WITH {d.WORDS_SQL}, w AS (SELECT *, rec_id % 3 = 0 AND wid // 200 = 0 AS other FROM words) SELECT rec_id, wid // 200 AS chunk, string_agg(CASE WHEN other THEN lower(regexp_replace(word, '[.,!?]+$', '')) ELSE word END, ' ' ORDER BY wid) AS text FROM w GROUP BY rec_id, wid // 200")
 def _(spark, sf_dir):
-    w = d.words(spark, sf_dir).groupBy("rec_id", F.floor(F.col("wid") / 200).alias("chunk"))
-    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("wid", c.alias("w")))), lambda x: x["w"])
-    c = w.agg(listed(F.lower(F.regexp_replace("word", "[.,!?]+$", ""))).alias("words"), F.array_join(listed(F.col("word")), "  ").alias("punctuated"))
-    wrong = c.withColumn("punctuated", F.when((F.col("rec_id") % 3 == 0) & (F.col("chunk") == 0), F.concat(F.lit("zzz "), "punctuated")).otherwise(F.col("punctuated")))
-    return ws.reattach_text(wrong).select("rec_id", "chunk", F.array_join("words", " ").alias("text"))
+    w = d.words(spark, sf_dir).select("rec_id", F.floor(F.col("wid") / 200).alias("chunk"), F.col("wid").alias("seq"), "word")
+    text = lambda sep: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "word"))), lambda x: x["word"]), sep).alias("text")
+    wrote = w.groupBy("rec_id", "chunk").agg(text("  "))
+    other = (F.col("rec_id") % 3 == 0) & (F.col("chunk") == 0)
+    wrote = wrote.select("rec_id", "chunk", F.when(other, F.concat(F.lit("zzz "), "text")).otherwise(F.col("text")).alias("punctuated"))
+    bare = w.withColumn("word", F.lower(F.regexp_replace("word", "[.,!?]+$", "")))
+    return ws.reattach_text(bare, wrote, ["rec_id", "chunk"]).groupBy("rec_id", "chunk").agg(text(" "))
 
 
 @query("u2_union_tracks", f"WITH {d.SPOKEN_SQL} SELECT rec_id, id, channel, text FROM spoken WHERE channel = 0 UNION ALL SELECT rec_id, id, channel, text FROM spoken WHERE channel = 1")
