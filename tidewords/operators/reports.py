@@ -176,14 +176,16 @@ def pack_batches(segments: DataFrame, most: int = 8, most_ms: int = 60_000) -> D
 
 
 def gate_by_speaker(windows: DataFrame, references: DataFrame, least: float = 0.25) -> DataFrame:
-    """Windows (window, speaker, embedding) with own: close enough to their speaker's reference and to no other more.
+    """Windows (rec_id, window, speaker, embedding) with own: close enough to their speaker's reference and to no other of the recording more.
 
-    References are a row a speaker; a window's cosines with all of them are worked out inside its row.
+    References (rec_id, speaker, embedding) are joined by recording, so that a window meets its own recording's few
+    speakers; cosines are worked out on the pairs and summed up by window. Windows whose speaker has no reference aren't own.
     """
     from tidewords.functions.scalar import cosine
 
-    refs = references.groupBy(F.lit(0).alias("one")).agg(F.collect_list(F.struct("speaker", "embedding")).alias("refs"))  # as many as speakers
-    near = windows.withColumn("one", F.lit(0)).join(F.broadcast(refs), "one").drop("one").withColumn("cs", F.transform("refs", lambda r: F.struct(r["speaker"].alias("speaker"), cosine(r["embedding"], F.col("embedding")).alias("c"))))
-    mine = F.array_max(F.transform(F.filter("cs", lambda x: x["speaker"] == F.col("speaker")), lambda x: x["c"]))
-    best = F.coalesce(F.array_max(F.transform(F.filter("cs", lambda x: x["speaker"] != F.col("speaker")), lambda x: x["c"])), F.lit(-2.0))
-    return near.withColumn("own", F.coalesce((mine >= least) & ~(best > mine), F.lit(False))).drop("refs", "cs")
+    refs = references.select("rec_id", F.col("speaker").alias("__who"), F.col("embedding").alias("__ref"))
+    met = windows.join(refs, "rec_id", "left").withColumn("__c", cosine(F.col("__ref"), F.col("embedding")))
+    mine = F.max(F.when(F.col("__who") == F.col("speaker"), F.col("__c")))
+    best = F.coalesce(F.max(F.when(F.col("__who") != F.col("speaker"), F.col("__c"))), F.lit(-2.0))
+    own = F.coalesce((mine >= least) & ~(best > mine), F.lit(False))
+    return met.groupBy("rec_id", "window").agg(F.first("speaker").alias("speaker"), F.first("embedding").alias("embedding"), own.alias("own"))

@@ -196,11 +196,12 @@ def _(spark, sf_dir):
     return op.pack_batches(s).select("rec_id", "id", "batch")
 
 
-@query("j19_gate_by_speaker", "WITH refs AS (SELECT label, arg_min(embedding, vec_id) AS r FROM embeddings GROUP BY label), c AS (SELECT e.vec_id, e.label, r.label AS other, round(list_cosine_similarity(e.embedding::DOUBLE[], r.r::DOUBLE[]), 9) AS c FROM embeddings e CROSS JOIN refs r) SELECT vec_id, coalesce(max(c) FILTER (other = label) >= 0.25 AND NOT coalesce(max(c) FILTER (other <> label), -2) > max(c) FILTER (other = label), false) AS own FROM c GROUP BY vec_id")
+#: Windows of a recording are 64 embeddings in a row; a speaker's first one in it is the reference.
+@query("j19_gate_by_speaker", "WITH w AS (SELECT vec_id // 64 AS rec_id, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), refs AS (SELECT rec_id, label, arg_min(e, vec_id) AS r FROM w GROUP BY ALL), c AS (SELECT w.rec_id, w.vec_id, w.label, r.label AS other, list_cosine_similarity(e, r) AS c FROM w JOIN refs r USING (rec_id)) SELECT rec_id, vec_id, coalesce(max(c) FILTER (other = label) >= 0.25 AND NOT coalesce(max(c) FILTER (other <> label), -2) > max(c) FILTER (other = label), false) AS own FROM c GROUP BY ALL")
 def _(spark, sf_dir):
-    e = _read(spark, sf_dir, "embeddings").withColumnRenamed("label", "speaker")
-    refs = e.groupBy("speaker").agg(F.min_by("embedding", "vec_id").alias("embedding"))
-    return op.gate_by_speaker(e, refs).select("vec_id", "own")
+    w = _read(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 64).alias("rec_id"), F.col("vec_id").alias("window"), F.col("label").alias("speaker"), "embedding")
+    refs = w.groupBy("rec_id", "speaker").agg(F.min_by("embedding", "window").alias("embedding"))
+    return op.gate_by_speaker(w, refs).select("rec_id", F.col("window").alias("vec_id"), "own")
 
 
 def _said(spark, sf_dir):
