@@ -9,11 +9,12 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from tidewords.llm import infill, queries, runs, tokenfiles
+from tidewords.llm import common, infill, queries, runs, tokenfiles
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -52,6 +53,16 @@ def test_token_files_hold_the_library_s_ids_of_whole_texts(spark):
     assert [tuple(r) for r in tokenfiles.op11_token_files(spark, MIDDLE).orderBy("doc_id").collect()] == want
 
 
+def test_pieces_have_the_library_s_ids_in_any_text():
+    rng = random.Random(4)
+    signs = ["a", "B", "é", "É", "'", "'s", "'LL", "\u2019", ".", "--", "7", "٣", " ", "\t", "\u00a0", "\u3000", "H\u0331", "I\u0307", "Σ", "ǅ", "\u0301", "日", "𝄞", "<", "|", ">", "\x00", "\x1c", "_"]
+    texts = ["".join(rng.choices(signs, k=rng.randrange(30))) for _ in range(3000)] + ["x<|endoftext|>y Z", "A<|ENDOFTEXT|>"]
+    raw = Path(TOKENIZER).read_bytes()
+    for part in (texts[:-2], texts):  # the last ones hold what may be special tokens
+        ids, at = tokenfiles.WordEncoder(raw).encode(*common.utf8(pa.array(part)))
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == library_ids(part)
+
+
 def test_token_files_of_odd_rows(spark, odd, tmp_path):
     path = str(tmp_path / "t")
     tokenfiles.write_tokens(odd, path, TOKENIZER)

@@ -87,11 +87,11 @@ _BLANK = np.isin(np.arange(256), np.frombuffer(b" \t\n\v\f\r", np.uint8))
 _GAP = re.compile(rb"[ \t-\r]")
 
 
-def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, pa.LargeBinaryArray]:
-    """The words of texts that lie end to end: the text of each, and all of them in order."""
+def words(raw: np.ndarray, at: np.ndarray, parted: np.ndarray | None = None) -> tuple[np.ndarray, pa.LargeBinaryArray]:
+    """The words of texts that lie end to end: the text of each, and all of them in order. Bytes that are ``parted`` begin one too."""
     blank = _BLANK[raw]
     begins = ~blank
-    begins[1:] &= blank[:-1]
+    begins[1:] &= blank[:-1] if parted is None else blank[:-1] | parted[1:]
     heads = at[:-1][at[:-1] < len(raw)]
     begins[heads] = ~blank[heads]
     starts = np.flatnonzero(begins)

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
+import string
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,18 +21,26 @@ from tidewords.llm.common import batches, by_document, give_back, read, record,
 from tidewords.sources.shared import shared_folder
 
 #: Bytes of texts taken at once, words whose ids a worker keeps, words of one call of the library.
-CHUNK_BYTES, KEPT_WORDS, ASKED = 1 << 22, 500_000, 1 << 14
+CHUNK_BYTES, KEPT_WORDS, ASKED = 3 << 20, 400_000, 1 << 14
 #: The id that ends each document.
 END = 1
 #: Most encoded bytes of a row group and a page, and most rows of a page. Documents are few to a page, as one reads some of them.
 ROW_GROUP, PAGE, PAGE_ROWS = 32 << 20, 64 << 10, 256
 
 
+#: Classes of bytes: letters, digits, others, and those of further characters, which may be anything.
+_KIND = np.zeros(256, np.uint8)
+_KIND[:128] = 3
+_KIND[[ord(c) for c in string.ascii_letters]], _KIND[[ord(c) for c in string.digits]] = 1, 2
+
+
 class WordEncoder:
-    """Ids by a tokenizers file. The library is asked once for each distinct word.
+    """Ids by a tokenizers file. The library is asked once for each distinct piece of a text.
 
-    For tokenizers that drop white space and split on it before anything else, as ``path``'s does; then a text's
-    ids are those of its words, one after another. ``encode`` checks that no word gives an id for a blank.
+    For tokenizers that split texts at white space, which they drop, and at borders of letters, digits and other signs (but what
+    follows an apostrophe) before anything else, don't tell case apart and end each piece with a token of its own, as
+    ``path``'s does: then a text's ids are those of its pieces, one after another. Texts that may hold special tokens are
+    only cut at white space.
     """
 
     def __init__(self, raw: bytes):
@@ -39,42 +48,73 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(raw.decode())
-        if len(self.tokenizer.encode(" a \t\n\v\f\r b ", add_special_tokens=False).ids) != 2:
-            raise ValueError("this tokenizer keeps white space")
-        self.known: dict[bytes, int] = {}  # the row of a word in the next two
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        pieces = ["ab", "7", "8", "(", "cd", "'s", "-'", "ef"]
+        if ids(" Ab78 \t\n\v\f\r(cd's-'ef ") != [i for p in pieces for i in ids(p)]:
+            raise ValueError("this tokenizer keeps white space or case, or doesn't part letters, digits and signs")
+        suffix = self.tokenizer.model.end_of_word_suffix
+        if not suffix:
+            raise ValueError("this tokenizer doesn't mark the ends of pieces")
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+        self.known: dict[bytes, int] = {}  # the row of a piece in the next two
         self.flat, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     def _learn(self, missing: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words, end to end, and how many each has."""
+        """Ids of pieces, end to end, and how many each has. Those of ASCII letters are one token run each, so they are asked for together."""
         flat, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        plain = [w.isalpha() for w in missing]  # of bytes: ASCII letters
         for k in range(0, len(missing), ASKED):
-            got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in missing[k : k + ASKED]], add_special_tokens=False)
-            listed = [e.ids for e in got]
-            counts.append(np.fromiter(map(len, listed), np.int64, len(listed)))
-            flat.append(np.fromiter(chain.from_iterable(listed), np.int32, counts[-1].sum()))
+            some, simple = missing[k : k + ASKED], np.array(plain[k : k + ASKED], bool)
+            joined = b" ".join(w for w, one in zip(some, simple, strict=True) if one).decode()
+            odd = [w.decode("utf-8", "surrogatepass") for w, one in zip(some, simple, strict=True) if not one]
+            got = self.tokenizer.encode_batch_fast([joined, *odd], add_special_tokens=False)
+            together, listed = np.array(got[0].ids, np.int32), [e.ids for e in got[1:]]
+            n = np.zeros(len(some), np.int64)
+            n[simple] = np.diff(np.flatnonzero(self.ends[together]) + 1, prepend=0)
+            n[~simple] = np.fromiter(map(len, listed), np.int64, len(listed))
+            out = np.empty(n.sum(), np.int32)
+            mine = np.repeat(simple, n)
+            out[mine], out[~mine] = together, np.fromiter(chain.from_iterable(listed), np.int32, (~mine).sum())
+            counts.append(n)
+            flat.append(out)
         return np.concatenate(flat), np.concatenate(counts)
 
+    def _pieces(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+        """The text of each piece, and all pieces in order."""
+        if b"<|" in raw.tobytes():
+            return words(raw, at)
+        kind = _KIND[raw]
+        capital = (raw >= 65) & (raw <= 90) & np.append(raw[1:] < 128, True)  # a mark after it may make both one character
+        raw = np.where(capital, raw + np.uint8(32), raw)
+        parted = np.zeros(len(raw), bool)
+        a, b = kind[:-1], kind[1:]
+        parted[1:] = (a > 0) & (b > 0) & ((a != b) | (a == 2)) & (raw[:-1] != 39)
+        return words(raw, at, parted)
+
     def encode(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts that lie end to end, each with the id that ends it, and offsets by text."""
-        doc, listed = words(raw, at)
+        doc, listed = self._pieces(raw, at)
         coded = listed.dictionary_encode()
         distinct, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        missing = [w for w in distinct if w not in self.known]
+        row = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        absent = np.flatnonzero(row < 0)
+        missing = [distinct[i] for i in absent.tolist()]
         new, n_new = self._learn(missing)
-        rows = dict(zip(missing, range(len(self.counts), len(self.counts) + len(missing)), strict=True))
-        row = np.fromiter((self.known[w] if w in self.known else rows[w] for w in distinct), np.int64, len(distinct))[index]
+        row[absent] = np.arange(len(self.counts), len(self.counts) + len(missing))
         flat, counts = np.concatenate((self.flat, new)), np.concatenate((self.counts, n_new))
         keep = min(len(missing), max(0, KEPT_WORDS - len(self.counts)))
         if keep:
-            self.known.update((w, rows[w]) for w in missing[:keep])
+            self.known.update(zip(missing[:keep], row[absent[:keep]].tolist(), strict=True))
             self.counts = counts[: len(self.counts) + keep]
             self.flat = flat[: self.counts.sum()]
+        row = row[index]
         starts, n = (np.cumsum(counts) - counts)[row], counts[row]
         offsets = np.concatenate(([0], np.cumsum(np.bincount(doc, n, len(at) - 1).astype(np.int64) + 1)))
         out = np.full(offsets[-1], END, np.int32)
-        place = np.cumsum(n) - n  # of a word's ids, were there no end ids
-        which = np.arange(n.sum()) - np.repeat(place, n)
-        out[np.repeat(place + doc, n) + which] = flat[np.repeat(starts, n) + which]
+        place = np.cumsum(n) - n  # of a piece's ids, were there no end ids
+        which = np.arange(n.sum())
+        out[which + np.repeat(doc, n)] = flat[which + np.repeat(starts - place, n)]
         return out, offsets
 
 
