@@ -27,19 +27,50 @@ def in_order(spark, tmp_path):
     return op.event_stream(spark, str(tmp_path), files_a_batch=1)
 
 
-def test_state_goes_on_from_batch_to_batch(spark, tmp_path):
-    whole = op.event_stream(spark, DATA)
-    cases = {
-        "number": lambda s: op.number_events(s, "user_id"),
-        "bucket": lambda s: op.token_bucket(s, "user_id", 1 / 14400, 2.0).select("user_id", "event_id", "allowed"),
-        "stage": lambda s: op.stage_progress(s.selectExpr("*", "'vad' AS stage"), "user_id", "stage"),
-        "utterances": lambda s: ut.utterances(s.selectExpr("user_id", "event_id", "at", "at_ms", "event_type <> 'error' AS loud", "event_type AS word", "'' AS control"), "user_id", ut.Rules(14_400_000, 50_000_000, 20_000_000, 7_200_000, 3_600_000, 3_600_000, 3_600_000), 40 * 86_400_000),
-        "sessions": lambda s: op.idle_sessions(s, "user_id", 7_200_000, 14_400_000),
-    }
-    parts = in_order(spark, tmp_path)
-    for name, made in cases.items():
-        got, want = (sorted(map(repr, op.drained(made(s)).collect())) for s in (parts, whole))
-        assert got == want and want, name
+CASES = {
+    "number": lambda s: op.number_events(s, "user_id"),
+    "bucket": lambda s: op.token_bucket(s, "user_id", 1 / 14400, 2.0).select("user_id", "event_id", "allowed"),
+    "stage": lambda s: op.stage_progress(s.selectExpr("*", "'vad' AS stage"), "user_id", "stage"),
+    "utterances": lambda s: ut.utterances(s.selectExpr("user_id", "event_id", "at", "at_ms", "event_type <> 'error' AS loud", "event_type AS word", "'' AS control"), "user_id", ut.Rules(14_400_000, 50_000_000, 20_000_000, 7_200_000, 3_600_000, 3_600_000, 3_600_000), 40 * 86_400_000),
+    "sessions": lambda s: op.idle_sessions(s, "user_id", 7_200_000, 14_400_000),
+}
+
+
+@pytest.mark.parametrize("name", CASES)
+def test_state_goes_on_from_batch_to_batch(spark, tmp_path, name):
+    got, want = (sorted(map(repr, op.drained(CASES[name](s)).collect())) for s in (in_order(spark, tmp_path), op.event_stream(spark, DATA)))
+    assert got == want and want
+
+
+@pytest.mark.parametrize("name", CASES)
+def test_rows_come_in_any_order_within_the_delay(spark, tmp_path, name):
+    """Files of one batch each, from the last events to the first, and then one that moves the watermark past all of them."""
+    events = spark.read.parquet(f"{DATA}/events.parquet")
+    for k in (3, 1, 4, 0, 2):
+        events.where(f"event_id % 5 = {k}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    last = events.limit(1).selectExpr("-1L AS event_id", "ts + INTERVAL 400 DAYS AS ts", "-1L AS user_id", "event_type", "value", "props").select(*events.columns)
+    last.coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    (tmp_path / "whole").mkdir()
+    events.unionByName(last).coalesce(1).write.parquet(f"{tmp_path}/whole/events.parquet")
+    parts = op.event_stream(spark, str(tmp_path), delay="200 days", files_a_batch=1)
+    got, want = (sorted(map(repr, op.drained(CASES[name](s)).collect())) for s in (parts, op.event_stream(spark, f"{tmp_path}/whole", delay="200 days")))
+    assert got == want and want
+
+
+def test_steps_on_null_keys_and_texts(spark, tmp_path):
+    events = spark.read.parquet(f"{DATA}/events.parquet").selectExpr("event_id", "ts", "CASE WHEN event_id % 2 = 0 THEN user_id END AS user_id", "CASE WHEN event_id % 3 > 0 THEN event_type END AS event_type", "value", "props")
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    stream = op.event_stream(spark, str(tmp_path))
+    mark = events.selectExpr("max(unix_millis(cast(ts AS timestamp))) - 3600000").first()[0]
+    allowed = op.drained(op.token_bucket(stream, "user_id", 1 / 14400, 2.0))
+    n = events.where(f"unix_millis(cast(ts AS timestamp)) <= {mark}")
+    assert allowed.count() == n.count() and allowed.where("user_id IS NULL AND NOT allowed").count() == 0
+    numbered = op.drained(op.number_events(stream, "user_id", terminal="none"))
+    assert numbered.where("user_id IS NULL").agg({"seq": "max"}).first()[0] == n.where("user_id IS NULL").count()
+
+
+def files_of(path):
+    return {str(f.relative_to(path)): f.stat().st_mtime_ns for f in path.glob("data/*/bucket=*/part-*")}
 
 
 def test_job_table_over_batches(spark, tmp_path):
@@ -48,7 +79,40 @@ def test_job_table_over_batches(spark, tmp_path):
     op.job_table(parts, table, "user_id")
     want = {r.user_id: r.event_id for r in plans.QUERIES["t2_latest_job_state"](spark, DATA).collect()}
     assert {r.user_id: r.event_id for r in op.read_job_table(spark, table).collect()} == want
-    assert op.read_job_table(spark, table, 0).count() <= len(want)
+    assert op.read_job_table(spark, table, 2).count() <= len(want) and op.read_job_table(spark, table, 0) is None
+
+
+def transitions(spark, listed):
+    return spark.createDataFrame(listed, "job string, event_id long, status string, at_ms long")
+
+
+def test_a_batch_writes_only_the_buckets_it_touches(spark, tmp_path):
+    table = str(tmp_path / "t")
+    op.apply_batch(transitions(spark, [(f"j{k}", k, "queued", k) for k in range(300)]), 0, table, "job", buckets=16)
+    first = files_of(tmp_path / "t")
+    assert len(first) == 16
+    op.apply_batch(transitions(spark, [("j7", 400, "running", 400), ("j7", 399, "queued", 399), ("j5", 1, "late", 1)]), 1, table, "job", buckets=16)
+    second = files_of(tmp_path / "t")
+    new = [f for f in second if f not in first]
+    assert len(new) <= 2 and all(second[f] == at for f, at in first.items())  # the folders of the version before stay
+    op.apply_batch(transitions(spark, [("x", 500, "queued", 500)]), 2, table, "job", buckets=16)
+    assert len(files_of(tmp_path / "t")) == 16 + 1  # what no version reads is gone
+    rows = {r.job: (r.status, r.event_id) for r in op.read_job_table(spark, table).collect()}
+    assert len(rows) == 301 and rows["j7"] == ("running", 400) and rows["j5"] == ("queued", 5) and rows["x"] == ("queued", 500)
+
+
+def test_a_failed_batch_leaves_the_table_and_a_replay_mends_it(spark, tmp_path):
+    table = str(tmp_path / "t")
+    op.apply_batch(transitions(spark, [("a", 1, "queued", 1)]), 0, table, "job", buckets=4)
+    op.apply_batch(transitions(spark, [("a", 2, "running", 2), ("b", 3, "queued", 3)]), 1, table, "job", buckets=4)
+    before = sorted(map(tuple, op.read_job_table(spark, table).collect()))
+    (tmp_path / "t" / "manifest" / "1" / "_SUCCESS").unlink()  # as if the batch had died before its manifest was whole
+    assert sorted(r.status for r in op.read_job_table(spark, table).collect()) == ["queued"]
+    for _ in range(2):
+        op.apply_batch(transitions(spark, [("a", 2, "running", 2), ("b", 3, "queued", 3)]), 1, table, "job", buckets=4)
+        assert sorted(map(tuple, op.read_job_table(spark, table).collect())) == before
+    op.apply_batch(transitions(spark, []), 2, table, "job", buckets=4)
+    assert sorted(map(tuple, op.read_job_table(spark, table).collect())) == before
 
 
 def heard(rules, listed):

@@ -14,11 +14,15 @@ from tidewords.streaming import utterances as ut
 
 #: A token each four hours, two at most: events of a user are hours apart.
 RATE, CAPACITY = 1 / 14400, 2.0
+#: What the watermark, an hour behind the last event, has passed.
+_MARK = "(SELECT max(epoch_us(ts)) // 1000 - 3600000 FROM events)"
+#: The events that steps in order have taken when the stream has been read.
+_PASSED = f"passed AS (SELECT * FROM events WHERE epoch_us(ts) // 1000 <= {_MARK})"
 
 
 @query(
     "t1_number_events",
-    """WITH t AS (SELECT *, coalesce(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS topic FROM events),
+    f"""WITH {_PASSED}, t AS (SELECT *, coalesce(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS topic FROM passed),
 n AS (SELECT *, row_number() OVER (PARTITION BY user_id, topic ORDER BY ts, event_id) AS seq FROM t) SELECT user_id, event_id, seq FROM n WHERE NOT (event_type = 'error' AND seq = 1)""",
 )
 def _(spark, sf_dir):
@@ -32,7 +36,7 @@ def _(spark, sf_dir):
 
 @query(
     "t4_token_bucket",
-    f"""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+    f"""WITH RECURSIVE {_PASSED}, e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM passed),
 w AS (SELECT user_id, event_id, t, i, true AS allowed, {CAPACITY}::DOUBLE AS full, {CAPACITY - 1}::DOUBLE AS held FROM e WHERE i = 1
   UNION ALL SELECT e.user_id, e.event_id, e.t, e.i, least({CAPACITY}::DOUBLE, w.held + (e.t - w.t) * {RATE!r}::DOUBLE / 1000) >= 1, least({CAPACITY}::DOUBLE, w.held + (e.t - w.t) * {RATE!r}::DOUBLE / 1000),
     CASE WHEN least({CAPACITY}::DOUBLE, w.held + (e.t - w.t) * {RATE!r}::DOUBLE / 1000) >= 1 THEN least({CAPACITY}::DOUBLE, w.held + (e.t - w.t) * {RATE!r}::DOUBLE / 1000) - 1 ELSE least({CAPACITY}::DOUBLE, w.held + (e.t - w.t) * {RATE!r}::DOUBLE / 1000) END
@@ -43,9 +47,7 @@ def _(spark, sf_dir):
     return op.drained(op.token_bucket(op.event_stream(spark, sf_dir), "user_id", RATE, CAPACITY)).select("user_id", "event_id", "allowed")
 
 
-#: What the watermark, an hour behind the last event, has passed.
-_MARK = "(SELECT max(epoch_us(ts)) // 1000 - 3600000 FROM events)"
-_SESSIONS = """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+_SESSIONS = f"""WITH RECURSIVE {_PASSED}, e AS (SELECT user_id, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM passed),
 w AS (SELECT user_id, t, i, t AS start, 1 AS n, 0 AS k, CAST(NULL AS VARCHAR) AS why FROM e WHERE i = 1
   UNION ALL SELECT e.user_id, e.t, e.i, CASE WHEN e.t - w.t > 7200000 OR e.t - w.start >= 14400000 THEN e.t ELSE w.start END, CASE WHEN e.t - w.t > 7200000 OR e.t - w.start >= 14400000 THEN 1 ELSE w.n + 1 END,
     CASE WHEN e.t - w.t > 7200000 OR e.t - w.start >= 14400000 THEN w.k + 1 ELSE w.k END, CASE WHEN e.t - w.t > 7200000 THEN 'idle' WHEN e.t - w.start >= 14400000 THEN 'length' END
@@ -68,15 +70,23 @@ def _(spark, sf_dir):
     return op.drained(op.load(op.event_stream(spark, sf_dir)))
 
 
-@query("t11_level_stream", f"WITH w AS (SELECT value, (epoch_us(ts) // 1800000000 - k) * 1800000 AS start_ms FROM events, range(4) r(k)) SELECT start_ms, count(*) AS n, round(sum(value * value), 4) AS energy, max(value) AS loudest FROM w WHERE start_ms + 7200000 <= {_MARK} GROUP BY start_ms")
+#: Levels in steps of half a decibel, blocks of ten minutes, windows of six hours: an exact percentile, put on its step.
+@query(
+    "t11_level_stream",
+    f"""WITH b AS (SELECT epoch_us(ts) // 600000000 AS b, avg(value * value) AS power FROM events GROUP BY 1 HAVING (epoch_us(min(ts)) // 600000000 + 1) * 600000 <= {_MARK}),
+w AS (SELECT power, CAST(floor(10 * log10(power + 1e-12) / 0.5) AS INT) AS step, (b // 6 - k) * 3600000 AS start_ms FROM b, range(6) r(k)),
+l AS (SELECT start_ms, count(*) AS n, max(power) AS loudest, list(step ORDER BY step) AS s FROM w GROUP BY start_ms)
+SELECT start_ms, n, round(loudest, 6) AS loudest, s[CAST(floor((n - 1) * 0.95) AS BIGINT) + 1] * 0.5::DOUBLE AS level_db FROM l WHERE start_ms + 21600000 <= {_MARK}""",
+)
 def _(spark, sf_dir):
-    return op.drained(op.level(op.event_stream(spark, sf_dir), "2 hours", "30 minutes")).withColumn("energy", F.round(F.col("power") * F.col("n"), 4)).drop("power")
+    told = op.level(op.event_stream(spark, sf_dir), "6 hours", "1 hour", "10 minutes")
+    return op.drained(told).withColumn("loudest", F.round("loudest", 6))
 
 
 _STAGE = "['decode', 'vad', 'asr', 'assemble', 'post'][CAST(event_id % 5 AS INT) + 1]"
 
 
-@query("t3_stage_progress", f"WITH h AS (SELECT *, last_value(CASE WHEN event_type <> 'click' THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS status FROM events) SELECT user_id, event_id, {_STAGE} AS stage, CASE {_STAGE} WHEN 'decode' THEN 10 WHEN 'vad' THEN 25 WHEN 'asr' THEN 40 WHEN 'assemble' THEN 95 ELSE 0 END AS percent FROM h WHERE event_type = 'click' AND status = 'view'")
+@query("t3_stage_progress", f"WITH {_PASSED}, h AS (SELECT *, last_value(CASE WHEN event_type <> 'click' THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS status FROM passed) SELECT user_id, event_id, {_STAGE} AS stage, CASE {_STAGE} WHEN 'decode' THEN 10 WHEN 'vad' THEN 25 WHEN 'asr' THEN 40 WHEN 'assemble' THEN 95 ELSE 0 END AS percent FROM h WHERE event_type = 'click' AND status = 'view'")
 def _(spark, sf_dir):
     stage = F.element_at(F.array(*map(F.lit, ("decode", "vad", "asr", "assemble", "post"))), (F.col("event_id") % 5 + 1).cast("int"))
     return op.drained(op.stage_progress(op.event_stream(spark, sf_dir).withColumn("stage", stage), "user_id", "stage"))
@@ -92,7 +102,7 @@ def _(spark, sf_dir):
 #: A user's events as a live stream, hours in place of seconds: some are sounds with a word, some quiet, some controls.
 _HOUR = 3_600_000
 _RULES = ut.Rules(silence=6 * _HOUR, limit=30 * _HOUR, search=0, guard=2 * _HOUR, interval=0)
-_HEARD = f"""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) // 1000 AS t, event_type IN ('view', 'click') AS loud, 'w' || event_id AS word, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+_HEARD = f"""WITH RECURSIVE {_PASSED}, e AS (SELECT user_id, epoch_us(ts) // 1000 AS t, event_type IN ('view', 'click') AS loud, 'w' || event_id AS word, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM passed),
 w0 AS (SELECT user_id, t, i, 0 AS item, t AS start, t AS heard, CASE WHEN loud THEN word ELSE '' END AS said FROM e WHERE i = 1),
 w AS (SELECT user_id, t, i, item, start, heard, said, start AS was, '' AS final, '' AS cut FROM w0
   UNION ALL SELECT user_id, t, i, CASE WHEN ends <> '' THEN item + 1 ELSE item END, CASE WHEN ends <> '' THEN t WHEN quiet >= {6 * _HOUR} THEN greatest(start, t - {2 * _HOUR}) ELSE start END, CASE WHEN ends <> '' THEN t ELSE heard END, CASE WHEN ends <> '' THEN '' ELSE said END, start, CASE WHEN ends <> '' THEN said ELSE '' END, ends

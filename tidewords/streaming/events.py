@@ -1,17 +1,16 @@
-"""Streaming operators over job events; events of a job arrive in order, rows beyond the watermark are dropped late."""
+"""Streaming operators over job events; those that go by a job's order let rows wait for the watermark, which drops what comes later."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from tidewords.sources.shared import shared_folder
+from tidewords.functions.scalar import power_db
+
+from tidewords.sources.shared import settle, shared_folder
+from tidewords.streaming.ordered import in_order
 
 #: Milliseconds of a time without zone, whatever the session's zone is.
 MILLIS = "unix_millis(to_utc_timestamp(cast({} as timestamp), current_timezone()))"
@@ -20,12 +19,12 @@ MILLIS = "unix_millis(to_utc_timestamp(cast({} as timestamp), current_timezone()
 def event_stream(spark: SparkSession, sf_dir: str, delay: str = "1 hour", files_a_batch: int | None = None) -> DataFrame:
     """The events as a stream with a watermark on ``at``, and ``at_ms``; the table is one file or a folder of part files.
 
-    Unless ``files_a_batch`` is given all files that are there come in one batch, so that the order of the files makes no
-    row late; a source in order of time should bound its batches, as rows of one key in a batch are sorted together.
+    Unless ``files_a_batch`` is given all files that are there come in one batch. With it, rows may come in any order
+    within ``delay``; later ones are dropped.
     """
     table = f"{sf_dir}/events.parquet"
-    path = spark._jvm.org.apache.hadoop.fs.Path(table)
-    folder = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    store, named = _store(spark, table)
+    folder = store.getFileStatus(named(table)).isDirectory()
     files = spark.readStream.schema(spark.read.parquet(table).schema)
     files = files.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else files
     stream = files.parquet(table) if folder else files.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
@@ -57,29 +56,78 @@ def drained(stream: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return out.drop("__batch")
 
 
-def job_table(stream: DataFrame, table: str, key: str) -> None:
-    """Keep a table of the last state of each job: every batch of transitions writes a version, the last one counts.
+def _store(spark: SparkSession, path: str):
+    """The file system of a path, and how it names paths."""
+    named = spark._jvm.org.apache.hadoop.fs.Path
+    return named(path).getFileSystem(spark._jsc.hadoopConfiguration()), named
 
-    A version is the one before with the batch's last transition of each job put in its place; a batch that runs again
-    writes its version again. Versions are folders ``table``/n of the shared store.
-    """
-    spark = stream.sparkSession
 
-    def apply(batch: DataFrame, n: int) -> None:
-        new = batch.groupBy(key).agg(F.max_by(F.struct(*[c for c in batch.columns if c != key]), F.struct("at_ms", "event_id")).alias("s")).select(key, "s.*")
-        old = read_job_table(spark, table, n - 1)
-        (new if old is None else old.join(new.select(key), key, "left_anti").unionByName(new)).write.mode("overwrite").parquet(f"{table}/{n}")
+def _versions(spark: SparkSession, table: str) -> list[int]:
+    """The versions whose manifest is committed."""
+    store, named = _store(spark, table)
+    at = named(f"{table}/manifest")
+    return sorted(int(f.getPath().getName()) for f in store.listStatus(at) if store.exists(named(f.getPath(), "_SUCCESS"))) if store.exists(at) else []
+
 
-    stream.writeStream.outputMode("append").option("checkpointLocation", f"{table}-state").trigger(availableNow=True).foreachBatch(apply).start().awaitTermination()
+def _manifest(spark: SparkSession, table: str, version: int) -> dict[int, str]:
+    """The folder of each bucket that holds rows in a version: as many as buckets."""
+    return {r.bucket: r.folder for r in spark.read.schema("bucket int, folder string").parquet(f"{table}/manifest/{version}").collect()}
+
+
+def apply_batch(batch: DataFrame, n: int, table: str, key: str, buckets: int = 64) -> None:
+    """Put a batch's last transition of each job into the table, as version ``n`` after the version before.
+
+    Jobs are dealt into ``buckets`` by hash. Only buckets that the batch has jobs of are read and written, to a folder of the
+    version; the manifest, written last, says for each bucket which version's folder holds it. A batch that runs again starts from
+    the version before it and writes the same folders again; one that fails leaves the table as it was. Folders that
+    neither this version nor the one before names are removed.
+    """
+    spark = batch.sparkSession
+    fields = [c for c in batch.columns if c != key]
+    last = F.max_by(F.struct(*fields), F.struct("at_ms", "event_id")).alias("s")
+    new = batch.groupBy(key).agg(last).select(key, "s.*").withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    new = settle(new)
+    earlier = [v for v in _versions(spark, table) if v < n]
+    held = _manifest(spark, table, earlier[-1]) if earlier else {}
+    touched = sorted(r.bucket for r in new.select("bucket").distinct().collect())  # no more than buckets
+    rows = new
+    if known := [held[b] for b in touched if b in held]:
+        old = spark.read.schema(batch.select(key, *fields).schema).parquet(*(f"{table}/{f}" for f in known))
+        old = old.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        order = lambda d, late: d.withColumn("__late", F.lit(late))
+        rows = order(old, 0).unionByName(order(new, 1)).withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("at_ms"), F.desc("event_id"), F.desc("__late"))))
+        rows = rows.where("__n = 1").drop("__n", "__late")
+    if touched:
+        rows.repartition(len(touched), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/data/{n}")
+    now = held | {b: f"data/{n}/bucket={b}" for b in touched}
+    spark.createDataFrame(list(now.items()), "bucket int, folder string").coalesce(1).write.mode("overwrite").parquet(f"{table}/manifest/{n}")
+    _sweep(spark, table, set(now.values()) | set(held.values()), keep=[n, *earlier[-1:]])
+
+
+def _sweep(spark: SparkSession, table: str, used: set[str], keep: list[int]) -> None:
+    """Remove bucket folders and manifests of versions that nothing reads any more."""
+    store, named = _store(spark, table)
+    for version in store.listStatus(named(f"{table}/data")) if store.exists(named(f"{table}/data")) else []:
+        folders = [f.getPath() for f in store.listStatus(version.getPath()) if f.isDirectory() and f.getPath().getName().startswith("bucket=")]
+        gone = [f for f in folders if f"data/{version.getPath().getName()}/{f.getName()}" not in used]
+        for f in gone if len(gone) < len(folders) else [version.getPath()]:
+            store.delete(f, True)
+    for v in _versions(spark, table):
+        if v < min(keep):
+            store.delete(named(f"{table}/manifest/{v}"), True)
+
+
+def job_table(stream: DataFrame, table: str, key: str, buckets: int = 64) -> None:
+    """Keep a table of the last state of each job, a version a batch, in a folder of the shared store; see ``apply_batch``."""
+    step = lambda batch, n: apply_batch(batch, n, table, key, buckets)
+    stream.writeStream.outputMode("append").option("checkpointLocation", f"{table}-state").trigger(availableNow=True).foreachBatch(step).start().awaitTermination()
 
 
 def read_job_table(spark: SparkSession, table: str, version: int | None = None) -> DataFrame | None:
-    """The newest version (up to ``version``) of a table that ``job_table`` keeps, None before the first."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(table)
-    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    there = [int(f.getPath().getName()) for f in store.listStatus(path)] if store.exists(path) else []
-    there = [n for n in there if version is None or n <= version]
-    return spark.read.parquet(f"{table}/{max(there)}") if there else None
+    """The newest version (up to ``version``) of a table that ``job_table`` keeps, None before the first. The last two are kept."""
+    there = [n for n in _versions(spark, table) if version is None or n <= version]
+    folders = list(_manifest(spark, table, there[-1]).values()) if there else []
+    return spark.read.parquet(*(f"{table}/{f}" for f in folders)) if folders else None
 
 
 def latest_state(stream: DataFrame, job: str) -> DataFrame:
@@ -100,15 +148,21 @@ def energy(stream: DataFrame, width: str = "10 milliseconds") -> DataFrame:
     return met.select(F.expr(MILLIS.format("cast(w.start as timestamp_ntz)")).alias("start_ms"), "n", "power")
 
 
-def level(stream: DataFrame, width: str = "10 seconds", step: str = "1 second") -> DataFrame:
-    """Events, mean square and loudest of their values in sliding windows."""
-    met = stream.groupBy(F.window("at", width, step).alias("w")).agg(F.count("*").alias("n"), F.avg(F.col("value") * F.col("value")).alias("power"), F.max("value").alias("loudest"))
-    return met.select(F.expr(MILLIS.format("cast(w.start as timestamp_ntz)")).alias("start_ms"), "n", "power", "loudest")
-
+def level(stream: DataFrame, width: str = "10 seconds", step: str = "1 second", block: str = "50 milliseconds", q: float = 0.95, resolution_db: float = 0.5) -> DataFrame:
+    """(start_ms, n, loudest, level_db) in sliding windows: blocks of the signal, the loudest one's mean square, and the level that a share ``q`` of them keep below.
 
-def _until(state: GroupState, at_ms: int) -> None:
-    """Let the state be looked at again when the watermark has passed a time."""
-    state.setTimeoutTimestamp(max(int(at_ms), state.getCurrentWatermarkMs() + 1))
+    Blocks are counted by steps of ``resolution_db`` from -120 dB on, and steps summed up by window: a sketch that adds up over
+    tasks and batches, of some hundred counts at most. ``level_db`` is the lower edge of the step that has the block at
+    floor((n - 1) * q) in order of loudness, so it is up to one step below that block's own level.
+    """
+    blocks = stream.groupBy(F.window("at", block).alias("b")).agg(F.avg(F.col("value") * F.col("value")).alias("power"))
+    stepped = blocks.select(F.window_time("b").alias("at"), "power", F.floor(power_db(F.col("power")) / resolution_db).cast("int").alias("step"))
+    counts = stepped.groupBy(F.window("at", width, step).alias("w"), "step").agg(F.count("*").alias("n"), F.max("power").alias("power"))
+    sketch = counts.groupBy("w").agg(F.sum("n").alias("n"), F.max("power").alias("loudest"), F.array_sort(F.collect_list(F.struct("step", "n"))).alias("steps"))
+    at = F.floor((F.col("n") - 1) * q)
+    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("int").alias("step"))
+    found = F.aggregate("steps", start, lambda acc, x: F.struct((acc["seen"] + x["n"]).alias("seen"), F.coalesce(acc["step"], F.when(acc["seen"] + x["n"] > at, x["step"])).alias("step")))
+    return sketch.select(F.expr(MILLIS.format("cast(w.start as timestamp_ntz)")).alias("start_ms"), "n", "loudest", (found["step"] * resolution_db).alias("level_db"))
 
 
 def idle_sessions(stream: DataFrame, user: str, idle_ms: int = 60_000, most_ms: int = 7_200_000) -> DataFrame:
@@ -118,52 +172,33 @@ def idle_sessions(stream: DataFrame, user: str, idle_ms: int = 60_000, most_ms:
     session's start. A session that is idle is given out when the watermark has passed, and its state goes.
     """
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, last, n = state.get if state.exists else (None, None, 0)
-        closed = []
-        if state.hasTimedOut:
-            closed.append((start, last, n, "idle"))
-            state.remove()
-        else:
-            for at in _together(parts)["at_ms"].tolist():
-                if n and (at - last > idle_ms or at - start >= most_ms):
-                    closed.append((start, last, n, "idle" if at - last > idle_ms else "length"))
-                    n = 0
-                start, last, n = (start if n else at), at, n + 1
-            state.update((start, last, n))
-            _until(state, last + idle_ms)
-        yield pd.DataFrame([(key[0], *c) for c in closed], columns=[user, "start_ms", "last_ms", "n", "reason"])
-
-    return stream.groupBy(user).applyInPandasWithState(step, f"{user} long, start_ms long, last_ms long, n long, reason string", "start long, last long, n long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def stage_progress(stream: DataFrame, job: str, stage: str, running: str = "view", ended: tuple[str, ...] = ("purchase", "error"), stages: str = "click") -> DataFrame:
+    def step(_, state: tuple | None, row: tuple) -> tuple[tuple, list[tuple]]:
+        at = row[0]
+        if state is None:
+            return (at, at, 1), []
+        start, last, n = state
+        if at - last > idle_ms or at - start >= most_ms:
+            return (at, at, 1), [(start, last, n, "idle" if at - last > idle_ms else "length")]
+        return (start, at, n + 1), []
+
+    out = "start_ms long, last_ms long, n long, reason string"
+    return in_order(stream, user, [], step, "start long, last long, n long", out, lambda s: s[1] + idle_ms + 1, lambda _, s: [(*s, "idle")])
+
+
+def stage_progress(stream: DataFrame, job: str, stage: str, running: str = "view", ended: tuple[str, ...] = ("purchase", "error"), stages: str = "click", most_ms: int = 86_400_000) -> DataFrame:
     """(job, event_id, stage, percent): stage events of jobs that are running; others pass unseen.
 
-    A job's state is its last status; it goes when the job ends or the watermark is a day past its last event.
+    A job's state is its last status; it goes when the job ends or the watermark is ``most_ms`` past its last status.
     """
     percent = {"decode": 10, "vad": 25, "asr": 40, "assemble": 95}
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        told = []
-        if state.hasTimedOut:
-            state.remove()
-        else:
-            status = state.get[0] if state.exists else ""
-            rows = _together(parts)
-            for kind, event, name in zip(rows["event_type"], rows["event_id"], rows[stage], strict=True):
-                if kind != stages:
-                    status = "" if kind in ended else kind
-                elif status == running:
-                    told.append((key[0], event, name, percent.get(name, 0)))
-            if status:
-                state.update((status,))
-                _until(state, int(rows["at_ms"].max()) + 86_400_000)
-            elif state.exists:
-                state.remove()
-        yield pd.DataFrame(told, columns=[job, "event_id", "stage", "percent"])
-
-    return stream.groupBy(job).applyInPandasWithState(step, f"{job} long, event_id long, stage string, percent int", "status string", "append", GroupStateTimeout.EventTimeTimeout)
+    def step(_, state: tuple | None, row: tuple) -> tuple[tuple | None, list[tuple]]:
+        at, event, kind, name = row
+        if kind != stages:
+            return (None if kind in ended else (kind, at)), []
+        return state, [(event, name, percent.get(name, 0))] if state and state[0] == running else []
+
+    return in_order(stream, job, ["event_type", stage], step, "status string, at long", "event_id long, stage string, percent int", lambda s: s[1] + most_ms)
 
 
 def once(stream: DataFrame, keys: list[str]) -> DataFrame:
@@ -171,11 +206,6 @@ def once(stream: DataFrame, keys: list[str]) -> DataFrame:
     return stream.dropDuplicatesWithinWatermark(keys)
 
 
-def _together(parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """A key's rows of one micro-batch in order; bound a batch (``files_a_batch``) to bound them."""
-    return pd.concat(list(parts)).sort_values(["at_ms", "event_id"])
-
-
 def number_events(stream: DataFrame, job: str, terminal: str = "error", most_ms: int = 30 * 86_400_000) -> DataFrame:
     """(job, event_id, seq): numbers from 1 in each topic of a job.
 
@@ -183,26 +213,14 @@ def number_events(stream: DataFrame, job: str, terminal: str = "error", most_ms:
     job's state goes with its topic, or when the watermark is ``most_ms`` past its last event.
     """
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({job: [], "event_id": [], "seq": []})
-            return
-        rows, seq = _together(parts), state.get[0] if state.exists else 0
-        numbers = []
-        for kind in rows["event_type"]:
-            over = kind == terminal
-            numbers.append(0 if over and seq == 0 else seq + 1)
-            seq = 0 if over else seq + 1
-        if seq:
-            state.update((seq,))
-            _until(state, int(rows["at_ms"].max()) + most_ms)
-        elif state.exists:
-            state.remove()
-        out = pd.DataFrame({job: key[0], "event_id": rows["event_id"].to_numpy(), "seq": numbers})
-        yield out[out["seq"] > 0]
-
-    return stream.groupBy(job).applyInPandasWithState(step, f"{job} long, event_id long, seq long", "seq long", "append", GroupStateTimeout.EventTimeTimeout)
+    def step(_, state: tuple | None, row: tuple) -> tuple[tuple | None, list[tuple]]:
+        at, event, kind = row
+        seq = state[0] + 1 if state else 1
+        if kind == terminal:
+            return None, [(event, seq)] if state else []
+        return (seq, at), [(event, seq)]
+
+    return in_order(stream, job, ["event_type"], step, "seq long, at long", "event_id long, seq long", lambda s: s[1] + most_ms)
 
 
 def token_bucket(stream: DataFrame, key: str, rate: float, capacity: float | None = None) -> DataFrame:
@@ -214,23 +232,13 @@ def token_bucket(stream: DataFrame, key: str, rate: float, capacity: float | Non
     """
     most = 2 * rate if capacity is None else capacity
 
-    def step(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({key: [], "event_id": [], "allowed": [], "wait_ms": []})
-            return
-        rows = _together(parts)
-        held, last = state.get if state.exists else (most, None)
-        free = rate <= 0 or name[0] is None or pd.isna(name[0])
-        allowed, waits = [], []
-        for at in rows["at_ms"].tolist():
-            held = min(most, held + (0 if last is None else at - last) * rate / 1000)
-            last = at
-            allowed.append(free or held >= 1)
-            waits.append(0 if allowed[-1] else int(-((held - 1) * 1000 // rate)))
-            held -= 1 if allowed[-1] and not free else 0
-        state.update((float(held), int(last)))
-        _until(state, last + (int(1000 * most / rate) + 1 if rate > 0 else 0))
-        yield pd.DataFrame({key: name[0], "event_id": rows["event_id"].to_numpy(), "allowed": allowed, "wait_ms": waits})
-
-    return stream.groupBy(key).applyInPandasWithState(step, f"{key} long, event_id long, allowed boolean, wait_ms long", "held double, last long", "append", GroupStateTimeout.EventTimeTimeout)
+    def step(name: object, state: tuple | None, row: tuple) -> tuple[tuple | None, list[tuple]]:
+        at, event = row
+        if rate <= 0 or name is None:
+            return None, [(event, True, 0)]
+        held = most if state is None else min(most, state[0] + (at - state[1]) * rate / 1000)
+        if held >= 1:
+            return (held - 1, at), [(event, True, 0)]
+        return (held, at), [(event, False, int(-((held - 1) * 1000 // rate)))]
+
+    return in_order(stream, key, [], step, "held double, last long", "event_id long, allowed boolean, wait_ms long", lambda s: s[1] + int(1000 * most / rate) + 1)

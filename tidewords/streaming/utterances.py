@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from tidewords.streaming.ordered import in_order
 
 OUT = "item long, kind string, start_ms long, end_ms long, text string, delta string, cut string"
-STATE = "item long, start long, loud long, told_at long, text string, told string"
+STATE = "item long, start long, loud long, told_at long, text string, told string, at long"
 
 
 @dataclass(frozen=True)
@@ -92,21 +91,13 @@ def utterances(stream: DataFrame, key: str, rules: Rules, idle_ms: int = 3_600_0
     watermark is ``idle_ms`` past its last row; what it held without a cut is not told.
     """
 
-    def step(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        told = []
-        if state.hasTimedOut:
-            state.remove()
-        else:
-            rows = pd.concat(list(parts)).sort_values(["at_ms", "event_id"])
-            first = int(rows["at_ms"].iloc[0])
-            now = Item(*state.get) if state.exists else Item(0, first, first, first - rules.interval)
-            for at, loud, word, control in zip(rows["at_ms"].tolist(), rows["loud"].tolist(), rows["word"].fillna("").tolist(), rows["control"].fillna("").tolist(), strict=True):
-                told += hear(now, rules, at, loud, word, control)
-            state.update((now.item, now.start, now.loud, now.told_at, now.text, now.told))
-            state.setTimeoutTimestamp(max(at + idle_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([(name[0], *t) for t in told], columns=[key, "item", "kind", "start_ms", "end_ms", "text", "delta", "cut"])
-
-    return stream.groupBy(key).applyInPandasWithState(step, f"{key} long, {OUT}", STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    def step(_, state: tuple | None, row: tuple) -> tuple[tuple, list[tuple]]:
+        at, _event, loud, word, control = row
+        now = Item(*state[:6]) if state else Item(0, at, at, at - rules.interval)
+        told = hear(now, rules, at, bool(loud), word or "", control or "")
+        return (now.item, now.start, now.loud, now.told_at, now.text, now.told, at), told
+
+    return in_order(stream, key, ["loud", "word", "control"], step, STATE, OUT, lambda s: s[6] + idle_ms)
 
 
 def utterance_words(words: DataFrame) -> DataFrame:
