@@ -242,15 +242,51 @@ def test_bpe_of_ids_that_are_text(spark):
     assert bpe.encode_documents(docs.limit(0), path).count() == bpe.stage(spark, docs.limit(0), "").count() == 0
 
 
-def test_bpe_ids_of_many_words_decode_to_their_text():
-    import pyarrow.dataset
-
-    raw = bpe.load(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    texts = pyarrow.dataset.dataset("/root/testdata/check_s/documents.parquet").head(339, columns=["text"])["text"].to_pylist()
-    texts = [t or "" for t in texts]
-    with bpe.Codec(raw) as codec:
-        ids, at = codec.encode(*common.utf8(pa.array(texts)))
-        assert [b"".join(map(codec.tokens.__getitem__, ids[a:b].tolist())) for a, b in zip(at, at[1:], strict=False)] == [t.encode() for t in texts]
+def test_bpe_ids_of_all_documents_are_the_library_s(spark):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    with bpe.Codec(bpe.load(path)) as codec:
+        library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=dict(codec.ranks), special_tokens={})
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: list(r.ids) for r in bpe.encode_documents(docs, path).collect()}
+    assert got == {r.doc_id: library.encode_ordinary(r.text or "") for r in docs.collect()}
+
+
+def rank_file(ranks):
+    return b"\n".join(base64.b64encode(t) + b" " + str(r).encode() for t, r in ranks.items())
+
+
+def test_bpe_ids_beyond_16_bits(spark, tmp_path):
+    """Pairs of large ids don't run into each other's."""
+    ranks = {bytes([b]): b for b in range(256)} | {b"xy": 65_635, b"axy": 65_700, b"bc": (1 << 31) - 1}
+    (tmp_path / "ranks").write_bytes(rank_file(ranks))
+    docs = spark.createDataFrame([(0, "bc"), (1, "axy"), (2, "a xyb")], "doc_id long, text string")
+    got = {r.doc_id: list(r.ids) for r in bpe.encode_documents(docs, str(tmp_path / "ranks")).collect()}
+    assert got == {0: [(1 << 31) - 1], 1: [65_700], 2: [97, 32, 65_635, 98]}
+    for wrong in ({**ranks, b"zz": 1 << 31}, {**ranks, b"zz": 97}):
+        with pytest.raises(ValueError, match="ranks"):
+            bpe.Codec(rank_file(wrong))
+
+
+def test_bpe_windows_and_whole_words_agree_on_random_vocabularies():
+    """Ranks of random pairs, most of them with tokens that don't encode to themselves: long words as the library has them."""
+    rng, proper = random.Random(11), collections.Counter()
+    for turn in range(40):
+        letters = b"ab" if turn % 2 else b"abcd"
+        tokens = [bytes([c]) for c in letters]
+        while len(tokens) < 24:
+            made = rng.choice(tokens) + rng.choice(tokens)
+            tokens += [made] * (made not in tokens and len(made) < 9)
+        merged = tokens[len(letters) :]
+        if turn % 4 < 2:
+            rng.shuffle(merged)  # a token may come before its parts, and then never comes up
+        ranks = {bytes([b]): b for b in range(256)} | {t: 256 + k for k, t in enumerate(merged)}
+        library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        with bpe.Codec(rank_file(ranks)) as codec:
+            proper[codec._is_proper()] += 1
+            texts = ["".join(chr(rng.choice(letters)) for _ in range(n)) for n in (5, 90, 97, 128, 129, 200, 450)]
+            ids, at = codec.encode(*common.utf8(pa.array(texts)))
+            assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [library.encode_ordinary(t) for t in texts]
+    assert proper[True] and proper[False]
 
 
 def brute_rules(text):

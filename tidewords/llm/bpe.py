@@ -30,12 +30,12 @@ _CONTRACT = """
 WITH RECURSIVE steps AS (
   SELECT word, pos, id, true AS more FROM start
   UNION ALL
-  SELECT s.word, s.pos - coalesce((s.pos > b.best & 16777215)::INTEGER, 0), CASE WHEN s.pos = b.best & 16777215 THEN (b.best >> 24)::INTEGER ELSE s.id END, b.best IS NOT NULL
+  SELECT s.word, s.pos - coalesce((s.pos > b.best & 4294967295)::INTEGER, 0), CASE WHEN s.pos = b.best & 4294967295 THEN (b.best >> 32)::INTEGER ELSE s.id END, b.best IS NOT NULL
   FROM steps s LEFT JOIN (
-    SELECT p.word, min(m.merged::BIGINT * 16777216 + p.pos) AS best
-    FROM steps p JOIN steps q ON q.word::BIGINT * 16777216 + q.pos = p.word::BIGINT * 16777216 + p.pos + 1 JOIN merges m ON m.pair = p.id::BIGINT * 65536 + q.id
+    SELECT p.word, min(m.merged::BIGINT * 4294967296 + p.pos) AS best
+    FROM steps p JOIN steps q ON q.word::BIGINT * 4294967296 + q.pos = p.word::BIGINT * 4294967296 + p.pos + 1 JOIN merges m ON m.pair = p.id::BIGINT * 4294967296 + q.id
     WHERE p.more GROUP BY p.word) b USING (word)
-  WHERE s.more AND (b.best IS NULL OR s.pos <> (b.best & 16777215) + 1))
+  WHERE s.more AND (b.best IS NULL OR s.pos <> (b.best & 4294967295) + 1))
 SELECT word, pos, id FROM steps WHERE NOT more
 """
 #: The same, but all places of a word's minimum-rank pair in a step, the first of those that overlap.
@@ -50,7 +50,7 @@ WITH RECURSIVE steps AS (
         FROM (SELECT *, merged IS NOT NULL AND merged = best AS least, row_number() OVER (PARTITION BY word ORDER BY pos) AS n
           FROM (SELECT s.word, s.pos, s.id, m.merged, min(m.merged) OVER (PARTITION BY s.word) AS best
             FROM (SELECT word, pos, id, lead(id) OVER (PARTITION BY word ORDER BY pos) AS after FROM steps WHERE more) s
-            LEFT JOIN merges m ON m.pair = s.id::BIGINT * 65536 + s.after)))))
+            LEFT JOIN merges m ON m.pair = s.id::BIGINT * 4294967296 + s.after)))))
   WHERE NOT gone)
 SELECT word, pos, id FROM steps WHERE NOT more
 """
@@ -71,13 +71,15 @@ class Codec:
     def __init__(self, raw: bytes):
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines()) if a}
         self.tokens = {r: t for t, r in self.ranks.items()}
+        if len(self.tokens) < len(self.ranks) or not all(0 <= r < 1 << 31 for r in self.tokens):
+            raise ValueError("ranks must differ and be whole numbers below 2^31")
         self.known = {t: np.uint32(r).tobytes() for t, r in self.ranks.items()}
         self.room = len(self.known) + KEPT_WORDS
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.sql = duckdb.connect(config={"threads": "1", "memory_limit": "160MB", "temp_directory": ""})
         halves = ((self.ranks.get(t[:i]), self.ranks.get(t[i:]), r) for t, r in self.ranks.items() for i in range(1, len(t)))
         pairs = np.fromiter((x for h in halves if None not in h for x in h), np.int64).reshape(-1, 3)
-        self._table("merges", {"pair": pairs[:, 0] * 65536 + pairs[:, 1], "merged": pairs[:, 2].astype(np.int32)})
+        self._table("merges", {"pair": pairs[:, 0] << 32 | pairs[:, 1], "merged": pairs[:, 2].astype(np.int32)})
         self._table("vocabulary", {"id": np.fromiter(self.tokens, np.int32), "piece": [t.hex() for t in self.tokens.values()]})
         self.joined = np.zeros((256, 256), bool)  # pairs of bytes that lie side by side in some token
         for t in self.tokens.values():
