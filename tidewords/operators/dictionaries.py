@@ -60,16 +60,19 @@ def read_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A file that begins with [ is a JSON array of phrases, with { a JSON object that has them; any other has a phrase a
     line. There, lines that begin with # are comments, a single line that isn't blank is parted at commas, and a column
-    heading on the very first line is left out.
+    heading on the very first line is left out. Each line is looked at once.
     """
     bare = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
-    f = files.withColumn("body", bare(F.col("content"))).withColumn("first", F.substring("body", 1, 1)).withColumn("lines", F.split("content", "\n"))
-    one = F.size(F.filter("lines", lambda x: bare(x) != "")) == 1
-    numbered = F.transform("lines", lambda x, i: F.struct(x.alias("line"), i.alias("i")))
-    said = F.filter(numbered, lambda x: ~bare(x["line"]).startswith("#"))
-    parts = F.flatten(F.transform(said, lambda x: F.transform(F.when(one, F.split(x["line"], ",")).otherwise(F.array(x["line"])), lambda p: F.struct(bare(p).alias("p"), x["i"].alias("i")))))
-    kept = F.filter(parts, lambda x: (x["p"] != "") & ~((x["i"] == 0) & F.lower(x["p"]).isin(*HEADERS)))
-    listed = F.when(F.col("first") == "[", F.from_json("body", "array<string>")).when(F.col("first") == "{", F.from_json("body", "phrases array<string>")["phrases"]).otherwise(F.transform(kept, lambda x: x["p"]))
+    f = files.withColumn("body", bare(F.col("content"))).withColumn("first", F.substring("body", 1, 1))
+    heads = lambda p: F.lower(p).isin(*HEADERS)
+    # a body without a line feed is the only line that isn't blank; it may still not be the first one
+    numbered = F.transform(F.split("content", "\n"), lambda x, i: F.struct(bare(x).alias("p"), i.alias("i")))
+    lines = F.transform(F.filter(numbered, lambda x: (x["p"] != "") & ~x["p"].startswith("#") & ~((x["i"] == 0) & heads(x["p"]))), lambda x: x["p"])
+    parts = F.filter(F.transform(F.split("body", ","), bare), lambda p: p != "")
+    headed = bare(F.substring_index("content", "\n", 1)) != ""
+    line = F.when(headed, F.filter(parts, lambda p: ~heads(p))).otherwise(parts)
+    text = F.when(F.col("body").contains("\n"), lines).when(F.col("first") == "#", F.array().cast("array<string>")).otherwise(line)
+    listed = F.when(F.col("first") == "[", F.from_json("body", "array<string>")).when(F.col("first") == "{", F.from_json("body", "phrases array<string>")["phrases"]).otherwise(text)
     read = f.withColumn("phrases", listed)
     reason = F.when(F.col("phrases").isNull(), "doesn't parse").when(F.size("phrases") == 0, "no phrases")
     return read.select("path", F.posexplode("phrases").alias("ord", "phrase")), read.select("path", reason.alias("reason")).where("reason IS NOT NULL")

@@ -9,7 +9,7 @@ from tidewords.functions.scalar import base_tag
 from tidewords.operators.spans import merge_spans
 
 #: Names of languages by their code.
-LANGUAGES = {"multi": "multilingual", "ar": "arabic", "cs": "czech", "da": "danish", "de": "german", "el": "greek", "en": "english", "es": "spanish", "fi": "finnish", "fr": "french", "it": "italian", "ja": "japanese", "ko": "korean", "nb": "norwegian", "nl": "dutch", "pl": "polish", "pt": "portuguese", "ru": "russian", "sv": "swedish", "tr": "turkish", "uk": "ukrainian", "zh": "chinese"}
+LANGUAGES = {"multi": "multilingual", "ar": "arabic", "be": "belarusian", "bg": "bulgarian", "cs": "czech", "da": "danish", "de": "german", "el": "greek", "en": "english", "es": "spanish", "et": "estonian", "fa": "persian", "fi": "finnish", "fr": "french", "he": "hebrew", "hi": "hindi", "hu": "hungarian", "hy": "armenian", "id": "indonesian", "it": "italian", "ja": "japanese", "ka": "georgian", "kk": "kazakh", "ko": "korean", "lt": "lithuanian", "lv": "latvian", "nl": "dutch", "no": "norwegian", "pl": "polish", "pt": "portuguese", "ro": "romanian", "ru": "russian", "sk": "slovak", "sl": "slovenian", "sr": "serbian", "sv": "swedish", "tr": "turkish", "uk": "ukrainian", "uz": "uzbek", "vi": "vietnamese", "zh": "chinese"}
 #: What a file of a format begins with, as hexadecimal digits at a byte offset.
 MAGIC = (("wav", 0, "52494646"), ("flac", 0, "664C6143"), ("ogg", 0, "4F676753"), ("mp3", 0, "494433"), ("mp4", 4, "66747970"), ("amr", 0, "2321414D520A"), ("mkv", 0, "1A45DFA3"), ("caf", 0, "63616666"), ("au", 0, "2E736E64"))
 

@@ -75,6 +75,36 @@ def spread(rows: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
 #: Fixed values of sample choice in ms: a window and its step, the margin around others, clean speech needed, how far below
 #: the best coverage is kept; and how many windows stay.
 WINDOW_MS, STEP_MS, MARGIN_MS, CLEAN_MS, BELOW_MS, MOST_WINDOWS = 3000, 250, 150, 1500, 500, 48
+#: Fixed values in ms: the longest piece that speaks for a voice, the shortest end of a longer span, the shortest piece.
+PIECE_MS, TAIL_MS, CRUMB_MS = 6000, 1000, 300
+
+
+def _alone(turns: DataFrame, totals: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """By voice, as rec_id a struct of recording and speaker: the whole time, own speech, time near others, and own speech away from it."""
+    who = turns.select("rec_id", F.col("speaker").alias("me")).distinct()
+    key = F.struct("rec_id", "me").alias("rec_id")
+    whole = who.join(totals, "rec_id").select(key, F.lit(0).cast("long").alias("s"), F.col("total").cast("long").alias("e"))
+    held = turns.join(totals, "rec_id").select("rec_id", "speaker", F.greatest("s", F.lit(0)).alias("s"), F.least("e", "total").alias("e"), "total")
+    own = merge_spans(held.select(F.struct("rec_id", F.col("speaker").alias("me")).alias("rec_id"), "s", "e"))
+    wide = held.join(who, "rec_id").where("me <> speaker").select(key, F.greatest(F.col("s") - MARGIN_MS, F.lit(0)).alias("s"), F.least(F.col("e") + MARGIN_MS, "total").alias("e"))
+    return whole, own, wide, subtract_spans(own, wide)
+
+
+def clean_speech(turns: DataFrame, totals: DataFrame) -> DataFrame:
+    """(rec_id, speaker, s, e) of turns (rec_id, speaker, s, e) where no other speaker is near."""
+    return _alone(turns, totals)[3].select(F.col("rec_id.rec_id").alias("rec_id"), F.col("rec_id.me").alias("speaker"), "s", "e")
+
+
+def sample_pieces(clean: DataFrame) -> DataFrame:
+    """Clean speech (rec_id, speaker, s, e) in pieces of ``PIECE_MS`` at most, as (rec_id, speaker, piece, s, dur_ms) by time.
+
+    What is left at a span's end counts only if it lasts ``TAIL_MS``, or if the whole span is shorter than that.
+    """
+    begins = clean.where("e > s").select("*", F.explode(F.sequence("s", F.col("e") - 1, F.lit(PIECE_MS).cast("long"))).alias("at"))
+    dur = F.least(F.col("e"), F.col("at") + PIECE_MS) - F.col("at")
+    kept = begins.where((dur >= TAIL_MS) | (F.col("e") - F.col("s") < TAIL_MS))
+    number = F.row_number().over(Window.partitionBy("rec_id", "speaker").orderBy("at")) - 1
+    return kept.select("rec_id", "speaker", number.alias("piece"), F.col("at").alias("s"), dur.alias("dur_ms"))
 
 
 def candidate_windows(turns: DataFrame, totals: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -84,13 +114,8 @@ def candidate_windows(turns: DataFrame, totals: DataFrame) -> tuple[DataFrame, D
     speaker talks half the time or more and nearly as much as in the best, thinned to ``MOST_WINDOWS``. A speaker with too little
     speech alone has none.
     """
-    who = turns.select("rec_id", F.col("speaker").alias("me")).distinct()
-    key = F.struct("rec_id", "me").alias("rec_id")
-    whole = who.join(totals, "rec_id").select(key, F.lit(0).cast("long").alias("s"), F.col("total").cast("long").alias("e"))
-    held = turns.join(totals, "rec_id").select("rec_id", "speaker", F.greatest("s", F.lit(0)).alias("s"), F.least("e", "total").alias("e"), "total")
-    own = merge_spans(held.select(F.struct("rec_id", F.col("speaker").alias("me")).alias("rec_id"), "s", "e"))
-    wide = held.join(who, "rec_id").where("me <> speaker").select(key, F.greatest(F.col("s") - MARGIN_MS, F.lit(0)).alias("s"), F.least(F.col("e") + MARGIN_MS, "total").alias("e"))
-    clean = subtract_spans(own, wide).groupBy("rec_id").agg(F.sum(F.col("e") - F.col("s")).alias("clean"))
+    whole, own, wide, pieces = _alone(turns, totals)
+    clean = pieces.groupBy("rec_id").agg(F.sum(F.col("e") - F.col("s")).alias("clean"))
     told = whole.select("rec_id").join(clean, "rec_id", "left").select("rec_id", F.coalesce("clean", F.lit(0)).alias("clean_ms"))
     told = told.withColumn("enough", F.col("clean_ms") >= CLEAN_MS)
     free = subtract_spans(whole, wide).where(F.col("e") - F.col("s") >= WINDOW_MS).join(told.where("enough").select("rec_id"), "rec_id", "left_semi")
@@ -109,3 +134,23 @@ def choose_sample(windows: DataFrame, centroids: DataFrame) -> DataFrame:
     met = windows.join(centroids, ["rec_id", "speaker"]).withColumn("similarity", cosine(F.col("embedding"), F.col("centroid")))
     best = F.max_by(F.struct("start_ms", "similarity"), F.struct("similarity", -F.col("start_ms"))).alias("b")
     return met.groupBy("rec_id", "speaker").agg(best).select("rec_id", "speaker", "b.start_ms", "b.similarity")
+
+
+def assemble_sample(pieces: DataFrame, centroids: DataFrame) -> DataFrame:
+    """(rec_id, speaker, ord, s, taken_ms): clean pieces (rec_id, speaker, s, e, embedding) joined to a sample of ``WINDOW_MS``.
+
+    For voices without a window of their own. Pieces nearest to the centroid (rec_id, speaker, centroid) come first, the earlier of
+    equals; all of them again until the sample is full, the last cut. Pieces under ``CRUMB_MS`` aren't used; a voice that has
+    no others has no sample. Rows a voice: as many as crumbs fit into a sample at most.
+    """
+    from tidewords.functions.scalar import cosine
+
+    voice = ["rec_id", "speaker"]
+    near = pieces.where(F.col("e") - F.col("s") >= CRUMB_MS).join(centroids, voice).select(*voice, "s", (F.col("e") - F.col("s")).alias("dur"), cosine(F.col("embedding"), F.col("centroid")).alias("c"))
+    order = Window.partitionBy(*voice).orderBy(F.desc("c"), "s")
+    placed = near.withColumns({"__before": F.sum("dur").over(order.rowsBetween(Window.unboundedPreceding, -1)), "__all": F.sum("dur").over(Window.partitionBy(*voice))})
+    first = placed.withColumn("__before", F.coalesce("__before", F.lit(0))).where(F.col("__before") < WINDOW_MS)
+    rounds = F.sequence(F.lit(0).cast("long"), F.floor((WINDOW_MS - 1 - F.col("__before")) / F.col("__all")))
+    laid = first.select("*", F.explode(rounds).alias("__round")).withColumn("__at", F.col("__round") * F.col("__all") + F.col("__before"))
+    number = F.row_number().over(Window.partitionBy(*voice).orderBy("__at")) - 1
+    return laid.select(*voice, number.alias("ord"), "s", F.least(F.col("dur"), WINDOW_MS - F.col("__at")).alias("taken_ms"))

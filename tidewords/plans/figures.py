@@ -127,11 +127,23 @@ def _(spark, sf_dir):
     return op.language_supported(rows).select("doc_id", "supported")
 
 
-@query("j10_language_name", "SELECT doc_id, CASE lang WHEN 'en' THEN 'english' WHEN 'de' THEN 'german' WHEN 'fr' THEN 'fr-CA-x' ELSE 'spanish' END AS name, CASE WHEN doc_id % 2 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS confidence FROM documents".replace("'fr-CA-x'", "'french'"))
+#: Every known code, as it is, with a region, in capitals with one, and codes that nobody knows.
+_CODES = ", ".join(f"('{c}', '{n}')" for c, n in [*op.LANGUAGES.items(), ("xx", "")])
+
+
+@query(
+    "j10_language_name",
+    f"""WITH k AS (SELECT c, n, row_number() OVER () - 1 AS i FROM (VALUES {_CODES}) v(c, n)),
+a AS (SELECT doc_id, c, n, CASE doc_id // 42 % 3 WHEN 0 THEN c WHEN 1 THEN c || '-ZZ' ELSE upper(c) || '_zz' END AS code FROM documents JOIN k ON i = doc_id % 42)
+SELECT doc_id, CASE WHEN n = '' THEN code ELSE n END AS name, CASE WHEN doc_id % 2 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS confidence FROM a""".replace("42", str(len(op.LANGUAGES) + 1)),
+)
 def _(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents")
-    code = F.when(F.col("lang") == "fr", "fr-CA").when(F.col("lang") == "es", "ES_es").otherwise(F.col("lang"))
-    name, confidence = op.language_name(code, F.when(F.col("doc_id") % 2 == 0, F.array("lang")).otherwise(F.array("lang", F.lit("x"))))
+    known = [*op.LANGUAGES, "xx"]
+    docs, i = _read(spark, sf_dir, "documents"), F.col("doc_id")
+    c = F.element_at(F.array(*map(F.lit, known)), (i % len(known) + 1).cast("int"))
+    turn = F.floor(i / len(known)) % 3
+    code = F.when(turn == 0, c).when(turn == 1, F.concat(c, F.lit("-ZZ"))).otherwise(F.concat(F.upper(c), F.lit("_zz")))
+    name, confidence = op.language_name(code, F.when(i % 2 == 0, F.array("lang")).otherwise(F.array("lang", F.lit("x"))))
     return docs.select("doc_id", name.alias("name"), confidence.alias("confidence"))
 
 

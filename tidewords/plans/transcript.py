@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewords.functions import intervals
 from tidewords.operators import hooks
+from tidewords.operators import signals as sig
 from tidewords.operators import speakers as sp
 from tidewords.operators import spans as op
 from tidewords.plans.registry import ORACLES, query
@@ -316,6 +317,67 @@ def w19c(spark, sf_dir):
     return _windows(spark, sf_dir)[1]
 
 
+#: Sentences as turns of three speakers in turn, so that few voices have three seconds to themselves; embeddings stand for sounds by time.
+_SHORT = _FREE.replace(d.TURNS_SQL, d.SEGMENTS_SQL + """,
+turns AS (SELECT rec_id, CAST((row_number() OVER (PARTITION BY rec_id ORDER BY start_ms, turn, sn) - 1) % 3 AS INT) AS speaker, start_ms, end_ms FROM segments)""") + """,
+emb AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, embedding::DOUBLE[] AS x, count(*) OVER () AS n FROM embeddings),
+alone AS (SELECT own.rec_id, own.me, greatest(s, fs) AS s, least(e, fe) AS e FROM own JOIN free f ON f.rec_id = own.rec_id AND f.me = own.me AND least(e, fe) > greatest(s, fs)),
+cutup AS (SELECT rec_id, me, s, e, unnest(range(s, e, 6000)) AS pt FROM alone),
+pieces AS (SELECT rec_id, me, pt, least(e, pt + 6000) - pt AS dur FROM cutup WHERE least(e, pt + 6000) - pt >= 1000 OR e - s < 1000),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY rec_id, me ORDER BY dur DESC, pt) AS k FROM pieces),
+dims AS (SELECT rec_id, me, dur, unnest(x) AS v, generate_subscripts(x, 1) AS dim FROM ranked JOIN emb ON emb.i = (rec_id * 7 + pt // 250) % emb.n WHERE k <= 24 AND dur >= 300),
+mean AS (SELECT rec_id, me, dim, sum(v * dur) AS v FROM dims GROUP BY ALL),
+cent AS (SELECT rec_id, me, list(v ORDER BY dim) AS c FROM mean GROUP BY ALL)"""
+
+
+def _voices(spark, sf_dir):
+    """Turns, totals, and what embeds rows by their place ``at``."""
+    w = settle(d.words(spark, sf_dir))
+    s = d.segments(w)
+    number = F.row_number().over(Window.partitionBy("rec_id").orderBy("start_ms", "turn", "sn")) - 1
+    turns = settle(s.select("rec_id", (number % 3).cast("int").alias("speaker"), F.col("start_ms").alias("s"), F.col("end_ms").alias("e")))
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    numbered = settle(e.select((F.row_number().over(Window.orderBy("vec_id")) - 1).alias("i"), "embedding"))
+    n = numbered.count()
+    return turns, _totals(w), lambda rows, at: rows.withColumn("i", (F.col("rec_id") * 7 + F.floor(F.col(at) / 250)) % n).join(numbered, "i").drop("i")
+
+
+def _centroids(clean, embed):
+    pieces = embed(op.sample_pieces(clean), "s").withColumn("voice", F.struct("rec_id", "speaker"))
+    c = sig.speaker_centroid(pieces, "voice").groupBy("voice").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda y: y["x"]).alias("centroid"))
+    return c.select("voice.rec_id", "voice.speaker", "centroid")
+
+
+@query("a15_centroid_pieces", _SHORT + " SELECT rec_id, me AS speaker, row_number() OVER (PARTITION BY rec_id, me ORDER BY pt) - 1 AS piece, pt AS s, dur AS dur_ms FROM pieces")
+def _(spark, sf_dir):
+    turns, totals, _ = _voices(spark, sf_dir)
+    return op.sample_pieces(op.clean_speech(turns, totals))
+
+
+@query("w19_choose_sample", _SHORT + ", sim AS (SELECT p.rec_id, p.me, st, round(list_cosine_similarity(x, c), 6) AS c FROM placed p JOIN emb ON emb.i = (p.rec_id * 7 + st // 250) % emb.n JOIN cent ON cent.rec_id = p.rec_id AND cent.me = p.me WHERE p.i IN (SELECT k * p.n // 48 FROM range(48) r(k))) SELECT rec_id, me AS speaker, max(c) AS similarity FROM sim GROUP BY ALL")
+def _(spark, sf_dir):
+    turns, totals, embed = _voices(spark, sf_dir)
+    centroids = _centroids(op.clean_speech(turns, totals), embed)
+    chosen = op.choose_sample(embed(op.candidate_windows(turns, totals)[0], "start_ms"), centroids)
+    return chosen.select("rec_id", "speaker", F.round("similarity", 6).alias("similarity"))
+
+
+@query(
+    "w19_assembled",
+    _SHORT
+    + """, short AS (SELECT a.rec_id, a.me, s, e - s AS dur, round(list_cosine_similarity(x, c), 9) AS c FROM alone a JOIN clean USING (rec_id, me) JOIN emb ON emb.i = (a.rec_id * 7 + s // 250) % emb.n JOIN cent ON cent.rec_id = a.rec_id AND cent.me = a.me WHERE e - s >= 300 AND clean_ms >= 1500 AND NOT EXISTS (SELECT 1 FROM placed p WHERE p.rec_id = a.rec_id AND p.me = a.me)),
+laid AS (SELECT *, coalesce(sum(dur) OVER (PARTITION BY rec_id, me ORDER BY c DESC, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, sum(dur) OVER (PARTITION BY rec_id, me) AS t FROM short),
+again AS (SELECT *, b + k * t AS pt FROM laid, range(11) r(k) WHERE b + k * t < 3000)
+SELECT rec_id, me AS speaker, row_number() OVER (PARTITION BY rec_id, me ORDER BY pt) - 1 AS ord, s, CAST(least(dur, 3000 - pt) AS BIGINT) AS taken_ms FROM again""",
+)
+def _(spark, sf_dir):
+    turns, totals, embed = _voices(spark, sf_dir)
+    clean = settle(op.clean_speech(turns, totals))
+    windows, told = op.candidate_windows(turns, totals)
+    left = told.where("enough").join(windows.select("rec_id", "speaker"), ["rec_id", "speaker"], "left_anti")
+    return op.assemble_sample(embed(clean.join(left.select("rec_id", "speaker"), ["rec_id", "speaker"], "left_semi"), "s"), _centroids(clean, embed))
+
+
 @query("x4_merge_spans", ORACLES["w4_merge_spans"])
 def x4(spark, sf_dir):
     intervals.register(spark)
