@@ -114,13 +114,6 @@ def test_drift_matches_a_plain_walk():
     assert evaluation._align(base, []) == []
 
 
-def test_mapping_speakers_is_best():
-    import pandas as pd
-
-    table = pd.DataFrame([(1, "a", "x", 5), (1, "a", "y", 4), (1, "b", "x", 4), (1, "c", "y", 1)], columns=["rec_id", "ref", "hyp", "n"])
-    assert evaluation._best(iter([table])) == 8
-
-
 def test_single_echo_needs_a_margin(spark):
     listed = [(1, "a", 0, "yes", 0, -20.0), (1, "b", 0, "Yes!", 100, -22.0), (1, "a", 5, "no", 9000, -30.0), (1, "b", 5, "no", 9100, -20.0)]
     w = spark.createDataFrame(listed, "rec_id long, track string, seq long, word string, start_ms long, db double")
