@@ -164,20 +164,63 @@ def verbose_words(words: DataFrame, segments: DataFrame) -> DataFrame:
     return words.join(s, ["rec_id", "id"]).withColumn("speaker", F.coalesce("speaker", "__of")).drop("__of")
 
 
-def result_json(segments: DataFrame, words: DataFrame, silence: DataFrame) -> DataFrame:
-    """(rec_id, result): the whole nested transcript of a recording; fields that are null are left out."""
-    seconds = lambda c: (F.col(c) / 1000)
-    w = F.struct("word", seconds("start_ms").alias("start"), seconds("end_ms").alias("end"), seconds("conf_milli").alias("confidence"), "speaker", "channel")
-    listed = lambda key, order, value: F.transform(F.array_sort(F.collect_list(F.struct(order, value.alias("v")))), lambda x: x["v"]).alias(key)
-    own = words.groupBy("rec_id", "id").agg(listed("words", "seq", w))
-    s = F.struct("id", seconds("start_ms").alias("start"), seconds("end_ms").alias("end"), "text", "channel", "speaker", F.col("avg_conf").alias("avg_confidence"), "words")
-    whole = segments.join(own, ["rec_id", "id"], "left").groupBy("rec_id").agg(listed("segments", "id", s), (F.max("end_ms") / 1000).alias("duration"))
-    gaps = silence.groupBy("rec_id").agg(listed("silence", "start_ms", F.struct(seconds("start_ms").alias("start"), seconds("end_ms").alias("end"))))
-    return whole.join(gaps, "rec_id", "left").select("rec_id", F.to_json(F.struct("duration", "segments", "silence")).alias("result"))
+def word_document(segments: DataFrame, words: DataFrame, languages: DataFrame) -> DataFrame:
+    """(rec_id, document): a recording's segments with their words, all words once more in one list, and its language (rec_id, language), as JSON.
+
+    Recordings of ``languages`` without segments have empty lists.
+    """
+    seconds = lambda c: F.round(F.col(c) / 1000, 3)
+    w = F.struct("word", seconds("start_ms").alias("start"), seconds("end_ms").alias("end"), seconds("conf_milli").alias("score"), "speaker")
+    own = words.groupBy("rec_id", "id").agg(_listed("words", "seq", w))
+    line = F.struct(seconds("start_ms").alias("start"), seconds("end_ms").alias("end"), F.trim("text").alias("text"), F.coalesce("words", F.array().cast(own.schema["words"].dataType)).alias("words"), "speaker")
+    whole = segments.join(own, ["rec_id", "id"], "left").groupBy("rec_id").agg(_listed("segments", "id", line))
+    flat = F.flatten(F.transform("segments", lambda x: x["words"]))
+    none = lambda c, like: F.coalesce(c, F.array().cast(like)).alias
+    kind = whole.schema["segments"].dataType
+    told = F.struct(none(F.col("segments"), kind)("segments"), none(flat, own.schema["words"].dataType)("word_segments"), "language")
+    return languages.join(whole, "rec_id", "left").select("rec_id", F.to_json(told).alias("document"))
+
+
+def _listed(name: str, order: str, value: Column) -> Column:
+    return F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("__o"), value.alias("v")))), lambda x: x["v"]).alias(name)
 
 
 WORD = "struct<word:string,start:double,end:double,confidence:double,speaker:string,channel:int>"
-RESULT = f"duration double, segments array<struct<id:bigint,start:double,end:double,text:string,channel:int,speaker:string,avg_confidence:double,words:array<{WORD}>>>, silence array<struct<start:double,end:double>>"
+SEGMENTS = f"array<struct<id:bigint,start:double,end:double,text:string,channel:int,speaker:string,avg_confidence:double,words:array<{WORD}>>>"
+SILENCE, SPEAKERS = "array<struct<start:double,end:double>>", "array<struct<id:string,total_speech:double,segments:bigint>>"
+STATS = "struct<audio_duration:double,processing_ms:bigint,rtf:double,stages_ms:map<string,bigint>,segments_total:bigint,speech_ratio:double>"
+WARNINGS = "array<struct<code:string,message:string>>"
+RESULT = f"id bigint, model string, language string, duration double, text string, timestamp_source string, segments {SEGMENTS}, silence {SILENCE}, speakers {SPEAKERS}, stats {STATS}, warnings {WARNINGS}"
+
+
+def result_json(recordings: DataFrame, segments: DataFrame, words: DataFrame, silence: DataFrame) -> DataFrame:
+    """(rec_id, result): the whole nested transcript of each recording; fields that are null are left out, as are empty speakers and warnings.
+
+    Recordings have rec_id, model, language, timestamp_source, duration_ms, processing_ms, stages_ms (a map) and warnings (an array
+    of code and message); one without segments has empty lists. The text joins the segments that aren't blank. Speech is the
+    time that ``silence`` leaves, none without segments; ratios are 0 where the duration is.
+    """
+    seconds = lambda c: F.col(c) / 1000
+    share = lambda part, of: F.when(F.col(of) > 0, F.round(part / F.col(of), 6)).otherwise(F.lit(0.0))
+    w = F.struct("word", seconds("start_ms").alias("start"), seconds("end_ms").alias("end"), seconds("conf_milli").alias("confidence"), "speaker", "channel")
+    own = words.groupBy("rec_id", "id").agg(_listed("words", "seq", w))
+    s = F.struct("id", seconds("start_ms").alias("start"), seconds("end_ms").alias("end"), "text", "channel", "speaker", F.col("avg_conf").alias("avg_confidence"), "words")
+    whole = segments.join(own, ["rec_id", "id"], "left").groupBy("rec_id").agg(_listed("segments", "id", s))
+    voices = segments.where("speaker IS NOT NULL").groupBy("rec_id", "speaker").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("ms"), F.count("*").alias("segments"))
+    voices = voices.groupBy("rec_id").agg(_listed("speakers", "speaker", F.struct(F.col("speaker").alias("id"), seconds("ms").alias("total_speech"), "segments")))
+    gaps = silence.groupBy("rec_id").agg(_listed("silence", "start_ms", F.struct(seconds("start_ms").alias("start"), seconds("end_ms").alias("end"))), F.sum(F.col("end_ms") - F.col("start_ms")).alias("quiet"))
+    all_ = recordings.join(whole, "rec_id", "left").join(gaps, "rec_id", "left").join(voices, "rec_id", "left")
+    spoken = F.filter(F.transform("segments", lambda x: F.trim(x["text"])), lambda t: t != "")
+    stats = F.struct(
+        seconds("duration_ms").alias("audio_duration"), "processing_ms", share(F.col("processing_ms"), "duration_ms").alias("rtf"), "stages_ms",
+        F.coalesce(F.size("segments"), F.lit(0)).cast("long").alias("segments_total"), F.when(F.size("segments") > 0, share(F.col("duration_ms") - F.coalesce("quiet", F.lit(0)), "duration_ms")).otherwise(0.0).alias("speech_ratio"),
+    )
+    empty = lambda c: F.coalesce(c, F.array().cast(all_.schema[c].dataType)).alias(c)
+    told = F.struct(
+        F.col("rec_id").alias("id"), "model", "language", seconds("duration_ms").alias("duration"), F.coalesce(F.array_join(spoken, " "), F.lit("")).alias("text"), "timestamp_source",
+        empty("segments"), empty("silence"), "speakers", stats.alias("stats"), F.when(F.size("warnings") > 0, F.col("warnings")).alias("warnings"),
+    )
+    return all_.withColumn("segments", F.when(F.size("segments") >= 0, F.col("segments"))).select("rec_id", F.to_json(told).alias("result"))
 
 
 def read_transcripts(results: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -191,3 +234,17 @@ def read_transcripts(results: DataFrame) -> tuple[DataFrame, DataFrame, DataFram
     words = w.select("rec_id", "id", seq.alias("seq"), "w.word", ms("w.start").alias("start_ms"), ms("w.end").alias("end_ms"), ms("w.confidence").alias("conf_milli"), "w.speaker", "w.channel")
     silence = doc.select("rec_id", F.inline("r.silence")).select("rec_id", ms("start").alias("start_ms"), ms("end").alias("end_ms"))
     return words, segments, silence
+
+
+def read_summaries(results: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Recordings, speakers and warnings of nested transcripts (rec_id, result).
+
+    Each recording has one row (rec_id, model, language, duration_ms, text, timestamp_source, n_segments, processing_ms,
+    rtf, speech_ratio, stages_ms), also one without segments; what doesn't parse has nulls. Speakers are (rec_id, speaker, speech_ms, segments),
+    warnings (rec_id, ord, code, message).
+    """
+    doc = results.select("rec_id", F.from_json("result", RESULT).alias("r"))
+    ms = lambda c: F.round(F.col(c) * 1000).cast("long")
+    whole = doc.select("rec_id", "r.model", "r.language", ms("r.duration").alias("duration_ms"), "r.text", "r.timestamp_source", F.size("r.segments").alias("n_segments"), "r.stats.processing_ms", "r.stats.rtf", "r.stats.speech_ratio", "r.stats.stages_ms")
+    speakers = doc.select("rec_id", F.inline("r.speakers")).select("rec_id", F.col("id").alias("speaker"), ms("total_speech").alias("speech_ms"), "segments")
+    return whole, speakers, doc.select("rec_id", F.posexplode("r.warnings").alias("ord", "w")).select("rec_id", "ord", "w.code", "w.message")

@@ -119,23 +119,75 @@ def _(spark, sf_dir):
     return op.verbose_words(own, s).select("rec_id", "seq", "word", "speaker")
 
 
+#: Recordings with what a server told of them: some have warnings, and two more have no segments.
+_TOLD = f"""{_SPOKEN}, ends AS (SELECT rec_id, max(end_ms) + 1000 AS total FROM spoken GROUP BY rec_id),
+rec AS (SELECT rec_id, total FROM ends UNION ALL SELECT -rec_id - 1, 5000 FROM ends WHERE rec_id < 2),
+told AS (SELECT rec_id, 'm' || abs(rec_id) % 3 AS model, CASE WHEN rec_id % 4 <> 0 THEN 'en' END AS language, 'token' AS timestamp_source, total, total // 4 AS processing_ms, total // 10 AS decode, total // 20 AS asr,
+  CASE WHEN rec_id < 0 THEN [{{'code': 'no_speech_detected', 'message': 'no speech'}}] WHEN rec_id % 5 = 0 THEN [{{'code': 'itn_unavailable', 'message': 'none for "x"'}}, {{'code': 'late', 'message': 'é'}}] ELSE [] END AS warnings FROM rec),
+gapped AS (SELECT rec_id, cur AS s, start_ms AS e FROM (SELECT *, coalesce(max(end_ms) OVER (PARTITION BY rec_id ORDER BY start_ms, end_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cur FROM (SELECT rec_id, start_ms, end_ms FROM spoken UNION ALL SELECT rec_id, total, total FROM ends)) WHERE start_ms > cur)"""
+
+
 def _results(spark, sf_dir):
     s, w = _both(spark, sf_dir)
-    gaps = spans.transcript_silences(s, s.groupBy("rec_id").agg((F.max("end_ms") + 1000).alias("total")))
-    return op.result_json(s, w, gaps)
+    s = s.withColumn("avg_conf", F.round("avg_conf", 6))
+    ends = s.groupBy("rec_id").agg((F.max("end_ms") + 1000).alias("total"))
+    gaps = spans.transcript_silences(s, ends)
+    rec = ends.unionByName(ends.where("rec_id < 2").select((-F.col("rec_id") - 1).alias("rec_id"), F.lit(5000).cast("long").alias("total")))
+    warn = lambda code, message: F.struct(F.lit(code).alias("code"), F.lit(message).alias("message"))
+    warnings = F.when(F.col("rec_id") < 0, F.array(warn("no_speech_detected", "no speech"))).when(F.col("rec_id") % 5 == 0, F.array(warn("itn_unavailable", 'none for "x"'), warn("late", "é"))).otherwise(F.array().cast(op.WARNINGS))
+    part = lambda n: F.floor(F.col("total") / n)
+    stages = F.create_map(F.lit("decode"), part(10), F.lit("asr"), part(20))
+    told = rec.select("rec_id", F.concat(F.lit("m"), F.abs("rec_id") % 3).alias("model"), F.when(F.col("rec_id") % 4 != 0, "en").alias("language"), F.lit("token").alias("timestamp_source"), F.col("total").alias("duration_ms"), part(4).alias("processing_ms"), stages.alias("stages_ms"), warnings.alias("warnings"))
+    return op.result_json(told, s, w, gaps)
+
 
+_RESULT_WORD = "'word': word, 'start': start_ms / 1000, 'end': end_ms / 1000, 'confidence': conf_milli / 1000"
+_RESULT_SEGMENT = "'id': id, 'start': p.start_ms / 1000, 'end': p.end_ms / 1000, 'text': p.text, 'channel': p.channel"
 
-@query("s20_write_result_json")
+
+@query(
+    "s20_write_result_json",
+    _TOLD
+    + f""", w AS (SELECT rec_id, id, list(CASE WHEN speaker IS NULL THEN to_json({{{_RESULT_WORD}, 'channel': channel}}) ELSE to_json({{{_RESULT_WORD}, 'speaker': speaker, 'channel': channel}}) END ORDER BY seq) AS words FROM said GROUP BY rec_id, id),
+seg AS (SELECT p.rec_id, list(CASE WHEN speaker IS NULL THEN to_json({{{_RESULT_SEGMENT}, 'avg_confidence': round(avg_conf, 6), 'words': words}}) ELSE to_json({{{_RESULT_SEGMENT}, 'speaker': speaker, 'avg_confidence': round(avg_conf, 6), 'words': words}}) END ORDER BY id) AS segments, string_agg(trim(text), ' ' ORDER BY id) AS text FROM spoken p JOIN w USING (rec_id, id) GROUP BY p.rec_id),
+sil AS (SELECT rec_id, list({{'start': s / 1000, 'end': e / 1000}} ORDER BY s) AS silence, sum(e - s) AS quiet FROM gapped GROUP BY rec_id),
+spk AS (SELECT rec_id, list({{'id': speaker, 'total_speech': ms / 1000, 'segments': n}} ORDER BY speaker) AS speakers FROM (SELECT rec_id, speaker, sum(end_ms - start_ms)::BIGINT AS ms, count(*) AS n FROM spoken WHERE speaker IS NOT NULL GROUP BY ALL) GROUP BY rec_id)
+SELECT rec_id, '{{"id":' || rec_id || ',"model":"' || model || '"' || CASE WHEN language IS NULL THEN '' ELSE ',"language":"' || language || '"' END || ',"duration":' || to_json(total / 1000) || ',"text":' || to_json(coalesce(text, '')) || ',"timestamp_source":"token","segments":' || coalesce(to_json(segments), '[]') || ',"silence":' || coalesce(to_json(silence), '[]')
+  || CASE WHEN speakers IS NULL THEN '' ELSE ',"speakers":' || to_json(speakers) END || ',"stats":' || to_json({{'audio_duration': total / 1000, 'processing_ms': processing_ms, 'rtf': round(processing_ms / total, 6), 'stages_ms': {{'decode': decode, 'asr': asr}}, 'segments_total': coalesce(len(segments), 0), 'speech_ratio': CASE WHEN segments IS NULL THEN 0.0::DOUBLE ELSE round((total - coalesce(quiet, 0)) / total, 6) END}})
+  || CASE WHEN len(warnings) = 0 THEN '' ELSE ',"warnings":' || to_json(warnings) END || '}}' AS result FROM told LEFT JOIN seg USING (rec_id) LEFT JOIN sil USING (rec_id) LEFT JOIN spk USING (rec_id)""",
+)
 def _(spark, sf_dir):
     return _results(spark, sf_dir)
 
 
+@query("s13_word_document", f"{_SPOKEN}, w AS (SELECT rec_id, id, seq, CASE WHEN speaker IS NULL THEN to_json({{{_JSON_WORD}}}) ELSE to_json({{{_JSON_WORD}, 'speaker': speaker}}) END AS j FROM said), ws AS (SELECT rec_id, id, list(j ORDER BY seq) AS ws FROM w GROUP BY ALL), flat AS (SELECT rec_id, list(j ORDER BY id, seq) AS f FROM w GROUP BY ALL), seg AS (SELECT p.rec_id, list(CASE WHEN speaker IS NULL THEN to_json({{{_JSON_SEGMENT}}}) ELSE to_json({{{_JSON_SEGMENT}, 'speaker': speaker}}) END ORDER BY id) AS s FROM spoken p JOIN ws USING (rec_id, id) GROUP BY p.rec_id) SELECT rec_id, '{{\"segments\":' || to_json(s) || ',\"word_segments\":' || to_json(f) || ',\"language\":\"en\"}}' AS document FROM seg JOIN flat USING (rec_id)")
+def _(spark, sf_dir):
+    s, w = _both(spark, sf_dir)
+    return op.word_document(s, w, s.select("rec_id", F.lit("en").alias("language")).distinct())
+
+
+@query("s1_read_recordings", f"{_TOLD} SELECT t.rec_id, model, language, total AS duration_ms, CAST((SELECT count(*) FROM spoken s WHERE s.rec_id = t.rec_id) AS INT) AS n_segments, processing_ms, decode FROM told t")
+def _(spark, sf_dir):
+    whole = op.read_summaries(_results(spark, sf_dir))[0]
+    return whole.select("rec_id", "model", "language", "duration_ms", "n_segments", "processing_ms", F.col("stages_ms")["decode"].alias("decode"))
+
+
+@query("s1_read_speakers", f"{_SPOKEN} SELECT rec_id, speaker, CAST(sum(end_ms - start_ms) AS BIGINT) AS speech_ms, count(*) AS segments FROM spoken WHERE speaker IS NOT NULL GROUP BY ALL")
+def _(spark, sf_dir):
+    return op.read_summaries(_results(spark, sf_dir))[1]
+
+
+@query("s1_read_warnings", f"{_TOLD} SELECT rec_id, CAST(generate_subscripts(warnings, 1) - 1 AS INT) AS ord, unnest(warnings).code AS code, unnest(warnings).message AS message FROM told")
+def _(spark, sf_dir):
+    return op.read_summaries(_results(spark, sf_dir))[2]
+
+
 @query("s1_read_words", f"{_SPOKEN} SELECT rec_id, id, seq, word, start_ms, end_ms, CAST(conf_milli AS BIGINT) AS conf_milli, speaker, channel FROM said")
 def _(spark, sf_dir):
     return op.read_transcripts(_results(spark, sf_dir))[0]
 
 
-@query("s1_read_segments", f"{_SPOKEN} SELECT rec_id, id, channel, speaker, start_ms, end_ms, text, round(avg_conf, 9) AS avg_conf FROM spoken")
+@query("s1_read_segments", f"{_SPOKEN} SELECT rec_id, id, channel, speaker, start_ms, end_ms, text, round(avg_conf, 6) AS avg_conf FROM spoken")
 def _(spark, sf_dir):
     return op.read_transcripts(_results(spark, sf_dir))[1].withColumn("avg_conf", F.round("avg_conf", 9))
 

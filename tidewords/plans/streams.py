@@ -121,7 +121,29 @@ def _(spark, sf_dir):
     return op.drained(ut.utterances(_live(spark, sf_dir), "user_id", _RULES, 90 * 24 * _HOUR)).where("kind = 'final'").select("user_id", "item", "start_ms", "end_ms", "text", "cut")
 
 
-@query("t7_partials")
+#: The same with pauses looked for, partials three hours apart at least, commits and clears: a step a row, which may tell up to three things.
+_TOLD = f"""WITH RECURSIVE {_PASSED}, e AS (SELECT user_id, epoch_us(ts) // 1000 AS t, event_type IN ('view', 'click') AS loud, 'w' || event_id AS word,
+  CASE WHEN event_type = 'signup' THEN 'commit' WHEN event_type = 'error' AND event_id % 4 = 0 THEN 'clear' ELSE '' END AS control, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM passed),
+w AS (SELECT user_id, t, 0::BIGINT AS i, 0 AS item, t AS start, t AS heard, t - {3 * _HOUR} AS told_at, '' AS said, '' AS told, 0 AS was, t AS began, false AS opened, NULL::VARCHAR AS partial, '' AS delta, '' AS text, '' AS cut FROM e WHERE i = 1
+  UNION ALL SELECT user_id, t, i, CASE WHEN cut <> '' THEN item + 1 ELSE item END, CASE WHEN cut <> '' THEN t WHEN quiet >= {6 * _HOUR} AND said1 = '' THEN greatest(start, t - {2 * _HOUR}) ELSE start END, CASE WHEN cut <> '' THEN t ELSE heard1 END,
+    CASE WHEN partial THEN t ELSE told_at END, CASE WHEN cut <> '' THEN '' ELSE said1 END, CASE WHEN cut <> '' THEN '' WHEN partial THEN said1 ELSE told END, item, start, opened, CASE WHEN partial THEN said1 END,
+    CASE WHEN NOT partial THEN '' WHEN told = '' THEN said1 WHEN starts_with(said1, told) THEN substr(said1, length(told) + 1) ELSE '' END, said1, cut
+  FROM (SELECT *, CASE WHEN control = 'clear' THEN 'clear' WHEN control = 'commit' THEN 'commit' WHEN t - start >= {30 * _HOUR} THEN 'max_length'
+      WHEN t - start - {20 * _HOUR} >= 0 AND said1 <> '' AND quiet >= {4 * _HOUR} - least((t - start - {20 * _HOUR}) / {10.0 * _HOUR}::DOUBLE, 1) * {3 * _HOUR} THEN 'pause' WHEN quiet >= {6 * _HOUR} AND said1 <> '' THEN 'silence' ELSE '' END AS cut
+    FROM (SELECT *, t - heard1 AS quiet, loud AND said = '' AS opened, loud AND said1 <> told AND t - told_at >= {3 * _HOUR} AS partial
+      FROM (SELECT w.user_id, e.t, e.i, w.item, w.start, w.told_at, w.said, w.told, e.loud, e.control, CASE WHEN e.loud THEN e.t ELSE w.heard END AS heard1, CASE WHEN e.loud THEN trim(w.said || ' ' || e.word) ELSE w.said END AS said1
+        FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1)))),
+steps AS (SELECT user_id, CAST(was AS BIGINT) AS item, began AS start_ms, t AS end_ms, opened, partial, delta, text, cut FROM w WHERE i > 0)"""
+
+
+@query(
+    "t7_partials",
+    _TOLD
+    + """ SELECT user_id, item, 'speech_started' AS kind, start_ms, end_ms, '' AS text, '' AS delta, '' AS cut FROM steps WHERE opened
+UNION ALL SELECT user_id, item, 'partial', start_ms, end_ms, partial, delta, '' FROM steps WHERE partial IS NOT NULL
+UNION ALL SELECT user_id, item, 'cleared', start_ms, end_ms, '', '', '' FROM steps WHERE cut = 'clear'
+UNION ALL SELECT user_id, item, 'final', start_ms, end_ms, text, '', cut FROM steps WHERE cut NOT IN ('', 'clear') AND (text <> '' OR cut = 'commit')""",
+)
 def _(spark, sf_dir):
     rules = ut.Rules(silence=6 * _HOUR, limit=30 * _HOUR, search=10 * _HOUR, pause=4 * _HOUR, dip=_HOUR, guard=2 * _HOUR, interval=3 * _HOUR)
     control = F.when(F.col("event_type") == "signup", "commit").when((F.col("event_type") == "error") & (F.col("event_id") % 4 == 0), "clear").otherwise("")

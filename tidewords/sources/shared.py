@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +14,12 @@ def shared_folder(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.partition("[")[0] == "local":
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return _own_folder(spark.sparkContext.applicationId)
+
+
+@lru_cache(8)
+def _own_folder(_application: str) -> str:
+    """One folder a session of a single machine."""
     return tempfile.mkdtemp(prefix="spark-shared-")
 
 
