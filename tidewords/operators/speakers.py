@@ -67,22 +67,23 @@ def speaker_runs(words: DataFrame, keys: list[str], order: str) -> DataFrame:
     length; if it is no turn itself, its group is joined to the next.
     """
     at = Window.partitionBy(*keys).orderBy(order)
-    changed = ~F.col("speaker").eqNullSafe(F.lag("speaker").over(at)) | (F.row_number().over(at) == 1)
-    w = islands(words, keys, [order], changed, "run")
-    runs = w.groupBy(*keys, "run").agg(F.count("*").alias("n"), F.min_by("start_ms", order).alias("a"), F.max_by("end_ms", order).alias("b"), F.first("speaker").alias("who"))
-    own = Window.partitionBy(*keys).orderBy("run")
-    turn = (F.col("n") >= TURN_WORDS) & (F.col("b") - F.col("a") >= TURN_MS)
-    runs = runs.withColumn("first", F.row_number().over(own) == 1).withColumn("kept", F.col("first") | turn)
-    held = F.last(F.when(F.col("kept"), F.struct("who")), ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.col("first") | (F.col("kept") & ~F.col("who").eqNullSafe(held["who"]))
-    runs = islands(runs.withColumn("held", held), keys, ["run"], opens.cast("boolean"), "group")
-    size = Window.partitionBy(*keys)
-    first_end = F.max(F.when(F.col("group") == 1, F.col("b"))).over(size)
-    first_n = F.sum(F.when(F.col("group") == 1, F.col("n")).otherwise(0)).over(size)
-    first_a = F.min(F.when(F.col("group") == 1, F.col("a"))).over(size)
-    short = (F.max("group").over(size) > 1) & ~((first_n >= TURN_WORDS) & (first_end - first_a >= TURN_MS))
-    runs = runs.withColumn("group", F.when(short, F.greatest(F.col("group") - 1, F.lit(1))).otherwise(F.col("group")) - 1)
-    return w.join(runs.select(*keys, "run", "group"), [*keys, "run"]).drop("run")
+    begins = ~F.col("speaker").eqNullSafe(F.lag("speaker").over(at)) | (F.row_number().over(at) == 1)
+    w = islands(words.withColumn("__begins", begins), keys, [order], F.col("__begins"), "__run")
+    run = Window.partitionBy(*keys, "__run")
+    whole = run.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    w = w.withColumns({"__n": F.count("*").over(run), "__a": F.first("start_ms").over(whole), "__b": F.last("end_ms").over(whole)})
+    turn = (F.col("__n") >= TURN_WORDS) & (F.col("__b") - F.col("__a") >= TURN_MS)
+    first = F.col("__run") == 1
+    # told at a run's first word alone: is it kept, and who was the last one kept before it?
+    w = w.withColumn("__kept", F.col("__begins") & (first | turn))
+    held = F.last(F.when(F.col("__kept"), F.struct(F.col("speaker").alias("who"))), ignorenulls=True).over(before(keys, [order]))
+    w = w.withColumn("__held", held)
+    w = islands(w, keys, [order], F.col("__kept") & (first | ~F.col("speaker").eqNullSafe(F.col("__held.who"))), "group")
+    own = Window.partitionBy(*keys)
+    head = lambda c: F.when(F.col("group") == 1, c)
+    long = (F.count(head(F.lit(1))).over(own) >= TURN_WORDS) & (F.max(head(F.col("__b"))).over(own) - F.min(head(F.col("__a"))).over(own) >= TURN_MS)
+    short = (F.max("group").over(own) > 1) & ~long
+    return w.withColumn("group", F.when(short, F.greatest(F.col("group") - 1, F.lit(1))).otherwise(F.col("group")) - 1).drop("__begins", "__run", "__n", "__a", "__b", "__kept", "__held")
 
 
 def dominant_speaker(words: DataFrame, keys: list[str]) -> DataFrame:
@@ -98,9 +99,10 @@ def split_segments(segments: DataFrame, words: DataFrame, keys: list[str], order
     The first part keeps its segment's start and the last its end; segments without words stay whole.
     """
     w = speaker_runs(words, keys, order)
-    who = dominant_speaker(w, [*keys, "group"])
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "word"))), lambda x: x["word"]), " ")
-    parts = w.groupBy(*keys, "group").agg(F.min_by("start_ms", order).alias("a"), F.max_by("end_ms", order).alias("b"), F.count("*").alias("n"), text.alias("t")).join(who, [*keys, "group"], "left")
+    vote = F.sum(F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(0)) + VOTE_MS).over(Window.partitionBy(*keys, "group", "speaker"))
+    who = F.min_by("speaker", F.when(F.col("speaker").isNotNull(), F.struct(-F.col("__vote"), F.col("speaker").cast("string"))))  # as in dominant_speaker
+    parts = w.withColumn("__vote", vote).groupBy(*keys, "group").agg(F.min_by("start_ms", order).alias("a"), F.max_by("end_ms", order).alias("b"), F.count("*").alias("n"), text.alias("t"), who.alias("speaker"))
     own = Window.partitionBy(*keys)
     parts = parts.withColumn("last", F.max("group").over(own))
     s = segments.select(*keys, F.col("start_ms").alias("ss"), F.col("end_ms").alias("se"), F.col("text").alias("st"))

@@ -100,16 +100,24 @@ def dictionaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spoken(words: DataFrame) -> DataFrame:
-    """Segments as a transcript has them: rec_id, id, channel, speaker (null for the system's), times, text, words, mean confidence."""
-    s = segments(words).join(words.withColumn("sn", _sentence()).groupBy("rec_id", "turn", "sn").agg(F.coalesce(F.avg(F.when(F.col("conf_milli") > 0, F.col("conf_milli"))), F.lit(0.0)).alias("conf")), ["rec_id", "turn", "sn"])
+    """Segments as a transcript has them: rec_id, id, channel, speaker (null for the system's), times, text, words, mean confidence.
+
+    One exchange by recording serves the sentences, their sums and their numbers.
+    """
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ")
+    conf = F.coalesce(F.avg(F.when(F.col("conf_milli") > 0, F.col("conf_milli"))), F.lit(0.0))
+    s = words.repartition("rec_id").withColumn("sn", _sentence()).groupBy("rec_id", "turn", "channel", "role", "sn")
+    s = s.agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("n_words"), text.alias("text"), conf.alias("conf"))
     order = Window.partitionBy("rec_id").orderBy("start_ms", "channel", "turn", "sn")
     return s.select("rec_id", (F.row_number().over(order) - 1).alias("id"), "turn", "sn", "channel", speaker_of("role").alias("speaker"), "start_ms", "end_ms", "text", "n_words", (F.col("conf") / 1000).alias("avg_conf"))
 
 
-def spoken_words(words: DataFrame, segments: DataFrame) -> DataFrame:
-    """Words with the segment's number and speaker, in the transcript's order (seq)."""
-    w = words.withColumn("sn", _sentence()).join(segments.select("rec_id", "turn", "sn", "id", "speaker"), ["rec_id", "turn", "sn"])
-    return w.select("rec_id", "id", (F.row_number().over(Window.partitionBy("rec_id").orderBy("id", "pos")) - 1).alias("seq"), "wid", "pos", "channel", "speaker", "word", "start_ms", "end_ms", "conf_milli")
+def spoken_words(words: DataFrame, segments: DataFrame | None = None) -> DataFrame:
+    """Words with the number and speaker of their segment among those of ``spoken``, in the transcript's order (seq)."""
+    own, of = Window.partitionBy("rec_id", "turn", "sn"), Window.partitionBy("rec_id")
+    w = words.repartition("rec_id").withColumn("sn", _sentence()).withColumn("began", F.min("start_ms").over(own))
+    w = w.withColumn("id", F.dense_rank().over(of.orderBy("began", "channel", "turn", "sn")) - 1)
+    return w.select("rec_id", "id", (F.row_number().over(of.orderBy("id", "pos")) - 1).alias("seq"), "wid", "pos", "channel", speaker_of("role").alias("speaker"), "word", "start_ms", "end_ms", "conf_milli")
 
 
 def speaker_of(role: str) -> Column:
