@@ -98,12 +98,13 @@ def cue_lines(words: DataFrame) -> DataFrame:
         opens = (acc["room"] == 0) | (acc["room"] + x["len"] > WIDTH)
         return F.when(opens, F.struct(F.length(F.trim(x["word"])).alias("room"), F.concat(acc["begins"], F.array(x["k"])).alias("begins"))).otherwise(F.struct((acc["room"] + x["len"]).alias("room"), acc["begins"].alias("begins")))
 
-    filled = w.groupBy("rec_id", "part").agg(F.array_sort(F.collect_list(F.struct("k", "len", "word"))).alias("ws"))
+    cols = words.columns
+    filled = w.groupBy("rec_id", "part").agg(F.array_sort(F.collect_list(F.struct("k", "len", "word", F.struct(*cols).alias("r")))).alias("ws"))
     begins = F.aggregate("ws", F.struct(F.lit(0).alias("room"), F.array().cast("array<int>").alias("begins")), fill, lambda acc: acc["begins"])
-    lines = filled.select("rec_id", "part", F.posexplode(begins).alias("row", "k")).withColumn("opens", F.lit(True))
-    marked = w.join(lines, ["rec_id", "part", "k"], "left").withColumn("row", F.last("row", ignorenulls=True).over(Window.partitionBy("rec_id", "part").orderBy("k")))
-    cue = (F.col("row") == F.floor(F.col("row") / LINES) * LINES) & F.col("opens")
-    return islands(marked.withColumn("row", F.col("row") % LINES), ["rec_id"], ["seq"], cue, "cue").drop("part", "k", "len").withColumn("opens", F.coalesce("opens", F.lit(False)))
+    told = filled.select("ws", begins.alias("begins")).select("begins", F.inline("ws"))
+    row, opens = F.size(F.filter("begins", lambda x: x <= F.col("k"))) - 1, F.array_contains("begins", F.col("k"))
+    marked = told.select(*(F.col("r")[c].alias(c) for c in cols), (row % LINES).alias("row"), opens.alias("opens"))
+    return islands(marked, ["rec_id"], ["seq"], F.col("opens") & (F.col("row") == 0), "cue")
 
 
 def cues(words: DataFrame, language: str = "") -> DataFrame:

@@ -90,7 +90,7 @@ def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = F.filter(F.split("text", r"\s+"), lambda w: w != "")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", "doc_id", ws.alias("ws")).where(F.size("ws") > 0)
     runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("ws") - 1) / 3).cast("int")), lambda k: F.concat_ws(" ", F.slice("ws", 3 * k + 1, F.lit(3))))
-    return docs.select(F.col("source").alias("dict_key"), "doc_id", F.posexplode(runs).alias("k", "phrase")).select("dict_key", (F.col("doc_id") * 100_000 + F.col("k")).alias("ord"), "phrase")
+    return docs.select(F.col("source").alias("dict_key"), "doc_id", F.posexplode(runs).alias("k", "phrase")).select("dict_key", (F.col("doc_id") * 1_000_000_000 + F.col("k")).alias("ord"), "phrase")
 
 
 def dictionaries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,7 +173,7 @@ SAMPLES_SQL = """
 samples AS (SELECT vec_id AS rec_id, label, generate_subscripts(embedding, 1) - 1 AS idx, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)"""
 PHRASES_SQL = r"""
 cutdocs AS (SELECT source, doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS ws FROM documents),
-phrases AS (SELECT source AS dict_key, doc_id * 100000 + k AS ord, array_to_string(ws[3 * k + 1:3 * k + 3], ' ') AS phrase
+phrases AS (SELECT source AS dict_key, doc_id * 1000000000 + k AS ord, array_to_string(ws[3 * k + 1:3 * k + 3], ' ') AS phrase
   FROM (SELECT *, unnest(range(0, (len(ws) - 1) // 3 + 1)) AS k FROM cutdocs WHERE len(ws) > 0))"""
 DICTIONARIES_SQL = """
 lines AS (SELECT 'doc_' || doc_id AS dict_key, generate_subscripts(ls, 1) - 1 AS ord, unnest(ls) AS phrase FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))"""
