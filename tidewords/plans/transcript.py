@@ -388,7 +388,7 @@ def x4(spark, sf_dir):
 def x4s(spark, sf_dir):
     intervals.register(spark)
     w = settle(d.words(spark, sf_dir))
-    rows = _spans(w).unionByName(_totals(w).select("rec_id", F.col("total").alias("s"), F.col("total").alias("e")))
+    rows = _spans(w).join(_totals(w), "rec_id")
     return spark.sql("SELECT * FROM silences(TABLE({spans}) PARTITION BY rec_id ORDER BY (s, e), 300)", spans=rows)
 
 
