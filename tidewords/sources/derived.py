@@ -165,7 +165,7 @@ base_jobs AS (SELECT concat('job_', lpad(CAST(event_id AS VARCHAR), 8, '0')) AS
   CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'running' WHEN 'purchase' THEN 'succeeded' WHEN 'error' THEN 'failed' ELSE CASE WHEN event_id % 2 = 0 THEN 'canceled' ELSE 'expired' END END AS status,
   CASE WHEN user_id % 10 = 0 THEN 10 ELSE 0 END AS priority, concat('m', CAST(user_id % 5 AS VARCHAR)) AS model_id,
   CASE WHEN user_id % 8 = 7 THEN NULL ELSE concat('key_', CAST(user_id % 8 AS VARCHAR)) END AS api_key_id,
-  CASE WHEN event_id % 3 = 0 THEN 'ui' ELSE 'api' END AS source, (epoch_ms(ts) // 60000) * 60000 AS created_ms,
+  CASE WHEN event_id % 3 = 0 THEN 'ui' ELSE 'api' END AS source, (epoch_us(ts) // 60000000) * 60000 AS created_ms,
   CAST(round(value * 1000) AS BIGINT) AS audio_ms, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, user_id FROM events),
 jobs AS (SELECT *, CASE WHEN status IN ('running', 'succeeded', 'failed') THEN created_ms + 20000 * (k % 7) END AS started_ms,
   CASE WHEN status IN ('succeeded', 'failed') THEN created_ms + 20000 * (k % 7) + audio_ms END AS finished_ms FROM base_jobs)"""
