@@ -137,3 +137,9 @@ def test_utterances_end_by_silence_length_pause_and_commit():
 def test_partials_keep_their_interval_and_add_up():
     told = [t for t in heard(ut.Rules(), [(100, "a"), (200, "b"), (350, "c"), (450, "d")]) if t[1] == "partial"]
     assert [(t[4], t[5]) for t in told] == [("a", "a"), ("a b c d", " b c d")]
+
+
+def test_every_event_gets_a_token_or_none(spark):
+    """The events of the stream's last hour are decided too."""
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    assert plans.QUERIES["t4_token_bucket"](spark, "/root/testdata/sf0.001").count() == events.count()

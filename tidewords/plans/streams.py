@@ -36,7 +36,7 @@ def _(spark, sf_dir):
 
 @query(
     "t4_token_bucket",
-    f"""WITH RECURSIVE {_PASSED}, e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM passed),
+    f"""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
 w AS (SELECT user_id, event_id, t, i, true AS allowed, {CAPACITY}::DOUBLE AS full, {CAPACITY - 1}::DOUBLE AS held FROM e WHERE i = 1
   UNION ALL SELECT e.user_id, e.event_id, e.t, e.i, least({CAPACITY}::DOUBLE, w.held + (e.t - w.t) * {RATE!r}::DOUBLE / 1000) >= 1, least({CAPACITY}::DOUBLE, w.held + (e.t - w.t) * {RATE!r}::DOUBLE / 1000),
     CASE WHEN least({CAPACITY}::DOUBLE, w.held + (e.t - w.t) * {RATE!r}::DOUBLE / 1000) >= 1 THEN least({CAPACITY}::DOUBLE, w.held + (e.t - w.t) * {RATE!r}::DOUBLE / 1000) - 1 ELSE least({CAPACITY}::DOUBLE, w.held + (e.t - w.t) * {RATE!r}::DOUBLE / 1000) END
@@ -44,7 +44,9 @@ w AS (SELECT user_id, event_id, t, i, true AS allowed, {CAPACITY}::DOUBLE AS ful
 SELECT user_id, event_id, allowed FROM w""",
 )
 def _(spark, sf_dir):
-    return op.drained(op.token_bucket(op.event_stream(spark, sf_dir), "user_id", RATE, CAPACITY)).select("user_id", "event_id", "allowed")
+    closing = f"{shared_folder(spark)}/closing-{uuid.uuid4().hex}"
+    told = op.token_bucket(op.event_stream(spark, sf_dir, closing=closing), "user_id", RATE, CAPACITY)
+    return op.drained(told, end=lambda: op.close(spark, sf_dir, closing)).select("user_id", "event_id", "allowed")
 
 
 _SESSIONS = f"""WITH RECURSIVE {_PASSED}, e AS (SELECT user_id, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM passed),
@@ -152,7 +154,7 @@ def _(spark, sf_dir):
 
 @query("t15_utterance_words", f"WITH {d.SPOKEN_SQL} SELECT s.rec_id, s.seq, greatest(s.start_ms - 120, p.start_ms) AS start_ms, greatest(s.end_ms - 120, s.start_ms - 120, p.start_ms) AS end_ms FROM said s JOIN spoken p USING (rec_id, id)")
 def _(spark, sf_dir):
-    w = settle(d.words(spark, sf_dir))
+    w = d.words(spark, sf_dir)
     s = d.spoken(w)
     item = s.select("rec_id", "id", F.col("start_ms").alias("item_start_ms"), (F.col("start_ms") - 620).alias("clock_ms"))
     heard = d.spoken_words(w, s).join(item, ["rec_id", "id"])

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -16,11 +18,11 @@ from tidewords.streaming.ordered import in_order
 MILLIS = "unix_millis(to_utc_timestamp(cast({} as timestamp), current_timezone()))"
 
 
-def event_stream(spark: SparkSession, sf_dir: str, delay: str = "1 hour", files_a_batch: int | None = None) -> DataFrame:
+def event_stream(spark: SparkSession, sf_dir: str, delay: str = "1 hour", files_a_batch: int | None = None, closing: str | None = None) -> DataFrame:
     """The events as a stream with a watermark on ``at``, and ``at_ms``; the table is one file or a folder of part files.
 
     Unless ``files_a_batch`` is given all files that are there come in one batch. With it, rows may come in any order
-    within ``delay``; later ones are dropped.
+    within ``delay``; later ones are dropped. Rows of the folder ``closing`` are read too (see ``close``).
     """
     table = f"{sf_dir}/events.parquet"
     store, named = _store(spark, table)
@@ -28,15 +30,25 @@ def event_stream(spark: SparkSession, sf_dir: str, delay: str = "1 hour", files_
     files = spark.readStream.schema(spark.read.parquet(table).schema)
     files = files.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else files
     stream = files.parquet(table) if folder else files.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    if closing:
+        spark.createDataFrame([], stream.schema).write.parquet(closing)
+        stream = stream.unionByName(spark.readStream.schema(stream.schema).parquet(closing))
     return stream.withColumn("at", F.col("ts").cast("timestamp")).withColumn("at_ms", F.expr(MILLIS.format("ts"))).withWatermark("at", delay)
 
 
-def drained(stream: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def close(spark: SparkSession, sf_dir: str, closing: str, delay: str = "1 hour") -> None:
+    """Put a row of nobody into the folder ``closing``, so late that the watermark passes all events; it waits itself and is never told."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    last = events.agg(F.max("ts").alias("ts")).where("ts IS NOT NULL").select((F.col("ts") + F.expr(f"INTERVAL {delay}") + F.expr("INTERVAL 1 minute")).alias("ts"), F.lit(-1).cast("long").alias("event_id"))
+    last.select(*(F.col(c) if c in last.columns else F.lit(None).cast(events.schema[c].dataType).alias(c) for c in events.columns)).write.mode("append").parquet(closing)
+
+
+def drained(stream: DataFrame, keys: list[str] | None = None, end: Callable[[], None] | None = None) -> DataFrame:
     """What a stream has given when all that was there is read: written batch by batch, then read as a table.
 
     Rows are appended as they are final; with ``keys`` the stream runs in update mode and the last row of each key stays.
     A batch that runs again writes its own folder again. Windows and sessions that the watermark has not passed are open
-    and give nothing yet.
+    and give nothing yet. With ``end``, which may add a closing row to the source, the stream goes on from its checkpoint after it.
     """
     spark = stream.sparkSession
     base = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
@@ -47,7 +59,11 @@ def drained(stream: DataFrame, keys: list[str] | None = None) -> DataFrame:
         if f"{base}/out/{n}" not in done:
             done.append(f"{base}/out/{n}")
 
-    stream.writeStream.outputMode("update" if keys else "append").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    run = lambda: stream.writeStream.outputMode("update" if keys else "append").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    run()
+    if end:
+        end()
+        run()
     told = StructType([*stream.schema, *StructType.fromDDL("__batch long")])
     out = spark.read.schema(told).parquet(*done) if done else spark.createDataFrame([], told)
     if keys:
