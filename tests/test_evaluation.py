@@ -1,5 +1,6 @@
 """Distances of transcripts and diarizations from references, sample choice and dictionary files, against plain readings."""
 
+import duckdb
 import itertools
 import random
 import time
@@ -8,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidewords import plans
 from tidewords.functions import alignment
 from tidewords.operators import dictionaries, evaluation, reports, spans
 
@@ -191,3 +193,13 @@ def test_every_language_has_a_name(spark):
     c = spark.createDataFrame([("uz",), ("pt-BR",), ("no",), ("??",), ("multi",)], "c string")
     name, _ = reports.language_name(F.col("c"), F.array("c"))
     assert [r[0] for r in c.select(name).collect()] == ["uzbek", "portuguese", "norwegian", "??", "multilingual"] and len(reports.LANGUAGES) == 41
+
+
+def test_error_rate_of_sentences_with_many_words_and_with_none(spark, tmp_path):
+    """The SQL is exact where more words meet than there are signs, and where a reference has no words."""
+    duck = duckdb.connect()
+    texts = [" ".join(f"w{k * 7 % 211}" for k in range(n)) + "." for n in (89, 95, 130, 300)] + ["Ah. - - - - -.", "a b c d e f. -.", "- ! -."]
+    duck.execute("CREATE TABLE conversations AS SELECT i::BIGINT AS conv_id, 0::BIGINT AS turn, 'user' AS role, t AS text FROM (SELECT unnest(range(len(?::VARCHAR[]))) AS i, unnest(?::VARCHAR[]) AS t)", [texts, texts])
+    duck.execute(f"COPY conversations TO '{tmp_path}/conversations.parquet' (FORMAT parquet)")
+    want = sorted(duck.execute(plans.ORACLES["a17_word_error_rate"]).fetchall())
+    assert sorted(tuple(r) for r in plans.QUERIES["a17_word_error_rate"](spark, str(tmp_path)).select("rec_id", "id", "words", "wer").collect()) == want

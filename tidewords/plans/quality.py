@@ -44,19 +44,23 @@ _PAIRS = f"WITH {d.SPOKEN_SQL}, heard AS (SELECT rec_id, id, string_agg(CASE WHE
 
 
 def _heard(spark, sf_dir):
-    w = settle(d.words(spark, sf_dir))
+    w = d.words(spark, sf_dir)
     s = d.spoken(w)
     words = d.spoken_words(w, s).where(F.col("pos") % 4 != 3).withColumn("word", F.when(F.col("pos") % 7 == 6, "hm").otherwise(F.col("word")))
     return s, words
 
 
-#: Words of a sentence stand for signs, as the edit distance is over bytes; the reference keeps all words, so no more than 90 meet.
+#: Up to 90 different words of a sentence stand for signs, as the edit distance is over bytes. Where more meet, the table of edits is
+#: filled diagonal by diagonal: place i of diagonal k is the distance of the first i reference words from the first k - i heard.
 @query(
     "a17_word_error_rate",
-    _PAIRS
+    _PAIRS.replace("WITH", "WITH RECURSIVE", 1)
     + r""", lists AS (SELECT s.rec_id, s.id, list_filter(list_transform(regexp_split_to_array(lower(text), '\s+'), lambda w: regexp_replace(w, '^[\p{P}\p{S}]+|[\p{P}\p{S}]+$', '', 'g')), lambda w: w <> '') AS r, list_filter(list_transform(regexp_split_to_array(lower(coalesce(hyp, '')), '\s+'), lambda w: regexp_replace(w, '^[\p{P}\p{S}]+|[\p{P}\p{S}]+$', '', 'g')), lambda w: w <> '') AS h FROM spoken s LEFT JOIN heard USING (rec_id, id)),
-coded AS (SELECT rec_id, id, len(r) AS n, array_to_string(list_transform(r, lambda w: chr(33 + list_position(list_distinct(r || h), w)::INT)), '') AS a, array_to_string(list_transform(h, lambda w: chr(33 + list_position(list_distinct(r || h), w)::INT)), '') AS b FROM lists)
-SELECT rec_id, id, CAST(n AS INT) AS words, round(levenshtein(a, b) / n, 9) AS wer FROM coded""",
+coded AS (SELECT rec_id, id, len(r) AS n, len(h) AS m, array_to_string(list_transform(r, lambda w: chr(33 + list_position(list_distinct(r || h), w)::INT)), '') AS a, array_to_string(list_transform(h, lambda w: chr(33 + list_position(list_distinct(r || h), w)::INT)), '') AS b FROM lists WHERE len(list_distinct(r || h)) <= 90),
+diagonal AS (SELECT rec_id, id, r, h, 0::BIGINT AS k, list_transform(range(len(r) + 1), lambda i: CASE WHEN i = 0 THEN 0::BIGINT END) AS p, list_transform(range(len(r) + 1), lambda i: NULL::BIGINT) AS q FROM lists WHERE len(list_distinct(r || h)) > 90
+  UNION ALL SELECT rec_id, id, r, h, k + 1, list_transform(range(len(r) + 1), lambda i: CASE WHEN i > k + 1 OR k + 1 - i > len(h) THEN NULL WHEN i = 0 THEN k + 1 WHEN i = k + 1 THEN i ELSE least(p[i] + 1, p[i + 1] + 1, q[i] + (r[i] <> h[k + 1 - i])::BIGINT) END), p FROM diagonal WHERE k < len(r) + len(h)),
+told AS (SELECT rec_id, id, n, m, levenshtein(a, b) AS edits FROM coded UNION ALL SELECT rec_id, id, len(r), len(h), p[len(r) + 1] FROM diagonal WHERE k = len(r) + len(h))
+SELECT rec_id, id, CAST(n AS INT) AS words, CASE WHEN n > 0 THEN round(edits / n, 9) WHEN m > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS wer FROM told""",
 )
 def _(spark, sf_dir):
     s, words = _heard(spark, sf_dir)
@@ -82,7 +86,7 @@ l AS (SELECT rec_id, list(far ORDER BY far) AS f FROM walk WHERE far IS NOT NULL
 SELECT rec_id, len(f) AS matched, f[CAST(floor((len(f) - 1) * 0.5) AS BIGINT) + 1] AS median, round(list_avg(f), 6) AS mean, f[CAST(floor((len(f) - 1) * 0.95) AS BIGINT) + 1] AS p95, f[-1] AS most FROM l""",
 )
 def _(spark, sf_dir):
-    w = settle(d.words(spark, sf_dir))
+    w = d.words(spark, sf_dir)
     s = d.spoken(w)
     base = d.spoken_words(w, s)
     other = base.where(F.col("pos") % 9 != 4).withColumn("start_ms", F.col("start_ms") + 13 * F.col("pos") % 50)
@@ -136,7 +140,7 @@ _DROPS = f"WITH {d.SPOKEN_SQL}, marked AS (SELECT *, length(word) % 5 = 0 OR id
 
 
 def _pruned(spark, sf_dir):
-    w = settle(d.words(spark, sf_dir))
+    w = d.words(spark, sf_dir)
     s = d.spoken(w)
     words = d.spoken_words(w, s)
     return iso.prune(s.select("rec_id", "id", "start_ms", "end_ms", "text"), words, words.where((F.length("word") % 5 == 0) | (F.col("id") % 11 == 3)))
