@@ -3,6 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tidewords import plans
+from tidewords.sources import derived
 from tidewords.operators import normalise, stages, wordstream
 
 GRID = 400  # ms between the starts of words that last 350
@@ -121,3 +123,27 @@ def test_stages_that_requests_get(spark):
     assert sorted((x.rec_id, x.stage, x.locale) for x in routes.collect()) == [(1, "itn", "ru"), (1, "punctuation", None), (2, "itn", "ru")]
     assert [tuple(x) for x in told.collect()] == [(3, "itn_unavailable", "no rules for locale fr; there are ru")]
     assert [x.code for x in stages.route(r.where("rec_id = 1"), can_punctuate=False)[1].collect()] == ["punctuation_unavailable"]
+
+
+#: On this table words are dealt into several tasks.
+DEALT = "/root/testdata/sf0.1"
+
+
+@pytest.mark.parametrize("name", ["w1_assemble_words", "w4_merge_spans", "w5_silences", "w5b_transcript_silences", "w11_itn_rewrite", "w18_cue_groups", "w23_reattach_text", "s13_write_word_json", "s13_word_document", "s14_verbose_words", "f25_cue_join", "j7_prune_words", "j11_word_at", "j12_neighbour_words", "j13_current_words", "a18_start_drift"])
+def test_words_are_dealt_once_by_recording(spark, name):
+    """The text's exchange is the only one, so that no task grows with the table."""
+    plan = plans.QUERIES[name](spark, DEALT)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+
+
+def test_words_take_more_tasks_with_more_text(spark):
+    said = spark.read.parquet(f"{DEALT}/conversations.parquet")
+    n = derived.dealt(said, "conv_id").rdd.getNumPartitions()
+    assert n > 1 and derived.dealt(said.unionByName(said), "conv_id").rdd.getNumPartitions() >= 2 * n - 1
+
+
+def test_a_chain_keeps_no_letters(spark):
+    """Marks are put back without a row a letter."""
+    w = spark.createDataFrame([(1, 0, "a")], "rec_id long, seq long, word string")
+    plan = wordstream.reattach_text(w, spark.createDataFrame([(1, "A")], "rec_id long, punctuated string"), ["rec_id"])
+    assert "explode" not in plan._jdf.queryExecution().executedPlan().toString() and "Join" not in plan._jdf.queryExecution().executedPlan().toString()

@@ -127,10 +127,9 @@ def start_drift(base: DataFrame, other: DataFrame) -> DataFrame:
 
     def align(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         b, o = (list(zip(x.sort_values("seq")["w"], x.sort_values("seq")["start_ms"], strict=True)) for x in (left, right))
-        far = [abs(o[j][1] - b[i][1]) for i, j in _align(b, o)]
-        return pd.DataFrame({"rec_id": left["rec_id"].iloc[:1].repeat(len(far)) if len(left) else [], "far": far})
+        far = sorted(int(abs(o[j][1] - b[i][1])) for i, j in _align(b, o))
+        at = lambda q: far[int((len(far) - 1) * q)]
+        told = [(left["rec_id"].iloc[0], len(far), at(0.5), sum(far) / len(far), at(0.95), far[-1])] if far else []
+        return pd.DataFrame(told, columns=["rec_id", "matched", "median", "mean", "p95", "most"])
 
-    drifts = slim(base).groupBy("rec_id").cogroup(slim(other).groupBy("rec_id")).applyInPandas(align, "rec_id long, far long")
-    placed = drifts.withColumns({"k": F.row_number().over(Window.partitionBy("rec_id").orderBy("far")) - 1, "n": F.count("*").over(Window.partitionBy("rec_id"))})
-    at = lambda q: F.max(F.when(F.col("k") == F.floor((F.col("n") - 1) * q), F.col("far")))
-    return placed.groupBy("rec_id").agg(F.count("*").alias("matched"), at(0.5).alias("median"), F.avg("far").alias("mean"), at(0.95).alias("p95"), F.max("far").alias("most"))
+    return slim(base).groupBy("rec_id").cogroup(slim(other).groupBy("rec_id")).applyInPandas(align, "rec_id long, matched long, median long, mean double, p95 long, most long")

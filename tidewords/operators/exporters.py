@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewords.functions.scalar import clock_ms, logprob
-from tidewords.operators.patterns import before, islands
+from tidewords.operators.patterns import before, islands, meet
 
 #: A line's characters, a cue's lines, the pause in ms that opens a cue.
 WIDTH, LINES, PAUSE_MS = 1000, 2, 3000
@@ -98,12 +98,12 @@ def cue_lines(words: DataFrame) -> DataFrame:
         opens = (acc["room"] == 0) | (acc["room"] + x["len"] > WIDTH)
         return F.when(opens, F.struct(F.length(F.trim(x["word"])).alias("room"), F.concat(acc["begins"], F.array(x["k"])).alias("begins"))).otherwise(F.struct((acc["room"] + x["len"]).alias("room"), acc["begins"].alias("begins")))
 
-    cols = words.columns
+    cols = [c for c in words.columns if c != "rec_id"]
     filled = w.groupBy("rec_id", "part").agg(F.array_sort(F.collect_list(F.struct("k", "len", "word", F.struct(*cols).alias("r")))).alias("ws"))
     begins = F.aggregate("ws", F.struct(F.lit(0).alias("room"), F.array().cast("array<int>").alias("begins")), fill, lambda acc: acc["begins"])
-    told = filled.select("ws", begins.alias("begins")).select("begins", F.inline("ws"))
+    told = filled.select("rec_id", "ws", begins.alias("begins")).select("rec_id", "begins", F.inline("ws"))
     row, opens = F.size(F.filter("begins", lambda x: x <= F.col("k"))) - 1, F.array_contains("begins", F.col("k"))
-    marked = told.select(*(F.col("r")[c].alias(c) for c in cols), (row % LINES).alias("row"), opens.alias("opens"))
+    marked = told.select("rec_id", *(F.col("r")[c].alias(c) for c in cols), (row % LINES).alias("row"), opens.alias("opens"))
     return islands(marked, ["rec_id"], ["seq"], F.col("opens") & (F.col("row") == 0), "cue")
 
 
@@ -149,7 +149,7 @@ def word_json(segments: DataFrame, words: DataFrame) -> DataFrame:
     seconds = lambda c: F.round(F.col(c) / 1000, 3)
     w = F.struct("word", seconds("start_ms").alias("start"), seconds("end_ms").alias("end"), seconds("conf_milli").alias("score"), "speaker")
     own = words.groupBy("rec_id", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", w.alias("w")))), lambda x: x["w"]).alias("words"))
-    joined = segments.join(own, ["rec_id", "id"], "left")
+    joined = meet(segments, own, ["rec_id", "id"])
     line = F.struct(seconds("start_ms").alias("start"), seconds("end_ms").alias("end"), F.trim("text").alias("text"), F.coalesce("words", F.array().cast(own.schema["words"].dataType)).alias("words"), "speaker")
     return joined.select("rec_id", "id", F.to_json(line).alias("segment"))
 
@@ -161,8 +161,9 @@ def verbose_segments(segments: DataFrame) -> DataFrame:
 
 def verbose_words(words: DataFrame, segments: DataFrame) -> DataFrame:
     """Words whose speaker is their own or else their segment's."""
-    s = segments.select("rec_id", "id", F.col("speaker").alias("__of"))
-    return words.join(s, ["rec_id", "id"]).withColumn("speaker", F.coalesce("speaker", "__of")).drop("__of")
+    own = words.groupBy("rec_id", "id").agg(F.collect_list(F.struct(*(c for c in words.columns if c not in ("rec_id", "id")))).alias("__ws"))
+    met = meet(segments.select("rec_id", "id", F.col("speaker").alias("__of")), own, ["rec_id", "id"]).select("rec_id", "id", "__of", F.inline("__ws"))
+    return met.withColumn("speaker", F.coalesce("speaker", "__of")).select(*words.columns)
 
 
 def word_document(segments: DataFrame, words: DataFrame, languages: DataFrame) -> DataFrame:
@@ -174,7 +175,7 @@ def word_document(segments: DataFrame, words: DataFrame, languages: DataFrame) -
     w = F.struct("word", seconds("start_ms").alias("start"), seconds("end_ms").alias("end"), seconds("conf_milli").alias("score"), "speaker")
     own = words.groupBy("rec_id", "id").agg(_listed("words", "seq", w))
     line = F.struct(seconds("start_ms").alias("start"), seconds("end_ms").alias("end"), F.trim("text").alias("text"), F.coalesce("words", F.array().cast(own.schema["words"].dataType)).alias("words"), "speaker")
-    whole = segments.join(own, ["rec_id", "id"], "left").groupBy("rec_id").agg(_listed("segments", "id", line))
+    whole = meet(segments, own, ["rec_id", "id"]).groupBy("rec_id").agg(_listed("segments", "id", line))
     flat = F.flatten(F.transform("segments", lambda x: x["words"]))
     none = lambda c, like: F.coalesce(c, F.array().cast(like)).alias
     kind = whole.schema["segments"].dataType
@@ -206,7 +207,7 @@ def result_json(recordings: DataFrame, segments: DataFrame, words: DataFrame, si
     w = F.struct("word", seconds("start_ms").alias("start"), seconds("end_ms").alias("end"), seconds("conf_milli").alias("confidence"), "speaker", "channel")
     own = words.groupBy("rec_id", "id").agg(_listed("words", "seq", w))
     s = F.struct("id", seconds("start_ms").alias("start"), seconds("end_ms").alias("end"), "text", "channel", "speaker", F.col("avg_conf").alias("avg_confidence"), "words")
-    whole = segments.join(own, ["rec_id", "id"], "left").groupBy("rec_id").agg(_listed("segments", "id", s))
+    whole = meet(segments, own, ["rec_id", "id"]).groupBy("rec_id").agg(_listed("segments", "id", s))
     voices = segments.where("speaker IS NOT NULL").groupBy("rec_id", "speaker").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("ms"), F.count("*").alias("segments"))
     voices = voices.groupBy("rec_id").agg(_listed("speakers", "speaker", F.struct(F.col("speaker").alias("id"), seconds("ms").alias("total_speech"), "segments")))
     gaps = silence.groupBy("rec_id").agg(_listed("silence", "start_ms", F.struct(seconds("start_ms").alias("start"), seconds("end_ms").alias("end"))), F.sum(F.col("end_ms") - F.col("start_ms")).alias("quiet"))

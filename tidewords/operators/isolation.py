@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewords.functions.scalar import power_db, word_key
-from tidewords.operators.patterns import range_join
+from tidewords.operators.patterns import meet, range_join
 from tidewords.operators.spans import transcript_silences
 
 #: The leak's floor and silence in dB, the shortest measured stretch in ms, an echo's window and the gap that
@@ -71,11 +71,11 @@ def prune(segments: DataFrame, words: DataFrame, drops: DataFrame) -> tuple[Data
     Text and times are made anew only where something was dropped; a segment that loses all its words goes, one that
     never had any stays.
     """
-    marked = words.join(drops.select("rec_id", "id", "seq").distinct().withColumn("__gone", F.lit(True)), ["rec_id", "id", "seq"], "left").withColumn("__gone", F.coalesce("__gone", F.lit(False)))
+    marked = meet(words, drops.select("rec_id", "id", "seq").distinct().withColumn("__gone", F.lit(True)), ["rec_id", "id", "seq"]).withColumn("__gone", F.coalesce("__gone", F.lit(False)))
     left = F.col("__gone") == False  # noqa: E712
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(left, F.struct("seq", "word")))), lambda x: x["word"]), " ")
     own = marked.groupBy("rec_id", "id").agg(F.count_if(F.col("__gone")).alias("gone"), F.count_if(left).alias("left"), text.alias("t"), F.min_by(F.when(left, F.col("start_ms")), F.when(left, F.col("seq"))).alias("a"), F.max_by(F.when(left, F.col("end_ms")), F.when(left, F.col("seq"))).alias("b"))
-    met = segments.join(own, ["rec_id", "id"], "left")
+    met = meet(segments, own, ["rec_id", "id"])
     cut = F.coalesce(F.col("gone") > 0, F.lit(False))
     kept = met.where(F.coalesce(F.col("left") > 0, F.lit(True))).withColumns({"text": F.when(cut, F.col("t")).otherwise(F.col("text")), "start_ms": F.when(cut, F.col("a")).otherwise(F.col("start_ms")), "end_ms": F.when(cut, F.col("b")).otherwise(F.col("end_ms"))})
     gone = met.groupBy("rec_id").agg(F.coalesce(F.sum("gone"), F.lit(0)).alias("dropped"))

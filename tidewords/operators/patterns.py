@@ -39,15 +39,29 @@ def range_join(left: DataFrame, right: DataFrame, key: str, width: int, left_on:
     return pairs.where((F.floor(later / width) == F.col("__cell")) & (F.least(F.col(le), F.col(re)) > later)).drop("__cell")
 
 
-def asof_last(events: DataFrame, asked: DataFrame, key: str, event_at: str, asked_at: str, payload: list[str], tie: str) -> DataFrame:
+def asof_last(events: DataFrame, asked: DataFrame, key: str | list[str], event_at: str, asked_at: str, payload: list[str], tie: str) -> DataFrame:
     """For each asked time the last event at or before it (by time, then ``tie``): a union and one window."""
-    value = F.struct(*payload)
-    e = events.select(key, F.col(event_at).alias("__at"), F.lit(0).alias("__kind"), F.col(tie).cast("long").alias("__tie"), value.alias("__value"))
-    extra = [c for c in asked.columns if c != key]
+    keys, value = [key] if isinstance(key, str) else key, F.struct(*payload)
+    e = events.select(*keys, F.col(event_at).alias("__at"), F.lit(0).alias("__kind"), F.col(tie).cast("long").alias("__tie"), value.alias("__value"))
+    extra = [c for c in asked.columns if c not in keys]
     e = e.select("*", *(F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in extra))
-    a = asked.select(key, F.col(asked_at).alias("__at"), F.lit(1).alias("__kind"), F.lit(0).cast("long").alias("__tie"), F.lit(None).cast(e.schema["__value"].dataType).alias("__value"), *extra)
-    found = F.last("__value", ignorenulls=True).over(up_to([key], ["__at", "__kind", "__tie"]))
-    return e.unionByName(a).withColumn("__found", found).where("__kind = 1").select(key, *extra, *(F.col("__found")[p].alias(p) for p in payload))
+    a = asked.select(*keys, F.col(asked_at).alias("__at"), F.lit(1).alias("__kind"), F.lit(0).cast("long").alias("__tie"), F.lit(None).cast(e.schema["__value"].dataType).alias("__value"), *extra)
+    found = F.last("__value", ignorenulls=True).over(up_to(keys, ["__at", "__kind", "__tie"]))
+    return e.unionByName(a).withColumn("__found", found).where("__kind = 1").select(*keys, *extra, *(F.col("__found")[p].alias(p) for p in payload))
+
+
+def meet(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """``left`` with the other columns of ``right`` by ``keys``, null where it has none: a union and one grouping.
+
+    Each side has a row a key at most. Sides that are dealt alike by some of the keys (the recording) meet without an exchange, which
+    a join by all of them would ask for.
+    """
+    sides = [F.struct(*(c for c in df.columns if c not in keys)) for df in (left, right)]
+    kinds = [df.select(s.alias("s")).schema["s"].dataType for df, s in zip((left, right), sides, strict=True)]
+    one = left.select(*keys, sides[0].alias("__l"), F.lit(None).cast(kinds[1]).alias("__r"))
+    both = one.unionByName(right.select(*keys, F.lit(None).cast(kinds[0]).alias("__l"), sides[1].alias("__r")))
+    met = both.groupBy(*keys).agg(F.first("__l", ignorenulls=True).alias("__l"), F.first("__r", ignorenulls=True).alias("__r"))
+    return met.where("__l IS NOT NULL").select(*keys, "__l.*", "__r.*")
 
 
 def first_k(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:

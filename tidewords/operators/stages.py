@@ -9,10 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewords.operators.normalise import RU, Rules, rewrite
-from tidewords.operators.patterns import before, up_to
-from tidewords.sources.shared import settle
+from tidewords.operators.patterns import asof_last, before, up_to
+from tidewords.sources.shared import written
 
 STREAM = ["rec_id", "channel"]
+#: Fixed value: about how many words a task of a chain takes.
+TASK_WORDS = 100_000
 
 
 @dataclass(frozen=True)
@@ -107,20 +109,26 @@ def run_chain(words: DataFrame, stages: list[Stage]) -> tuple[DataFrame, DataFra
 
     Each stage sees whole streams, a channel of a recording each, over the borders of segments. Where a stage's spans
     don't add up, a stream keeps the words it had and goes on with the next stage. Spans are composed by running sums: what an
-    output covers ends where its last input's cover ends, which one equi-join finds.
+    output covers ends where its last input's cover ends, which an as-of join finds; the first stage's spans are of the first words already.
+    Stages' outputs are kept as files and dealt by recording.
     """
-    now, refused = words.withColumn("span", F.lit(1).cast("long")), None
-    for stage in stages:
-        got = settle(stage.apply(now.drop("span")).withColumn("span", F.col("span").cast("long")))
-        faults = settle(_faults(now, got).withColumn("stage", F.lit(stage.name)))
+    now, refused, tasks = words.withColumn("span", F.lit(1).cast("long")), None, 1
+    for k, stage in enumerate(stages):
+        got = written(stage.apply(now.drop("span")).withColumn("span", F.col("span").cast("long")))
+        faults = written(_faults(now, got).withColumn("stage", F.lit(stage.name)))
         refused = faults if refused is None else refused.unionByName(faults)
-        number = F.row_number().over(Window.partitionBy(*STREAM).orderBy("seq")).cast("long")
-        covered = now.select(*STREAM, number.alias("__end"), F.sum("span").over(up_to(STREAM, ["seq"])).alias("__covered"))
-        sound = got.join(faults, STREAM, "left_anti").withColumn("__end", F.sum(F.coalesce("span", F.lit(1))).over(up_to(STREAM, ["seq"])))
-        composed = sound.join(covered, [*STREAM, "__end"])
-        composed = composed.withColumn("span", F.col("__covered") - F.coalesce(F.max("__covered").over(before(STREAM, ["seq"])), F.lit(0)))
-        held = now.join(faults, STREAM, "left_semi")
-        now = settle(composed.select(*got.columns).unionByName(held, allowMissingColumns=True))
+        tasks = max(tasks, 1 + got.count() // TASK_WORDS)
+        sound = got.join(faults, STREAM, "left_anti")
+        if k == 0:
+            composed = sound.withColumn("span", F.coalesce("span", F.lit(1).cast("long")))
+        else:
+            number = F.row_number().over(Window.partitionBy(*STREAM).orderBy("seq")).cast("long")
+            covered = now.select(*STREAM, number.alias("__end"), F.sum("span").over(up_to(STREAM, ["seq"])).alias("__covered"))
+            ends = sound.repartition(tasks, "rec_id").withColumn("__end", F.sum(F.coalesce("span", F.lit(1))).over(up_to(STREAM, ["seq"])))
+            composed = asof_last(covered, ends, STREAM, "__end", "__end", ["__covered"], "__end")
+            composed = composed.withColumn("span", F.col("__covered") - F.coalesce(F.max("__covered").over(before(STREAM, ["seq"])), F.lit(0)))
+        both = composed.select(*got.columns).unionByName(now.join(faults, STREAM, "left_semi"), allowMissingColumns=True)
+        now = both if k == len(stages) - 1 else (written(both) if k else both).repartition(tasks, "rec_id")
     empty = words.select(*STREAM).limit(0).withColumns({"reason": F.lit(""), "stage": F.lit("")})
     return now, (empty if refused is None else refused).select(*STREAM, "stage", "reason")
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewords.functions.scalar import is_punctuation, is_special_token
-from tidewords.operators.patterns import asof_last, before, islands, up_to
+from tidewords.operators.patterns import asof_last, before, islands, meet, up_to
 
 #: Tokenisation units; anything else reads as ``bpe``.
 BPE, CHAR, CJK, CJK_BPE = "bpe", "char", "cjkchar", "cjkchar+bpe"
@@ -77,42 +77,36 @@ def compose_spans(first: DataFrame, second: DataFrame) -> DataFrame:
     return owners.groupBy("rec_id", F.col("owner").alias("ord")).agg(F.sum("span").alias("span"))
 
 
-def _letters(df: DataFrame, keys: list[str], text: str, extra: list[str]) -> DataFrame:
-    """The characters of a text one a row, numbered, with how many letters and digits there are up to each (k) and what it reads as (letter)."""
-    chars = df.select(*keys, *extra, F.posexplode(F.split(text, "")).alias("at", "ch"))
-    letter = F.col("ch").rlike(r"^[\p{L}\p{Nd}]")
-    return chars.withColumn("letter", F.when(letter, F.lower("ch")))
+#: A letter or digit; and one with the marks that go with it: those that follow without a blank, and those after a blank before it.
+_LETTER, _BLANKS = r"[\p{L}\p{Nd}]", r"[\s\p{Z}\x85]+"
+_UNIT = r"[^\p{L}\p{Nd}]*+(?:[\p{L}\p{Nd}][^\p{L}\p{Nd}\s\p{Z}\x85]*+|$)"
 
 
 def reattach_text(words: DataFrame, punctuated: DataFrame, keys: list[str]) -> DataFrame:
     """Words (keys, seq, word) as written in the punctuated text (keys, punctuated) of their chunk.
 
-    Letters and digits of both sides are numbered and joined by number. If each agrees but for case, and none of the
+    Letters and digits of both sides are numbered. If each agrees but for case, and none of the
     punctuated text's is missing up to the last word's, each character of the text goes to the word whose letter it is, whose letter it
     follows without a blank, or, failing that, whose letter comes next; else the chunk keeps its words. Null texts
-    and words without letters keep the chunk too.
+    and words without letters keep the chunk too. A chunk's words are one array, next to its text.
     """
-    told = words.select(*keys, "seq", "word")
-    said = _letters(told.where("word IS NOT NULL"), keys, "word", ["seq"]).where("letter IS NOT NULL")
-    said = said.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("seq", "at"))).select(*keys, "k", "seq", F.col("letter").alias("said"))
-    chars = _letters(punctuated.select(*keys, "punctuated"), keys, "punctuated", [])
-    by = up_to(keys, ["at"])
-    ahead = Window.partitionBy(*keys).orderBy("at").rowsBetween(0, Window.unboundedFollowing)
-    blank = F.col("ch").rlike(r"^[\s\p{Z}]?$")
-    placed = chars.withColumns({"n": F.count("letter").over(by), "gap": F.max(F.when(blank, F.col("at"))).over(by), "mine": F.max(F.when(F.col("letter").isNotNull(), F.col("at"))).over(by)})
-    # a mark is of the letter before it if no blank lies between, else of the next one
-    k = F.when(F.col("letter").isNotNull() | (F.col("mine") > F.coalesce("gap", F.lit(-1))), F.col("n")).otherwise(F.col("n") + 1)
-    wrote = placed.where(~blank).select(*keys, "at", "ch", "letter", k.alias("k"))
-    both = said.join(wrote, [*keys, "k"], "left")
-    whole = both.groupBy(*keys, "seq").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "ch"))), lambda x: x["ch"]), "").alias("wrote"),
-        F.count_distinct("k").alias("letters"), F.count_distinct(F.when(F.col("letter") == F.col("said"), F.col("k"))).alias("met"),
-    )
-    lined = told.join(whole, [*keys, "seq"], "left")
-    agrees = F.min(F.coalesce(F.col("letters") == F.col("met"), F.lit(False))).over(Window.partitionBy(*keys))
-    fixed = lined.select(*keys, "seq", F.when(agrees, F.col("wrote")).otherwise(F.col("word")).alias("word"))
-    rest = [c for c in words.columns if c != "word"]
-    return words.select(*rest).join(fixed, [*keys, "seq"]).select(*words.columns)
+    rest = [c for c in words.columns if c not in keys]
+    every = lambda c, pattern: F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    letters = lambda c: F.transform(every(c, _LETTER), F.lower)
+    counted = words.withColumn("__l", letters(F.coalesce("word", F.lit("")))).withColumn("__n", F.size("__l"))
+    counted = counted.withColumn("__to", F.sum("__n").over(up_to(keys, ["seq"])).cast("int"))
+    item = F.struct(F.col("seq").alias("__seq"), "__l", "__n", "__to", F.struct(*rest).alias("r"))
+    met = meet(counted.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("__ws")), punctuated.select(*keys, "punctuated"), keys)
+    said = F.flatten(F.transform("__ws", lambda x: x["__l"]))
+    met = met.withColumns({"__said": said, "__wrote": letters(F.col("punctuated")), "__units": F.transform(every(F.col("punctuated"), _UNIT), lambda u: F.regexp_replace(u, _BLANKS, ""))})
+    agrees = F.forall("__ws", lambda x: x["__n"] > 0) & (F.slice("__wrote", F.lit(1), F.size("__said")) == F.col("__said"))
+    met = met.withColumn("__agrees", F.coalesce(agrees, F.lit(False)))
+
+    def written(x):
+        mine = F.array_join(F.slice("__units", x["__to"] - x["__n"] + 1, x["__n"]), "")
+        return F.struct(*((F.when(F.col("__agrees"), mine).otherwise(x["r"]["word"]) if c == "word" else x["r"][c]).alias(c) for c in rest))
+
+    return met.select(*keys, F.inline(F.transform("__ws", written))).select(*words.columns)
 
 
 def punctuation_stage(model: Callable[[DataFrame], DataFrame], most: int = 200):
@@ -187,5 +181,5 @@ def neighbours(words: DataFrame, asked: DataFrame, step: int = 1) -> DataFrame:
     w = words.select("rec_id", "wid", "start_ms")
     back = asof_last(w.withColumn("__s", F.col("start_ms") + step + 1), asked, "rec_id", "__s", "t", ["wid"], "wid").withColumnRenamed("wid", "previous")
     mirrored = w.select("rec_id", "wid", (step + 1 - F.col("start_ms")).alias("__s"), (-F.col("wid")).alias("__tie"))
-    ahead = asof_last(mirrored, asked.select("rec_id", "t", (-F.col("t")).alias("__t")), "rec_id", "__s", "__t", ["wid"], "__tie").select("rec_id", "t", F.col("wid").alias("next"))
-    return back.join(ahead, ["rec_id", "t"]).na.fill(-1, ["previous", "next"])
+    both = asof_last(mirrored, back.withColumn("__t", -F.col("t")), "rec_id", "__s", "__t", ["wid"], "__tie")
+    return both.select("rec_id", "t", "previous", F.col("wid").alias("next")).na.fill(-1, ["previous", "next"])

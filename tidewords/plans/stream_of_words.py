@@ -111,8 +111,7 @@ def j12(spark, sf_dir):
 def j13(spark, sf_dir):
     w = d.words(spark, sf_dir)
     who = w.select("rec_id", "role").distinct()
-    key = lambda df: df.withColumn("key", F.concat_ws(":", "rec_id", "role"))
-    found = ws.asof_last(key(w).withColumn("s", F.col("start_ms") - 10), key(_asked(w).join(who, "rec_id")).select("key", "rec_id", "t", "role"), "key", "s", "t", ["wid", "end_ms"], "wid")
+    found = ws.asof_last(w.withColumn("s", F.col("start_ms") - 10), _asked(w).join(who, "rec_id").select("rec_id", "role", "t"), ["rec_id", "role"], "s", "t", ["wid", "end_ms"], "wid")
     return found.where("t <= end_ms + 300").select("rec_id", "t", "role", "wid")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewords.operators import normalise as n
 from tidewords.operators import stages as st
 from tidewords.operators import wordstream as ws
+from tidewords.operators.patterns import meet
 from tidewords.plans.registry import query
 from tidewords.sources import derived as d
 
@@ -108,7 +109,7 @@ def join_marks(words):
     took = F.lead("__n").over(Window.partitionBy(*keys).orderBy("seq")) - F.col("__n")
     numbered = words.withColumns({"__n": F.row_number().over(Window.partitionBy(*keys).orderBy("seq")), "__all": F.count("*").over(Window.partitionBy(*keys))})
     rest = [c for c in words.columns if c not in ("word", "start_ms", "end_ms")]
-    out = merged.join(numbered.select(*rest, "__n", "__all"), [*keys, "seq"])
+    out = meet(merged, numbered.select(*rest, "__n", "__all"), [*keys, "seq"])
     return out.withColumn("span", F.coalesce(took, F.col("__all") - F.col("__n") + 1)).drop("__n", "__all")
 
 
@@ -130,7 +131,7 @@ def _(spark, sf_dir):
     def model(chunks):
         """Stands for a punctuation model: it knows the text, but speaks of something else in some chunks."""
         keys = [*st.STREAM, "seq"]
-        wrote = chunks.join(heard.select(*keys, F.col("word").alias("wrote")), keys).groupBy(*st.STREAM, "chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "wrote"))), lambda x: x["wrote"]), " ").alias("punctuated"))
+        wrote = meet(chunks.select(*keys, "chunk"), heard.select(*keys, F.col("word").alias("wrote")), keys).groupBy(*st.STREAM, "chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "wrote"))), lambda x: x["wrote"]), " ").alias("punctuated"))
         return wrote.withColumn("punctuated", F.when((F.col("rec_id") % 3 == 0) & (F.col("chunk") == 0), F.concat(F.lit("zzz "), "punctuated")).otherwise(F.col("punctuated")))
 
     bare = heard.withColumn("word", F.lower(F.regexp_replace("word", "[.,!?;:]+$", "")))

@@ -11,9 +11,22 @@ from pyspark.sql import functions as F
 SENTENCE_END = (".", "!", "?")
 
 
+#: Bytes of text whose words one task takes; the words are some thirty times as large in memory.
+TASK_BYTES = 1 << 19
+
+
+def dealt(turns: DataFrame, key: str) -> DataFrame:
+    """Turns dealt by recording before their words are cut, into tasks of about ``TASK_BYTES`` of text.
+
+    Windows, groups and unions by recording need no other exchange, and a task doesn't grow with the table.
+    """
+    told = turns.agg(F.sum(F.octet_length("text")).alias("n")).first()
+    return turns.repartition(1 + (told.n or 0) // TASK_BYTES, key)
+
+
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """rec_id, turn, pos, wid, role, channel, word, start_ms, end_ms, conf_milli of the conversations."""
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("ws", F.filter(F.split("text", r"\s+"), lambda w: w != ""))
+    """rec_id, turn, pos, wid, role, channel, word, start_ms, end_ms, conf_milli of the conversations, dealt by recording."""
+    turns = dealt(spark.read.parquet(f"{sf_dir}/conversations.parquet"), "conv_id").withColumn("ws", F.filter(F.split("text", r"\s+"), lambda w: w != ""))
     order = Window.partitionBy("rec_id").orderBy("turn", "pos")
     length, assistant = F.length("word"), F.when(F.col("role") == "assistant", 1).otherwise(0)
     ended = F.substring("word", -1, 1).isin(*SENTENCE_END)
@@ -102,11 +115,11 @@ def dictionaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spoken(words: DataFrame) -> DataFrame:
     """Segments as a transcript has them: rec_id, id, channel, speaker (null for the system's), times, text, words, mean confidence.
 
-    One exchange by recording serves the sentences, their sums and their numbers.
+    Words that are dealt by recording need no exchange for the sentences, their sums and their numbers.
     """
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ")
     conf = F.coalesce(F.avg(F.when(F.col("conf_milli") > 0, F.col("conf_milli"))), F.lit(0.0))
-    s = words.repartition("rec_id").withColumn("sn", _sentence()).groupBy("rec_id", "turn", "channel", "role", "sn")
+    s = words.withColumn("sn", _sentence()).groupBy("rec_id", "turn", "channel", "role", "sn")
     s = s.agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("n_words"), text.alias("text"), conf.alias("conf"))
     order = Window.partitionBy("rec_id").orderBy("start_ms", "channel", "turn", "sn")
     return s.select("rec_id", (F.row_number().over(order) - 1).alias("id"), "turn", "sn", "channel", speaker_of("role").alias("speaker"), "start_ms", "end_ms", "text", "n_words", (F.col("conf") / 1000).alias("avg_conf"))
@@ -115,7 +128,7 @@ def spoken(words: DataFrame) -> DataFrame:
 def spoken_words(words: DataFrame, segments: DataFrame | None = None) -> DataFrame:
     """Words with the number and speaker of their segment among those of ``spoken``, in the transcript's order (seq)."""
     own, of = Window.partitionBy("rec_id", "turn", "sn"), Window.partitionBy("rec_id")
-    w = words.repartition("rec_id").withColumn("sn", _sentence()).withColumn("began", F.min("start_ms").over(own))
+    w = words.withColumn("sn", _sentence()).withColumn("began", F.min("start_ms").over(own))
     w = w.withColumn("id", F.dense_rank().over(of.orderBy("began", "channel", "turn", "sn")) - 1)
     return w.select("rec_id", "id", (F.row_number().over(of.orderBy("id", "pos")) - 1).alias("seq"), "wid", "pos", "channel", speaker_of("role").alias("speaker"), "word", "start_ms", "end_ms", "conf_milli")
 

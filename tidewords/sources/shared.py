@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,13 @@ def _own_folder(_application: str) -> str:
     return tempfile.mkdtemp(prefix="spark-shared-")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """A table worked out once and kept in the shared folder as Parquet: a fraction of what ``settle`` takes there."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """A table that several parts of a plan read, worked out once and kept in the shared folder."""
     context = df.sparkSession.sparkContext
