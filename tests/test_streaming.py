@@ -1,10 +1,12 @@
 """Streaming operators over tables of several part files and several batches."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewords import plans
 from tidewords.streaming import events as op
 from tidewords.streaming import utterances as ut
+from tidewords.streaming.ordered import BUCKETS, in_order as in_order_of
 
 DATA = "/root/testdata/sf0.001"
 NAMES = ["t1_number_events", "t2_latest_job_state", "t3_stage_progress", "t4_token_bucket", "t5_idle_sessions", "t9_energy_stream", "t10_load_stream", "t11_level_stream", "t12_dedupe_events", "t14_job_table", "t6_segment_utterances", "t7_partials"]
@@ -143,3 +145,34 @@ def test_every_event_gets_a_token_or_none(spark):
     """The events of the stream's last hour are decided too."""
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     assert plans.QUERIES["t4_token_bucket"](spark, "/root/testdata/sf0.001").count() == events.count()
+
+
+def many_keys(spark, tmp_path, users):
+    """Three events a user, a minute apart, some of nobody, and one of user -1 that is so late that the watermark passes all others."""
+    made = spark.range(3 * users).selectExpr("id AS event_id", f"timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, 0, id div {users}) AS ts", f"CASE WHEN id % {users} > 0 THEN id % {users} END AS user_id", "'view' AS event_type", "1D AS value", "'' AS props")
+    last = made.limit(1).selectExpr("-1L AS event_id", "ts + INTERVAL 2 DAYS AS ts", "-1L AS user_id", "event_type", "value", "props")
+    made.unionByName(last).coalesce(2).write.parquet(f"{tmp_path}/events.parquet")
+    return op.event_stream(spark, str(tmp_path))
+
+
+def test_many_keys_share_a_bucket_of_the_state(spark, tmp_path):
+    """A call of Python and a row of the state are a bucket's, not a key's."""
+    users = 3 * BUCKETS
+    told = op.number_events(many_keys(spark, tmp_path, users), "user_id")
+    run = told.writeStream.format("memory").queryName("many_keys").outputMode("append").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    held = [s["numRowsTotal"] for p in run.recentProgress for s in p["stateOperators"]]
+    assert held and 0 < max(held) <= BUCKETS
+    n = spark.table("many_keys").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "seq"))).alias("s")).collect()
+    assert len(n) == users and all([tuple(x) for x in r.s] == [((r.user_id or 0) + k * users, k + 1) for k in range(3)] for r in n)
+
+
+@pytest.mark.parametrize("buckets", [1, 7])
+def test_keys_of_a_bucket_keep_apart(spark, tmp_path, buckets):
+    """A state that ends and goes, and told rows of nobody, whatever shares the bucket."""
+    stream = many_keys(spark, tmp_path, 50)
+    step = lambda name, state, row: ((1 + (state[0] if state else 0), row[0]), [(row[1], name or "none")])
+    told = in_order_of(stream, "user_id", ["event_type"], step, "n long, at long", "event_id long, name string", lambda s: s[1] + 60_000, lambda name, s: [(-s[0], name or "none")], buckets)
+    got = sorted((str(r.user_id), r.event_id, r.name) for r in op.drained(told).collect())
+    names = [(str(k or None), str(k or "none"), k) for k in range(50)]
+    assert got == sorted([(u, k + 50 * i, name) for u, name, k in names for i in range(3)] + [(u, -3, name) for u, name, _ in names])
