@@ -254,3 +254,15 @@ def test_backoff_blocks_take_little_memory():
         tracemalloc.stop()
     assert n_words.tolist() == [200_000, 100_000] and (total < 0).all()
     assert peak < 20 * len(joined)
+
+
+def test_backoff_blocks_leave_in_small_batches():
+    joined = " ".join(np.random.default_rng(8).integers(10_000, 60_000, 150_000).astype(str)).encode()
+    block = pa.RecordBatch.from_pylist([{"block": 5, "at": [0, len(joined)], "led": False, "open": False, "packed": lm._pack(joined)}])
+    out = list(lm._ask(8)(iter([block])))
+    sizes = [len(b.column("counts").flatten()) for b in out]
+    assert len(out) > 1 and max(sizes) <= lm.SLICE
+    parts = [p for b in out for p in b.column("part").to_pylist()]
+    grams = lm._grams(block, 0)
+    assert parts == np.unique(grams.ranges(8)[0]).tolist() and {b for x in out for b in x.column("block").to_pylist()} == {5}
+    assert np.concatenate([b.column("counts").flatten().to_numpy() for b in out]).tolist() == grams.counts.tolist()
